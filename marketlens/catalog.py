@@ -43,23 +43,44 @@ def sig_sql(expr: str, digits: int) -> str:
             f"else floor({expr} / pow(10.0, -{e}) + 0.5) * pow(10.0, -{e}) end)")
 
 
-def finish(df: DataFrame, digits: int) -> DataFrame:
-    """Round every double column to ``digits`` significant digits."""
+def fixed(c: Column, places: int) -> Column:
+    """Round to ``places`` decimal places with IEEE operations only (see ``sig``)."""
+    return F.when(c.isNotNull(), (F.floor(c * F.lit(10.0 ** places) + 0.5) / F.lit(10.0 ** places)).cast("double"))
+
+
+def fixed_sql(expr: str, places: int) -> str:
+    return f"(floor({expr} * {10.0 ** places!r} + 0.5) / {10.0 ** places!r})"
+
+
+def finish(df: DataFrame, digits: int, places: int | None = None, colplaces: dict | None = None) -> DataFrame:
+    """Round every double column to ``digits`` significant digits (or ``places`` decimals;
+    ``colplaces`` overrides per column: money sums of 4-decimal values use 5 places, which
+    keeps their exact values away from every rounding boundary)."""
     cols = []
+    colplaces = colplaces or {}
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(sig(F.col(f"`{f.name}`"), digits).alias(f.name))
+            c = F.col(f"`{f.name}`")
+            pl = colplaces.get(f.name, places)
+            cols.append((fixed(c, pl) if pl is not None else sig(c, digits)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
 
 
-def oracle(body: str, views: list[str], doubles: list[str], digits: int) -> str:
-    """Wrap an oracle statement: fixture CTEs + significant-digit rounding of double columns."""
+def oracle(body: str, views: list[str], doubles: list[str], digits: int, places: int | None = None,
+           colplaces: dict | None = None) -> str:
+    """Wrap an oracle statement: fixture CTEs + rounding of double columns (as ``finish``)."""
     inner = with_views(body, *views)
     if not doubles:
         return inner
-    rep = ", ".join(f"{sig_sql(q(c), digits)} as {q(c)}" for c in doubles)
+    colplaces = colplaces or {}
+
+    def rnd(c):
+        pl = colplaces.get(c, places)
+        return fixed_sql(q(c), pl) if pl is not None else sig_sql(q(c), digits)
+
+    rep = ", ".join(f"{rnd(c)} as {q(c)}" for c in doubles)
     return f"select * replace ({rep}) from (\n{inner}\n) _q"
 
 
@@ -68,17 +89,18 @@ def q(name: str) -> str:
 
 
 def register(name: str, sql: str | None = None, views: list[str] | None = None,
-             doubles: list[str] | None = None, digits: int = 10):
+             doubles: list[str] | None = None, digits: int = 10, places: int | None = None,
+             colplaces: dict | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return finish(fn(Market(spark, sf_dir)), digits)
+            return finish(fn(Market(spark, sf_dir)), digits, places, colplaces)
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         DIGITS[name] = digits
         if sql is not None:
-            ORACLE[name] = oracle(sql, views or [], doubles or [], digits)
+            ORACLE[name] = oracle(sql, views or [], doubles or [], digits, places, colplaces)
         return fn
 
     return deco
@@ -86,3 +108,4 @@ def register(name: str, sql: str | None = None, views: list[str] | None = None,
 
 # Import the query modules so they register themselves.
 from .plans import queries as _queries  # noqa: E402,F401
+from .plans import queries_more as _queries_more  # noqa: E402,F401

@@ -156,7 +156,11 @@ def comparison_base(summary: DataFrame, dim: DataFrame, statements: DataFrame, t
                     forecast_years=5, eps_growth=10.0, terminal_pe=20.0) -> DataFrame:
     """Shared base of the five comparison tables (M8): latest snapshot joined to the dimension,
     scored, with health (replacing overlapping columns), analyst view and forecast columns."""
+    from . import fundamentals as fu
+
     s = score_companies(latest_snapshot(summary, dim, tickers))
+    cg = fu.cagr(statements, "Total Revenue", 3, tickers=tickers).select("ticker", F.col("cagr").alias("revenue_cagr_3y"))
+    s = s.drop("revenue_cagr_3y").join(cg, "ticker", "left")
     h = health(statements, tickers)
     s = s.drop(*[c for c in h.columns if c != "ticker" and c in s.columns]).join(h, "ticker", "left")
     a = analyst(s).drop("analyst_target_price", "current_price")

@@ -243,7 +243,8 @@ select ticker, report_date,
 from s1"""
 
 
-@register("risk_features", _risk_features_sql(), [ST, P, SUM, DIM], RISK_FEATURE_COLUMNS, 8)
+@register("risk_features", _risk_features_sql(), [ST, P, SUM, DIM], RISK_FEATURE_COLUMNS, 8,
+          colplaces={"ma_net_income": 7})
 def risk_features_q(m):
     """The 27 credit-risk features for every (ticker, report date)."""
     base = fu.risk_base(m.statements, m.dim, m.summary, m.prices, start_year=RISK_START)
