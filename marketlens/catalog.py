@@ -109,3 +109,4 @@ def register(name: str, sql: str | None = None, views: list[str] | None = None,
 # Import the query modules so they register themselves.
 from .plans import queries as _queries  # noqa: E402,F401
 from .plans import queries_more as _queries_more  # noqa: E402,F401
+from .plans import queries_ext as _queries_ext  # noqa: E402,F401

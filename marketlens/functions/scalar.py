@@ -137,6 +137,11 @@ def md5_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("double") / float(2 ** 52)
 
 
+def hex_uniform(hexstr: Column, slot: int) -> Column:
+    """A uniform in [0, 1) from the ``slot``-th 13-hex-digit (52-bit) slice of a hex digest."""
+    return F.conv(F.substring(hexstr, 1 + 13 * slot, 13), 16, 10).cast("double") / float(2 ** 52)
+
+
 def triangular(u: Column, lo, mode, hi) -> Column:
     """Inverse CDF of the triangular distribution (lo, mode, hi) at uniform u."""
     lo, mode, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lo, mode, hi))

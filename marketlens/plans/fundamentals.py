@@ -21,6 +21,7 @@ from ..schemas import DCF_ALIASES, METRIC_ALIASES
 
 RF, RM = 0.04, 0.08          # fixed values: risk-free rate and market return used by WACC
 DEFAULT_TAX = 0.21           # fixed value: fallback tax rate
+MONEY = "decimal(38,6)"      # exact type for summing money
 
 
 def _only(df, tickers, col="ticker"):
@@ -64,7 +65,9 @@ def ttm_metrics(statements: DataFrame, groups: dict[str, list[str]] = DCF_ALIASE
     dates = snap.latest_n_dates(dates, 4)
     names = sorted({n for ns in groups.values() for n in ns})
     x = q.where(F.col("metric_name").isin(names)).join(dates, ["ticker", "report_date"], "left_semi")
-    sums = x.groupBy("ticker").pivot("metric_name", names).agg(F.sum("metric_value"))
+    # money is summed as an exact decimal: the result does not depend on row order
+    sums = x.groupBy("ticker").pivot("metric_name", names).agg(
+        F.sum(F.col("metric_value").cast(MONEY)).cast("double"))
     base = dates.select("ticker").distinct().join(sums, "ticker", "left")
     cols = [F.coalesce(*[F.col(f"`{n}`") for n in ns]).alias(canon) for canon, ns in groups.items()]
     return base.select("ticker", *cols)

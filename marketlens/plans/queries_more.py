@@ -146,7 +146,7 @@ TTM_GROUPS = {
 
 def _ttm_sql() -> str:
     names = sorted({n for ns in TTM_GROUPS.values() for n in ns})
-    sums = {n: f"sum(case when metric_name = '{n}' then metric_value end)" for n in names}
+    sums = {n: f"cast(sum(case when metric_name = '{n}' then cast(metric_value as decimal(38,6)) end) as double)" for n in names}
     cols = ", ".join(f"coalesce({', '.join(sums[n] for n in ns)}) as {c}" for c, ns in TTM_GROUPS.items())
     return f"""tq as (select * from {ST} where statement_type in ('income_q', 'cashflow_q', 'balance_q')),
 td as {_latest_dates_sql("(select * from tq where statement_type in ('income_q', 'cashflow_q'))", 4)},
@@ -350,9 +350,11 @@ def _health_sql() -> str:
 hq as (select * from {ST} where statement_type in ('income_q', 'cashflow_q', 'balance_q')),
 hd as {_latest_dates_sql("(select * from hq where statement_type in ('income_q', 'cashflow_q'))", 4)},
 ht as (select hd1.ticker,
-         coalesce(sum(case when metric_name = 'EBIT' then metric_value end),
-                  sum(case when metric_name = 'Operating Income' then metric_value end)) as ebit_ttm,
-         sum(case when metric_name = 'Depreciation And Amortization' then metric_value end) as da_ttm
+         coalesce(cast(sum(case when metric_name = 'EBIT' then cast(metric_value as decimal(38,6)) end) as double),
+                  cast(sum(case when metric_name = 'Operating Income' then cast(metric_value as decimal(38,6)) end) as double))
+           as ebit_ttm,
+         cast(sum(case when metric_name = 'Depreciation And Amortization' then cast(metric_value as decimal(38,6)) end)
+           as double) as da_ttm
        from (select distinct ticker from hd) hd1
        left join (select hq.* from hq join hd on hq.ticker = hd.ticker and hq.report_date = hd.report_date) x
          on x.ticker = hd1.ticker group by hd1.ticker),
