@@ -10,6 +10,7 @@ so that sums taken in different orders compare equal.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,9 @@ from .sources.fixtures import Market
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 DIGITS: dict[str, int] = {}
+# Registered queries read the derived warehouse tables written once to the shared checkpoint
+# folder (set MARKETLENS_DERIVE=1 to derive them inside every plan instead).
+STORED = os.environ.get("MARKETLENS_DERIVE", "0") != "1"
 
 
 def sig(c: Column, digits: int) -> Column:
@@ -93,7 +97,7 @@ def register(name: str, sql: str | None = None, views: list[str] | None = None,
              colplaces: dict | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return finish(fn(Market(spark, sf_dir)), digits, places, colplaces)
+            return finish(fn(Market(spark, sf_dir, stored=STORED)), digits, places, colplaces)
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

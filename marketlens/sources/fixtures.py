@@ -8,7 +8,10 @@ aggregate with partial (map-side) aggregation before the single shuffle on their
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import os
+import uuid
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -246,49 +249,96 @@ def bonds(part: DataFrame) -> DataFrame:
         F.expr("cast(5 + (pk % 100) / 10.0 as double)").alias("duration"))
 
 
+def _warehouse_key(sf_dir: str) -> str:
+    """Identity of an input directory: its path plus the sizes and times of its files."""
+    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    try:
+        for f in sorted(os.listdir(sf_dir)):
+            st = os.stat(os.path.join(sf_dir, f))
+            h.update(f"{f}:{st.st_size}:{int(st.st_mtime)}".encode())
+    except OSError:
+        pass
+    return h.hexdigest()[:16]
+
+
+def materialize(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` once to ``path`` (Parquet) and read it back.
+
+    The write goes to a unique attempt directory that is renamed into place with the Hadoop
+    FileSystem API (atomic on HDFS and local disks), so concurrent jobs never read a partial
+    table and a lost executor only retries its tasks.  An existing complete table is reused.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
+        attempt = f"{path}.attempt-{uuid.uuid4().hex[:8]}"
+        df.write.mode("overwrite").parquet(attempt)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(attempt), target):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(attempt), True)   # another job won the race
+    return spark.read.parquet(path)
+
+
 @dataclass
 class Market:
-    """Lazily derived market tables over one test-data directory."""
+    """Market tables derived from one test-data directory.
+
+    With ``stored=True`` every derived table is written once to the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read back, as the warehouse would hold it: queries then scan
+    Parquet with pushed filters and pruned columns instead of re-deriving from line items.
+    """
 
     spark: SparkSession
     sf_dir: str
-    _cache: dict = field(default_factory=dict)
+    stored: bool = False
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    def _t(self, name: str, build) -> DataFrame:
+        if not self.stored:
+            return build()
+        from ..session import checkpoint_dir
+
+        root = checkpoint_dir(self.spark).rstrip("/")
+        return materialize(self.spark, build(), f"{root}/warehouse/{_warehouse_key(self.sf_dir)}/{name}")
+
     @cached_property
     def prices(self) -> DataFrame:
-        return daily_prices(self.table("lineitem"))
+        return self._t("fact_daily_prices", lambda: daily_prices(self.table("lineitem")))
 
     @cached_property
     def fin_q(self) -> DataFrame:
-        return quarterly_financials(self.table("lineitem"))
+        return self._t("fin_q", lambda: quarterly_financials(self.table("lineitem")))
 
     @cached_property
     def statements(self) -> DataFrame:
-        return financial_statements(self.fin_q)
+        return self._t("fact_financial_statements", lambda: financial_statements(self.fin_q))
 
     @cached_property
     def dim(self) -> DataFrame:
-        return company_dim(self.table("supplier"), self.table("nation"), self.table("region"))
+        return self._t("dim_company", lambda: company_dim(self.table("supplier"), self.table("nation"),
+                                                          self.table("region")))
 
     @cached_property
     def summary(self) -> DataFrame:
-        return company_summary(self.fin_q, self.prices)
+        return self._t("fact_company_summary", lambda: company_summary(self.fin_q, self.prices))
 
     @cached_property
     def news(self) -> DataFrame:
-        return news(self.table("documents"), self.table("labels"), self.table("supplier"))
+        return self._t("fact_news_sentiment", lambda: news(self.table("documents"), self.table("labels"),
+                                                           self.table("supplier")))
 
     @cached_property
     def rates(self) -> DataFrame:
-        return rates(self.table("lineitem"))
+        return self._t("fact_rates", lambda: rates(self.table("lineitem")))
 
     @cached_property
     def bonds(self) -> DataFrame:
-        return bonds(self.table("part"))
+        return self._t("bond_detail", lambda: bonds(self.table("part")))
 
 
-def market(spark: SparkSession, sf_dir: str) -> Market:
-    return Market(spark, sf_dir)
+def market(spark: SparkSession, sf_dir: str, stored: bool = False) -> Market:
+    return Market(spark, sf_dir, stored)
