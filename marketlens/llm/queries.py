@@ -11,10 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import language
 from .bpe import encode_round_trip
 from .common import documents
 from .exact_dedup import exact_groups
+from .fingerprint import edited_fingerprints
 from .packing import pack, pieces
+from .simhash_dedup import near_groups
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -24,6 +27,21 @@ BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 END_ID = 2
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    learned = language.prototypes(docs.filter(~language.held_out()))
+    found = language.predict(docs, learned)
+    return found.withColumn("held_out", language.held_out())
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pack(pieces(docs, WORD_BPE, END_ID)).withColumnRenamed("id", "doc_id")
@@ -38,7 +56,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_packing, op7_exact_dedup, op10_bpe)}
+    f.__name__: f for f in (
+        op1_fingerprint, op3_language, op4_simhash_dedup, op6_packing, op7_exact_dedup, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op7_exact_dedup": r"""
