@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language
+from . import html_text, language, quality
 from .bpe import encode_round_trip
-from .common import documents
+from .common import documents, tuned
 from .exact_dedup import exact_groups
 from .fingerprint import edited_fingerprints
 from .packing import pack, pieces
@@ -42,6 +42,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tuned(spark).read.parquet(f"{sf_dir}/pages.parquet")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pack(pieces(docs, WORD_BPE, END_ID)).withColumnRenamed("id", "doc_id")
@@ -51,13 +56,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_round_trip(documents(spark, sf_dir), BYTE_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_fingerprint, op3_language, op4_simhash_dedup, op6_packing, op7_exact_dedup, op10_bpe)}
+        op1_fingerprint, op3_language, op4_simhash_dedup, op5_html_text, op6_packing, op7_exact_dedup,
+        op9_quality, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op7_exact_dedup": r"""
