@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language, quality
+from . import html_text, language, quality, suffix_dedup
 from .bpe import encode_round_trip
 from .common import documents, tuned
 from .exact_dedup import exact_groups
@@ -31,6 +31,10 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents(spark, sf_dir))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     learned = language.prototypes(docs.filter(~language.held_out()))
@@ -67,8 +71,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_fingerprint, op3_language, op4_simhash_dedup, op5_html_text, op6_packing, op7_exact_dedup,
-        op9_quality, op10_bpe)}
+        op1_fingerprint, op2_suffix_dedup, op3_language, op4_simhash_dedup, op5_html_text,
+        op6_packing, op7_exact_dedup, op9_quality, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op7_exact_dedup": r"""
