@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language, quality, suffix_dedup
+from . import html_text, language, line_dedup, quality, suffix_dedup
 from .bpe import encode_round_trip
 from .common import documents, tuned
 from .exact_dedup import exact_groups
@@ -60,6 +60,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -72,7 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_fingerprint, op2_suffix_dedup, op3_language, op4_simhash_dedup, op5_html_text,
-        op6_packing, op7_exact_dedup, op9_quality, op10_bpe)}
+        op6_packing, op7_exact_dedup, op8_line_dedup, op9_quality, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op7_exact_dedup": r"""

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
@@ -60,16 +60,18 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed 64-bit integer.  Null text is empty."""
+    """(id, th, fp): XXH64 of the text and fingerprint of every row, as signed 64-bit integers.  Null
+    text is empty."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["id", "th", "fp"])
 
-    return (docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
-            .mapInArrow(run, f"id {id_type}, fp long"))
+    text = text_of(text_col)
+    return (docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+            .mapInArrow(run, f"id {id_type}, th long, fp long"))
 
 
 def distance(points: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -238,13 +240,8 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return local_components(len(label), label[a[apart]], label[b[apart]])[label]
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable).
-
-    Null and empty texts have fingerprint zero and link like any other.  Rows of equal
-    fingerprint are one node; null ids take their component's id but never name one.  Other
-    columns are ignored; an empty table gives an empty one."""
+def _grouped(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, fp, component, component_id): component is a fingerprint, component_id an id."""
     fps = stored(fingerprints(docs, shingle, id_col, text_col), "simhash-fps")
     distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     edges = stored(links(distinct, radius), "simhash-edges")
@@ -252,6 +249,29 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, i
     nodes = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component"))
     names = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = stored(nodes.join(names, "component").select("fp", "component_id"), "simhash-named")
-    return fps.join(named, "fp").select(
+    named = stored(nodes.join(names, "component").select("fp", "component", "component_id"), "simhash-named")
+    return fps.join(named, "fp")
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable).
+
+    Null and empty texts have fingerprint zero and link like any other.  Rows of equal
+    fingerprint are one node; null ids take their component's id but never name one.  Other
+    columns are ignored; an empty table gives an empty one."""
+    return _grouped(docs, shingle, radius, id_col, text_col).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one of each component does: the smallest id
+    (null ids last), of rows that repeat it the smallest text hash, of equal rows one."""
+    order = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th"))
+    keepers = stored(_grouped(docs, shingle, radius, id_col, text_col).groupBy("component").agg(order.alias("k"))
+                     .select(F.col("k.id").alias("__k_id"), F.col("k.th").alias("__k_th")), "simhash-keepers")
+    own = docs.withColumn("__th", F.xxhash64(text_of(text_col)))
+    one = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), "__th").orderBy("__th"))
+    return (own.join(keepers, own[f"`{id_col}`"].eqNullSafe(keepers["__k_id"]) & (own["__th"] == keepers["__k_th"]))
+            .withColumn("__one", one).filter("__one = 1").select(*(F.col(f"`{c}`") for c in docs.columns)))
