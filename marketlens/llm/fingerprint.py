@@ -31,7 +31,7 @@ LOWEST = -(2 ** 63)
 def term_hashes(text: Column) -> Column:
     """Hashes of the lower-case word pairs and of the last word; null where there is no word."""
     words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[\s]+", " ")), " ")
-    pairs = F.zip_with(words, F.slice(words, 2, 2 ** 31 - 1), lambda a, b: F.xxhash64(a, b))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
     return F.when(F.trim(F.regexp_replace(text, r"[\s]+", " ")) != "", pairs)
 
 
