@@ -89,11 +89,10 @@ def pe_band(pe="pe") -> Column:
 
 # ---- formats (FMT1-FMT4) -----------------------------------------------------------------
 def fmt_market_cap(x="market_cap") -> Column:
-    """$1.23T / $4.56B / $7.89M (FMT1)."""
+    """$1,234.00B / $7.89M (FMT1): billions from 1e9 on, with thousands separators."""
     v = _c(x)
     a = F.abs(v)
     return (F.when(v.isNull(), "-")
-            .when(a >= 1e12, F.concat(F.lit("$"), F.format_number(v / 1e12, 2), F.lit("T")))
             .when(a >= 1e9, F.concat(F.lit("$"), F.format_number(v / 1e9, 2), F.lit("B")))
             .otherwise(F.concat(F.lit("$"), F.format_number(v / 1e6, 2), F.lit("M"))))
 

@@ -23,11 +23,17 @@ def latest(df: DataFrame, key="ticker", order="date_updated", where: Column | No
 
 
 def latest_value(df: DataFrame, column: str, key="ticker", order="date_updated") -> DataFrame:
-    """Latest non-null value of one column per key (O6 sort key; S21 carry-forward)."""
+    """Latest non-null value of one column per key, from whichever row has one (S21 carry-forward)."""
     return (df.where(F.col(column).isNotNull()).groupBy(key)
             .agg(F.max_by(F.col(column), F.col(order)).alias(column), F.max(order).alias(order)))
 
 
+def sort_key(df: DataFrame, column: str, key="ticker", order="date_updated") -> DataFrame:
+    """The column in the latest row per key; keys whose latest row has no value drop out."""
+    return (df.groupBy(key).agg(F.max_by(F.col(column), F.col(order)).alias(column), F.max(order).alias(order))
+            .where(F.col(column).isNotNull()))
+
+
 def dedupe(df: DataFrame, key: Sequence[str], order: Sequence[Column], keep: str = "last") -> DataFrame:
     """One row per key: the last (or first) in the given order.
 

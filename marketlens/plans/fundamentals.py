@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -28,32 +28,29 @@ def _only(df, tickers, col="ticker"):
     return df if not tickers else df.where(F.col(col).isin(list(tickers)))
 
 
-def alias_table(spark: SparkSession, aliases: dict[str, list[str]]) -> DataFrame:
-    """(metric_name, canonical, priority) rows of a fixed alias map."""
-    rows = [(name, canon, i) for canon, names in aliases.items() for i, name in enumerate(names)]
-    return spark.createDataFrame(rows, "metric_name string, canonical string, priority int")
-
-
 def normalise(statements: DataFrame, aliases: dict[str, list[str]] = METRIC_ALIASES) -> DataFrame:
-    """Add ``canonical`` and ``priority`` columns (P6); names outside the map are dropped."""
+    """Add ``canonical`` and ``priority`` columns (P6); a name outside the map is its own canonical
+    name, with priority 0."""
     amap = F.create_map(*[x for canon, names in aliases.items() for n in names for x in (F.lit(n), F.lit(canon))])
     pmap = F.create_map(*[x for canon, names in aliases.items() for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    names = [n for ns in aliases.values() for n in ns]
-    return (statements.where(F.col("metric_name").isin(names))
-            .withColumn("canonical", amap[F.col("metric_name")])
-            .withColumn("priority", pmap[F.col("metric_name")]))
+    return (statements.withColumn("canonical", F.coalesce(amap[F.col("metric_name")], F.col("metric_name")))
+            .withColumn("priority", F.coalesce(pmap[F.col("metric_name")], F.lit(0))))
 
 
 def latest_metrics(statements: DataFrame, types: Sequence[str], mapping: dict[str, str]) -> DataFrame:
     """Per ticker, the metrics of its latest report date among ``types`` (quarterly preferred
-    over annual on the same date, quirk Q13), as columns named by ``mapping``."""
-    st = statements.where(F.col("statement_type").isin(list(types)) & F.col("metric_name").isin(list(mapping)))
-    last = st.groupBy("ticker").agg(F.max("report_date").alias("report_date"))
-    at = st.join(last, ["ticker", "report_date"], "inner")
-    pref = F.when(F.col("statement_type").endswith("_q"), 0).otherwise(1)
-    one = snap.dedupe(at.withColumn("pref", pref), ["ticker", "metric_name"], [-F.col("pref")], keep="last")
-    wide = one.groupBy("ticker").pivot("metric_name", list(mapping)).agg(F.first("metric_value"))
-    return wide.select("ticker", *[F.col(f"`{k}`").alias(v) for k, v in mapping.items()])
+    over annual on the same date, quirk Q13), as columns named by ``mapping``.
+
+    One pass: conditional aggregates per (ticker, report date), then the row of the latest date.
+    The date is the latest of any row of those types: a newer statement without the metric
+    gives null, and every ticker with such a statement has a row."""
+    st = statements.where(F.col("statement_type").isin(list(types)))
+    quarter = F.col("statement_type").endswith("_q")
+    per_date = st.groupBy("ticker", "report_date").agg(*[
+        F.coalesce(F.max(F.when((F.col("metric_name") == k) & quarter, F.col("metric_value"))),
+                   F.max(F.when((F.col("metric_name") == k) & ~quarter, F.col("metric_value")))).alias(v)
+        for k, v in mapping.items()])
+    return snap.latest(per_date, "ticker", "report_date").select("ticker", *mapping.values())
 
 
 def ttm_metrics(statements: DataFrame, groups: dict[str, list[str]] = DCF_ALIASES) -> DataFrame:
@@ -184,7 +181,7 @@ def cash_conversion(statements: DataFrame, tickers=None) -> DataFrame:
 def statement_view(statements: DataFrame, kind: str = "income", periods: int = 16, tickers=None) -> DataFrame:
     """Statement view (F9): one statement kind's quarterly rows (quirk Q1: the stored '_q'
     type) for each ticker's latest ``periods`` report dates, newest first, values in millions.
-    Long form; pivot for a single ticker with ``pivot_statement``."""
+    Long form."""
     st = _only(statements, tickers).where(F.col("statement_type") == f"{kind}_q")
     dates = snap.latest_n_dates(st.select("ticker", "report_date").distinct(), periods)
     x = st.join(dates, ["ticker", "report_date"], "left_semi")
@@ -193,37 +190,40 @@ def statement_view(statements: DataFrame, kind: str = "income", periods: int = 1
 
 
 def header_facts(dim: DataFrame, summary: DataFrame, prices: DataFrame, tickers=None) -> DataFrame:
-    """Header facts (F10): company facts, latest summary, last close, previous close, daily
-    change and change % (0 when the previous close is 0)."""
+    """Header facts (F10): company facts, latest summary, last close, previous close, daily change
+    (summary price - previous close) and change % (0 when the previous close is 0).  With a single
+    stored close that one is the previous close; without any the price itself is."""
     s = snap.latest(_only(summary, tickers).select("ticker", "date_updated", "price", "market_cap", "pe_ratio", "beta",
                                                    "predicted_default_prob"), "ticker", "date_updated")
     last2 = snap.top_n(_only(prices, tickers).select("ticker", "date", "close"), 2, "ticker", [F.col("date").desc()])
     pc = last2.groupBy("ticker").agg(F.max_by("close", "date").alias("last_close"),
                                      F.max("date").alias("last_date"),
-                                     F.when(F.count(F.lit(1)) == 2, F.min_by("close", "date")).alias("prev_close"))
-    chg = F.col("last_close") - F.col("prev_close")
-    pct = F.when(F.col("prev_close") != 0, chg / F.nullif(F.col("prev_close"), F.lit(0.0)) * 100).otherwise(F.lit(0.0))
+                                     F.min_by("close", "date").alias("before"))
+    prev = F.coalesce(F.col("before"), F.when(F.col("last_date").isNull(), F.col("price")))
+    chg = F.col("price") - prev
+    pct = F.when(prev != 0, chg / F.nullif(prev, F.lit(0.0)) * 100).otherwise(F.lit(0.0))
     d = _only(dim, tickers).select("ticker", "company_name", "sector", "credit_rating")
     return (d.join(s, "ticker", "left").join(pc, "ticker", "left")
             .select("ticker", "company_name", "sector", "credit_rating", "date_updated", "price", "market_cap",
                     "pe_ratio", "beta", "predicted_default_prob", S.risk_bucket("predicted_default_prob").alias("risk_bucket"),
-                    "last_date", "last_close", "prev_close",
-                    F.when(F.col("prev_close").isNotNull(), chg).alias("change"),
-                    F.when(F.col("prev_close").isNotNull(), pct).alias("change_pct")))
+                    "last_date", "last_close", prev.alias("prev_close"), chg.alias("change"),
+                    F.when(chg.isNotNull(), pct).alias("change_pct")))
 
 
 RISK_BASE_METRICS = list(METRIC_ALIASES)
 
 
 def risk_base(statements: DataFrame, dim: DataFrame, summary: DataFrame, prices: DataFrame,
-              tickers=None, start_year: int = 2010) -> DataFrame:
-    """Risk-feature base table (F12): statements from ``start_year`` with synonyms resolved
+              tickers=None, start_year: int | None = None) -> DataFrame:
+    """Risk-feature base table (F12): statements (from ``start_year`` if given) with synonyms resolved
     (P6), one value per (ticker, date, metric) -- quarterly before annual, then alias priority
     (quirk Q4) -- pivoted wide, current ratio derived when absent, joined to credit rating,
     latest market cap and shares (J4), and the last close on or before each report date (J5).
     ``tickers`` is honoured (quirk Q11)."""
-    st = _only(statements, tickers).where(F.col("report_date") >= F.lit(f"{start_year}-01-01").cast("date"))
-    n = normalise(st)
+    st = _only(statements, tickers)
+    if start_year is not None:
+        st = st.where(F.col("report_date") >= F.lit(f"{start_year}-01-01").cast("date"))
+    n = normalise(st.where(F.col("metric_name").isin([x for xs in METRIC_ALIASES.values() for x in xs])))
     pref = F.when(F.col("statement_type").endswith("_q"), 0).otherwise(1)
     one = snap.dedupe(n.withColumn("pref", pref), ["ticker", "report_date", "canonical"],
                       [-F.col("pref"), -F.col("priority")], keep="last")

@@ -1,69 +1,57 @@
 """News and sentiment.
 
-Scoring (N2) is the one place Python runs: an Arrow-batched pandas UDF calling a pluggable
-local scorer (any ``callable(list[str]) -> list[(label, score)]``).  The default scorer
-returns neutral / 0.0, as the reference does when its remote model fails.  Rows that already
-carry a label keep it.
+Scoring (N2) is a small word lexicon in Spark expressions over the whole text: no Python worker,
+no prefix.  Rows that already carry a label keep it and are not scored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import snapshot as snap
 
-MAX_CHARS = 512           # fixed value: model input is the first 512 characters
 LABELS = ["positive", "neutral", "negative"]
+# The words that the local scorer counts.
+POSITIVE_WORDS = ["beat", "beats", "best", "excellent", "gain", "gains", "good", "great", "growth", "profit", "profits",
+                  "record", "strong", "success", "surge", "upgrade", "win", "wins"]
+NEGATIVE_WORDS = ["bad", "clown", "crash", "decline", "disgusting", "downgrade", "fall", "falls", "fraud", "idiot", "lawsuit",
+                  "loser", "loss", "losses", "miss", "moron", "pathetic", "scum", "stupid", "trash", "weak", "worst", "worthless"]
 
 
-def model_text(title="title", description="description"):
-    """Title + '. ' + description, first 512 characters; null when either is empty."""
+def model_text(title="title", description="description", max_chars: int | None = None) -> Column:
+    """Title + '. ' + description; null when either is empty.  ``max_chars`` cuts it for a
+    scorer that needs a limit; the default is the whole text."""
     t, d = F.col(title), F.col(description)
     ok = t.isNotNull() & d.isNotNull() & (F.length(t) > 0) & (F.length(d) > 0)
-    return F.when(ok, F.substring(F.concat(t, F.lit(". "), d), 1, MAX_CHARS))
-
-
-def neutral_scorer(texts: list[str]) -> list[tuple[str, float]]:
-    return [("neutral", 0.0)] * len(texts)
-
+    whole = F.concat(t, F.lit(". "), d)
+    return F.when(ok, whole if max_chars is None else F.substring(whole, 1, max_chars))
 
-def _scoring_udf(scorer: Callable):
-    schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    @F.pandas_udf(schema)
-    def score(texts: pd.Series) -> pd.DataFrame:
-        idx = texts.notna()
-        out = pd.DataFrame({"label": [None] * len(texts), "score": [None] * len(texts)}, dtype=object)
-        batch = texts[idx].tolist()
-        try:
-            res = scorer(batch) if batch else []
-            if len(res) != len(batch):
-                raise ValueError("scorer returned a different number of results")
-        except Exception:  # noqa: BLE001 - a failing batch is neutral, as in the reference
-            res = neutral_scorer(batch)
-        out.loc[idx.values, "label"] = [str(lbl).lower() for lbl, _ in res]
-        out.loc[idx.values, "score"] = [float(s) for _, s in res]
-        out["score"] = out["score"].astype("float64")
-        return out
+def lexicon_counts(text: Column) -> tuple[Column, Column]:
+    """Positive and negative lexicon words in the text (words: runs of a-z after lower-casing)."""
+    words = F.split(F.lower(text), "[^a-z]+")
+    return (F.size(F.filter(words, lambda w: w.isin(POSITIVE_WORDS))), F.size(F.filter(words, lambda w: w.isin(NEGATIVE_WORDS))))
 
-    return score
 
+def score_articles(news: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Label and score every article without a label; existing labels and scores pass through.
 
-def score_articles(news: DataFrame, scorer: Callable | None = None) -> DataFrame:
-    """Label and score every article without a label; existing labels pass through."""
-    udf = _scoring_udf(scorer or neutral_scorer)
+    The label follows the larger count; the score is the share by which it leads (0: none leads).
+    ``scored`` tells the rows that the scorer labelled from those without a usable text."""
     has_score = "sentiment_score" in news.columns
-    x = news.withColumn("_txt", model_text()).withColumn("_s", udf(F.col("_txt")))
-    lbl = F.coalesce(F.col("sentiment_label"), F.col("_s.label"))
-    sc = F.when(F.col("sentiment_label").isNotNull(), F.col("sentiment_score") if has_score else F.lit(None).cast("double")) \
-        .otherwise(F.col("_s.score"))
+    todo = F.col("sentiment_label").isNull()
+    x = news.withColumn("_txt", F.when(todo, model_text(max_chars=max_chars)))
+    pos, neg = lexicon_counts(F.col("_txt"))
+    x = x.withColumn("_pos", F.when(F.col("_txt").isNotNull(), pos)).withColumn("_neg", F.when(F.col("_txt").isNotNull(), neg))
+    p, n = F.col("_pos"), F.col("_neg")
+    label = F.when(p > n, "positive").when(n > p, "negative").when(p == n, "neutral")
+    score = F.coalesce(F.abs(p - n) / F.nullif(p + n, F.lit(0)), F.when(p == n, F.lit(0.0)))
     rest = [c for c in news.columns if c not in ("sentiment_label", "sentiment_score")]
-    return x.select(*rest, lbl.alias("sentiment_label"), sc.alias("sentiment_score"))
+    kept = F.col("sentiment_score") if has_score else F.lit(None).cast("double")
+    return x.select(*rest, F.coalesce("sentiment_label", label).alias("sentiment_label"),
+                    F.when(todo, score).otherwise(kept).alias("sentiment_score"),
+                    (todo & F.col("_txt").isNotNull()).alias("scored"))
 
 
 def recent(news: DataFrame, days: int = 7, per_ticker: int = 20, as_of=None) -> DataFrame:

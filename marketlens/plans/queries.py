@@ -139,7 +139,6 @@ def valuation_quality(m):
 # ======================================================================================
 # Risk base (F12 + J5) and the 27 risk features
 # ======================================================================================
-RISK_START = 1995   # the test data's first year (the reference defaults to 2010 on live data)
 _ALIAS_ROWS = [(n, c, i) for c, ns in METRIC_ALIASES.items() for i, n in enumerate(ns)]
 _BASE_METRICS = list(METRIC_ALIASES)
 
@@ -152,7 +151,7 @@ def _risk_base_sql() -> str:
                        for c in _BASE_METRICS)
     return f"""
 n as (select ticker, report_date, statement_type, metric_value, {canon} as canonical, {prio} as priority
-      from {ST} where report_date >= date '{RISK_START}-01-01' and metric_name in ({names})),
+      from {ST} where metric_name in ({names})),
 one as (select * from (select *, row_number() over (partition by ticker, report_date, canonical
           order by case when substr(statement_type, length(statement_type) - 1) = '_q' then 0 else 1 end, priority) rn
         from n) where rn = 1),
@@ -174,7 +173,7 @@ BASE_COLS = [feature_column(c) for c in _BASE_METRICS]
 
 
 def _risk_base_spark(m):
-    base = fu.risk_base(m.statements, m.dim, m.summary, m.prices, start_year=RISK_START)
+    base = fu.risk_base(m.statements, m.dim, m.summary, m.prices)
     return base.select("ticker", "report_date", *[F.col(f"`{c}`").alias(feature_column(c)) for c in _BASE_METRICS],
                        "credit_rating", "market_cap", "shares_outstanding", "closing_price")
 
@@ -247,5 +246,5 @@ from s1"""
           colplaces={"ma_net_income": 7})
 def risk_features_q(m):
     """The 27 credit-risk features for every (ticker, report date)."""
-    base = fu.risk_base(m.statements, m.dim, m.summary, m.prices, start_year=RISK_START)
+    base = fu.risk_base(m.statements, m.dim, m.summary, m.prices)
     return risk_features(base)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..schemas import DEFAULT_SCENARIO, MATURITY_YEARS
+from ..schemas import MATURITY_YEARS
 from ..sources import ingest as ing
 from ..streaming import streams as stx
 from . import fundamentals as fu
@@ -19,7 +19,8 @@ from .queries_more import CAGR_SQL, MONEY5, _dcf_sql
 R = "fact_rates"
 N = "fact_news_sentiment"
 B = "bond_detail"
-SC = DEFAULT_SCENARIO
+# Two scenarios: the default one and a cautious one with fewer draws.
+SCENARIOS = [{}, {"scenario_id": 2, "sims": 2000, "growth_min": 0.0, "growth_mode": 2.0, "growth_max": 4.0}]
 
 
 # ======================================================================================
@@ -30,13 +31,20 @@ def _d(x: float) -> str:
 
 
 def _tri_sql(u: str, p: str) -> str:
-    lo, mo, hi = (_d(SC[f"{p}_{s}"] / 100.0) for s in ("min", "mode", "max"))
+    lo, mo, hi = (f"{p}_{s}" for s in ("min", "mode", "max"))
     span = f"({hi} - {lo})"
     fc = f"(case when {span} > 0 then ({mo} - {lo}) / {span} else 0.0 end)"
     return (f"case when {u} < {fc} then {lo} + sqrt({u} * {span} * ({mo} - {lo})) "
             f"else {hi} - sqrt((1 - {u}) * {span} * ({hi} - {mo})) end")
 
 
+def _scenario_sql() -> str:
+    names = [f"{p}_{x}" for p in ("growth", "perpetual", "wacc") for x in ("min", "mode", "max")]
+    rows = ", ".join(f"({s['scenario_id']}, {s['sims']}, " + ", ".join(_d(s[n] / 100.0) for n in names) + ")"
+                     for s in va.scenario_rows(SCENARIOS))
+    return f"sc as (select * from (values {rows}) v(scenario_id, sims, {', '.join(names)}))"
+
+
 def _u_sql(slot: int) -> str:
     return f"(cast(('0x' || substr(h, {1 + 13 * slot}, 13)) as bigint)::double / 4503599627370496.0)"
 
@@ -54,51 +62,47 @@ def _values_sql() -> str:
         steps.append(f"s{t + 1} as (select *, {fs[t]}, {ds[t]} from s{t})")
     return f"""dcf as ({_dcf_sql("ticker, base_fcff, net_debt, shares_outstanding, price")}),
 b as (select * from dcf where status = 'ok'),
-dr as (select b.ticker, b.base_fcff, b.net_debt, b.shares_outstanding, b.price, t.i as draw
-       from b, range(0, {SC['sims']}) t(i)),
-dh as (select *, sha256(concat_ws('|', ticker, '{SC['scenario_id']}', cast(draw as varchar))) as h from dr),
+{_scenario_sql()},
+dr as (select b.ticker, b.base_fcff, b.net_debt, b.shares_outstanding, b.price, sc.*, unnest(range(0, sc.sims)) as draw from b, sc),
+dh as (select *, sha256(concat_ws('|', ticker, cast(scenario_id as varchar), cast(draw as varchar))) as h from dr),
 tr as (select *, {_tri_sql(_u_sql(0), 'growth')} as growth, {_tri_sql(_u_sql(1), 'perpetual')} as perpetual,
          {_tri_sql(_u_sql(2), 'wacc')} as wacc from dh),
 s0 as (select * from tr where wacc > perpetual),
 {", ".join(steps)},
 tv as (select *, f5 * (1 + perpetual) / (wacc - perpetual) as tv0 from s5),
-iv as (select ticker, {SC['scenario_id']} as scenario_id, draw, price, growth, perpetual, wacc,
+iv as (select ticker, scenario_id, draw, price, growth, perpetual, wacc,
          (({" + ".join(terms)}) + (case when tv0 < 0 then 0.0 else tv0 end) / d5 - net_debt) / shares_outstanding
            as intrinsic_value from tv),
 ivf as (select * from iv where intrinsic_value is not null and not isnan(intrinsic_value) and not isinf(intrinsic_value))"""
 
 
-def _mc_values(m):
-    base = fu.dcf_base(m.statements, m.summary)
-    return va.intrinsic_values(va.draws(base))
-
+def _mc_base(m):
+    return fu.dcf_base(m.statements, m.summary)
 
-@register("mc_draws", f"with {_values_sql()} select * from ivf", [ST, SUM],
-          ["price", "growth", "perpetual", "wacc", "intrinsic_value"], 10)
-def mc_draws(m):
-    """V1-V3: 10,000 triangular draws per ticker, invalid ones dropped, intrinsic value per share."""
-    return _mc_values(m).withColumn("draw", F.col("draw").cast("bigint"))
 
-
-SUMMARY_SQL = """mcs as (select ticker, scenario_id, avg(intrinsic_value) as mean, quantile_cont(intrinsic_value, 0.5) as median,
-  quantile_cont(intrinsic_value, 0.1) as p10, quantile_cont(intrinsic_value, 0.9) as p90, count(*) as n_valid,
-  any_value(price) as current_price from ivf group by ticker, scenario_id)"""
+SUMMARY_SQL = f"""mcv as (select ticker, scenario_id, avg(intrinsic_value) as mean, quantile_cont(intrinsic_value, 0.5) as median,
+  quantile_cont(intrinsic_value, 0.1) as p10, quantile_cont(intrinsic_value, 0.9) as p90, count(*) as n_valid
+  from ivf group by ticker, scenario_id),
+mcs as (select d.ticker, sc.scenario_id, case when d.status = 'ok' and n_valid is null then '{va.NO_VALUE}' else d.status end as status,
+  mean, median, p10, p90, coalesce(n_valid, 0) as n_valid, d.price as current_price
+  from dcf d cross join sc left join mcv on mcv.ticker = d.ticker and mcv.scenario_id = sc.scenario_id)"""
 
 
 @register("mc_summary", f"with {_values_sql()}, {SUMMARY_SQL} select * from mcs", [ST, SUM],
           ["mean", "median", "p10", "p90", "current_price"], 10)
 def mc_summary(m):
-    """V4: mean, median, p10, p90 and count of finite intrinsic values per ticker."""
-    return va.summary(_mc_values(m))
+    """V1-V4, V7: mean, median, p10, p90 and count of finite simulated values per ticker and scenario,
+    with a status row where there is none."""
+    return va.monte_carlo_dcf(_mc_base(m), SCENARIOS)
 
 
 @register("margin_of_safety", f"""with {_values_sql()}, {SUMMARY_SQL}
-select ticker, scenario_id, current_price, mean as intrinsic_value, (mean - current_price) / nullif(mean, 0) as margin_of_safety,
-  case when mean > current_price then 'undervalued' else 'overvalued' end as verdict from mcs""", [ST, SUM],
+select ticker, scenario_id, status, current_price, mean as intrinsic_value, (mean - current_price) / nullif(mean, 0) as margin_of_safety,
+  case when mean > current_price then 'undervalued' when mean <= current_price then 'overvalued' end as verdict from mcs""", [ST, SUM],
           ["current_price", "intrinsic_value", "margin_of_safety"], 10)
 def margin_of_safety(m):
-    """V5: mean intrinsic value against the current price."""
-    return va.margin_of_safety(va.summary(_mc_values(m)))
+    """V5: mean intrinsic value against the current price, per scenario."""
+    return va.margin_of_safety(va.monte_carlo_dcf(_mc_base(m), SCENARIOS))
 
 
 @register("mc_histogram", f"""with {_values_sql()},
@@ -109,8 +113,8 @@ x as (select ivf.ticker, ivf.scenario_id, lo, hi, cast(case when hi - lo > 0
 select ticker, scenario_id, bin, count(*) as n, any_value(lo) + (bin - 1) * (any_value(hi) - any_value(lo)) / 100 as bin_start
 from x group by ticker, scenario_id, bin""", [ST, SUM], ["bin_start"], 10)
 def mc_histogram(m):
-    """V6: 100-bin histogram of each ticker's simulated values."""
-    return va.histogram(_mc_values(m))
+    """V6: 100-bin histogram of the simulated values per ticker and scenario."""
+    return va.histogram(va.intrinsic_values(va.draws(_mc_base(m), SCENARIOS)))
 
 
 # ======================================================================================
@@ -141,7 +145,7 @@ def cumulative_change(m):
 
 
 @register("yield_curve", f"""
-with e as (select max(date) d from {R} where ticker in ({", ".join(f"'{t}'" for t in MATURITY_YEARS)})),
+with e as (select max(date) d from {R}),
 tg as (select 'Today' as period, d as target from e union all select 'Last Week', d - 7 from e
        union all select 'Last Month', d - 30 from e union all select 'Last Year', d - 365 from e),
 x as (select tg.period, tg.target, r.ticker, r.date, r.close,
@@ -216,16 +220,22 @@ def news_by_day(m):
     return nw.news_by_day(m.news)
 
 
+def _word_list(words):
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
 @register("score_articles", f"""
+t as (select *, case when sentiment_label is null and length(title) > 0 and length(description) > 0
+                     then concat(title, '. ', description) end as txt from {N}),
+c as (select *, len([w for w in string_split_regex(lower(txt), '[^a-z]+') if w in {_word_list(nw.POSITIVE_WORDS)}]) as p,
+        len([w for w in string_split_regex(lower(txt), '[^a-z]+') if w in {_word_list(nw.NEGATIVE_WORDS)}]) as n from t)
 select {NEWS_COLS.replace("sentiment_label", "")}
-  coalesce(sentiment_label, case when title is not null and description is not null and length(title) > 0
-    and length(description) > 0 then 'neutral' end) as sentiment_label,
-  case when sentiment_label is not null then cast(null as double)
-       when title is not null and description is not null and length(title) > 0 and length(description) > 0 then 0.0
-  end as sentiment_score
-from {N}""", [N], ["sentiment_score"], 10)
+  coalesce(sentiment_label, case when p > n then 'positive' when n > p then 'negative' when p = n then 'neutral' end) as sentiment_label,
+  case when sentiment_label is null then case when p + n > 0 then abs(p - n) / (p + n) when p = n then 0.0 end end as sentiment_score,
+  sentiment_label is null and txt is not null as scored
+from c""".replace("\nt as", "\nwith t as"), [N], ["sentiment_score"], 10)
 def score_articles(m):
-    """Model text and batch scoring (default local scorer: neutral, 0.0); labels kept."""
+    """Whole model text and local lexicon scoring of the unlabelled articles; labels kept."""
     return nw.score_articles(m.news)
 
 
@@ -356,10 +366,10 @@ def _alias_case() -> str:
 
 
 @register("alias_normalise", f"""
-select ticker, report_date, statement_type, metric_name, {_alias_case()} as canonical, metric_value
-from {ST} where {_alias_case()} is not null""", [ST], ["metric_value"], 10)
+select ticker, report_date, statement_type, metric_name, coalesce({_alias_case()}, metric_name) as canonical, metric_value
+from {ST}""", [ST], ["metric_value"], 10)
 def alias_normalise(m):
-    """Statement rows with their canonical metric name (synonyms resolved)."""
+    """All statement rows with their canonical metric name (synonyms resolved, others as they are)."""
     return fu.normalise(m.statements).select("ticker", "report_date", "statement_type", "metric_name", "canonical",
                                              "metric_value")
 

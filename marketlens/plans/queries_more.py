@@ -177,12 +177,13 @@ def _latest_metric_sql(types: list[str], mapping: dict[str, str], name: str) ->
     tl = ", ".join(f"'{t}'" for t in types)
     nl = ", ".join(f"'{k}'" for k in mapping)
     piv = ", ".join(f"max(case when metric_name = '{k}' then metric_value end) as {v}" for k, v in mapping.items())
-    return f"""{name}_s as (select * from {ST} where statement_type in ({tl}) and metric_name in ({nl})),
+    return f"""{name}_s as (select * from {ST} where statement_type in ({tl})),
 {name}_d as (select ticker, max(report_date) report_date from {name}_s group by ticker),
 {name}_1 as (select * from (select s.*, row_number() over (partition by s.ticker, s.metric_name
                order by case when substr(s.statement_type, length(s.statement_type) - 1) = '_q' then 0 else 1 end) rn
-             from {name}_s s join {name}_d d on s.ticker = d.ticker and s.report_date = d.report_date) where rn = 1),
-{name} as (select ticker, {piv} from {name}_1 group by ticker)"""
+             from {name}_s s join {name}_d d on s.ticker = d.ticker and s.report_date = d.report_date
+             where s.metric_name in ({nl})) where rn = 1),
+{name} as (select d.ticker, {piv} from {name}_d d left join {name}_1 o on o.ticker = d.ticker group by d.ticker)"""
 
 
 @register("balance_latest", f"""
@@ -317,13 +318,16 @@ RISK_BUCKET_SQL = ("case when predicted_default_prob * 100 is null then null whe
 with s as (select ticker, date_updated, price, market_cap, pe_ratio, beta, predicted_default_prob from {LATEST_SUMMARY_SQL}),
 r as (select ticker, date, close, row_number() over (partition by ticker order by date desc) rn from {P}),
 pc as (select ticker, max(case when rn = 1 then close end) as last_close, max(case when rn = 1 then date end) as last_date,
-         max(case when rn = 2 then close end) as prev_close from r where rn <= 2 group by ticker)
+         max(case when rn = 2 then close end) as second_close, count(*) as n_closes from r where rn <= 2 group by ticker),
+h as (select s.*, pc.last_close, pc.last_date, pc.n_closes,
+        case when n_closes = 2 then second_close when n_closes = 1 then last_close else s.price end as prev_close, d.ticker as dt
+      from {DIM} d left join s on s.ticker = d.ticker left join pc on pc.ticker = d.ticker)
 select d.ticker, d.company_name, d.sector, d.credit_rating, s.date_updated, s.price, s.market_cap, s.pe_ratio, s.beta,
-  s.predicted_default_prob, {RISK_BUCKET_SQL} as risk_bucket, pc.last_date, pc.last_close, pc.prev_close,
-  case when prev_close is not null then last_close - prev_close end as change,
-  case when prev_close is not null then
-    case when prev_close <> 0 then (last_close - prev_close) / prev_close * 100 else 0.0 end end as change_pct
-from {DIM} d left join s on s.ticker = d.ticker left join pc on pc.ticker = d.ticker
+  s.predicted_default_prob, {RISK_BUCKET_SQL} as risk_bucket, s.last_date, s.last_close, s.prev_close,
+  s.price - prev_close as change,
+  case when s.price - prev_close is not null then
+    case when prev_close <> 0 then (s.price - prev_close) / prev_close * 100 else 0.0 end end as change_pct
+from {DIM} d join h s on s.dt = d.ticker
 """, [SUM, P, DIM], ["price", "market_cap", "pe_ratio", "beta", "predicted_default_prob", "last_close", "prev_close",
                      "change", "change_pct"], 10)
 def header_facts(m):

@@ -46,7 +46,7 @@ def yield_curve(rates: DataFrame, as_of=None) -> DataFrame:
     """For Today / Last Week / Last Month / Last Year, each treasury's row nearest that
     date (earlier date on ties), mapped to its maturity in years."""
     r = rates.where(F.col("ticker").isin(list(MATURITY_YEARS)))
-    latest = S.as_date(as_of) if as_of is not None else r.select(F.max("date")).scalar()
+    latest = S.as_date(as_of) if as_of is not None else rates.select(F.max("date")).scalar()
     targets = {"Today": latest, "Last Week": F.date_sub(latest, 7), "Last Month": F.date_sub(latest, 30),
                "Last Year": F.date_sub(latest, 365)}
     n = ts.nearest(r, targets, ["close"])

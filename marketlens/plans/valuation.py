@@ -1,9 +1,8 @@
-"""Monte Carlo DCF valuation (V1-V7) as a distributed operator over tickers x scenarios x draws.
+"""Monte Carlo DCF valuation (V1-V7) over tickers x scenarios.
 
-Draws are generated where they are used: each ticker row is fanned out into chunks of draws
-(``explode(sequence)``), the chunks are spread over tasks by a repartition on (ticker, chunk)
--- a shuffle of a few rows per ticker -- and each chunk expands into its draws locally.  No
-ticker's simulations are held by a single task, and nothing goes through the driver.
+The (ticker, scenario) rows are dealt to tasks once, before they expand; draws, values, quantiles and
+histograms are then made inside the group, so no draw ever crosses a shuffle.  A group holds the
+``sims`` draws of one ticker and scenario, whatever the number of tickers.
 
 Uniforms come from one SHA-256 of (ticker, scenario, draw), split into three 52-bit slices:
 reproducible on task retry and identical in DuckDB (the oracle repeats the exact draws).
@@ -11,38 +10,53 @@ reproducible on task retry and identical in DuckDB (the oracle repeats the exact
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..schemas import DEFAULT_SCENARIO
 
 PROJECTION_YEARS = 5
-CHUNK = 1000
+MAX_SCENARIOS = 1000          # scenarios are a small input of the user; more are refused, never dropped
+NO_VALUE = "no valid simulation"
+
+
+def scenario_rows(scenarios: Sequence[dict] | DataFrame | dict | None) -> list[dict]:
+    """The scenarios (V7) as dictionaries, defaults filled in."""
+    if isinstance(scenarios, DataFrame):
+        scenarios = [r.asDict() for r in scenarios.limit(MAX_SCENARIOS + 1).collect()]
+    elif isinstance(scenarios, dict) or scenarios is None:
+        scenarios = [scenarios or {}]
+    if len(scenarios) > MAX_SCENARIOS:
+        raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
+    return [dict(DEFAULT_SCENARIO, **{k: v for k, v in s.items() if v is not None}) for s in scenarios]
+
 
+def by_scenario(base: DataFrame, scenarios=None) -> DataFrame:
+    """One row per (ticker, scenario) with the scenario's parameters as fractions."""
+    names = [f"{p}_{x}" for p in ("growth", "perpetual", "wacc") for x in ("min", "mode", "max")]
+    rows = [F.struct(F.lit(int(s["scenario_id"])).alias("scenario_id"), F.lit(int(s["sims"])).alias("sims"),
+                     *[F.lit(s[n] / 100.0).alias(f"_{n}") for n in names]) for s in scenario_rows(scenarios)]
+    return base.select("*", F.inline(F.array(*rows)))
 
-def draws(base: DataFrame, scenario: dict | None = None, chunk: int = CHUNK, partitions: int | None = None) -> DataFrame:
-    """One row per (ticker, draw) with triangular growth, perpetual growth and WACC draws
+
+def draws(base: DataFrame, scenarios=None) -> DataFrame:
+    """One row per (ticker, scenario, draw) with triangular growth, perpetual growth and WACC draws
     (V1, percent inputs), for tickers whose DCF base status is 'ok'."""
-    sc = dict(DEFAULT_SCENARIO, **(scenario or {}))
-    n = int(sc["sims"])
-    sid = int(sc["scenario_id"])
     b = base.where(F.col("status") == "ok").select("ticker", "base_fcff", "net_debt", "shares_outstanding", "price")
-    n_chunks = (n + chunk - 1) // chunk
-    c = b.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    parts = partitions or c.sparkSession.sparkContext.defaultParallelism
-    c = c.repartition(parts, "ticker", "chunk")
-    lo = F.col("chunk") * chunk
-    hi = F.least(lo + chunk, F.lit(n)) - 1
-    d = c.withColumn("draw", F.explode(F.sequence(lo, hi))).drop("chunk")
+    c = by_scenario(b, scenarios).repartition("ticker", "scenario_id")
+    d = c.where(F.col("sims") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("sims") - 1)))
     # one hash per draw, three 52-bit uniforms from disjoint slices of it
-    d = d.withColumn("_h", F.sha2(F.concat_ws("|", F.col("ticker"), F.lit(str(sid)), F.col("draw").cast("string")), 256))
+    d = d.withColumn("_h", F.sha2(F.concat_ws("|", F.col("ticker"), F.col("scenario_id").cast("string"),
+                                              F.col("draw").cast("string")), 256))
     d = d.select("*", *[S.hex_uniform(F.col("_h"), i).alias(f"_u{i}") for i in range(3)])
 
     def tri(i, p):
-        return S.triangular(F.col(f"_u{i}"), sc[f"{p}_min"] / 100.0, sc[f"{p}_mode"] / 100.0, sc[f"{p}_max"] / 100.0)
+        return S.triangular(F.col(f"_u{i}"), *[F.col(f"_{p}_{x}") for x in ("min", "mode", "max")])
 
-    return d.select("ticker", F.lit(sid).alias("scenario_id"), "draw", "base_fcff", "net_debt", "shares_outstanding",
+    return d.select("ticker", "scenario_id", "draw", "base_fcff", "net_debt", "shares_outstanding",
                     "price", tri(0, "growth").alias("growth"), tri(1, "perpetual").alias("perpetual"),
                     tri(2, "wacc").alias("wacc"))
 
@@ -87,28 +101,36 @@ def summary(values: DataFrame) -> DataFrame:
                     F.col("_p")[2].alias("p90"), "n_valid", "current_price")
 
 
-def margin_of_safety(s: DataFrame) -> DataFrame:
-    """V5: mean intrinsic value against the current price."""
-    m, p = F.col("mean"), F.col("current_price")
-    return s.select("ticker", "scenario_id", p.alias("current_price"), m.alias("intrinsic_value"),
-                    ((m - p) / F.nullif(m, F.lit(0.0))).alias("margin_of_safety"),
-                    F.when(m > p, "undervalued").otherwise("overvalued").alias("verdict"))
-
-
 def histogram(values: DataFrame, bins: int = 100) -> DataFrame:
-    """``bins`` equal-width bins between each ticker's min and max value; counts.  The
-    per-ticker range is a small aggregate joined back on ticker."""
-    rng = values.groupBy("ticker", "scenario_id").agg(F.min("intrinsic_value").alias("lo"),
-                                                      F.max("intrinsic_value").alias("hi"))
-    x = values.join(rng, ["ticker", "scenario_id"])
+    """``bins`` equal-width bins between the min and max value of each ticker and scenario;
+    counts.  The range is a window over the group where it lies: one expansion of the draws."""
+    w = Window.partitionBy("ticker", "scenario_id")
+    x = values.select("ticker", "scenario_id", "intrinsic_value", F.min("intrinsic_value").over(w).alias("lo"),
+                      F.max("intrinsic_value").over(w).alias("hi"))
     width = F.col("hi") - F.col("lo")
     b = F.when(width > 0, F.floor((F.col("intrinsic_value") - F.col("lo")) / width * bins) + 1).otherwise(F.lit(1))
     b = F.least(b, F.lit(bins)).cast("int")
     return (x.withColumn("bin", b).groupBy("ticker", "scenario_id", "bin")
-            .agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
             .select("ticker", "scenario_id", "bin", "n",
                     (F.col("lo") + (F.col("bin") - 1) * (F.col("hi") - F.col("lo")) / bins).alias("bin_start")))
 
 
-def monte_carlo_dcf(base: DataFrame, scenario: dict | None = None) -> DataFrame:
-    return summary(intrinsic_values(draws(base, scenario)))
+def monte_carlo_dcf(base: DataFrame, scenarios=None) -> DataFrame:
+    """V4 with a row for every ticker and scenario: ``status`` is 'ok', the reason why the DCF base
+    is missing, or that no simulation was valid."""
+    s = summary(intrinsic_values(draws(base, scenarios)))
+    every = by_scenario(base.select("ticker", "status", F.col("price").alias("_price")), scenarios).select(
+        "ticker", "scenario_id", "status", "_price")
+    status = F.when((F.col("status") == "ok") & F.col("n_valid").isNull(), NO_VALUE).otherwise(F.col("status"))
+    return every.join(s, ["ticker", "scenario_id"], "left").select(
+        "ticker", "scenario_id", status.alias("status"), "mean", "median", "p10", "p90",
+        F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.col("_price").alias("current_price"))
+
+
+def margin_of_safety(s: DataFrame) -> DataFrame:
+    """V5: mean intrinsic value against the current price; null where there is no value."""
+    m, p = F.col("mean"), F.col("current_price")
+    return s.select("ticker", "scenario_id", "status", p.alias("current_price"), m.alias("intrinsic_value"),
+                    ((m - p) / F.nullif(m, F.lit(0.0))).alias("margin_of_safety"),
+                    F.when(m > p, "undervalued").when(m <= p, "overvalued").alias("verdict"))

@@ -113,7 +113,7 @@ from b
 FIXTURE_SQL["fact_news_sentiment"] = """
 select concat('S', cast(d.doc_id % (select count(*) from supplier) as string)) ticker, d.doc_id,
   timestamp '2024-01-01 00:00:00' + interval '1' hour * cast(d.doc_id as int) published_at,
-  substr(d.text, 1, 80) title, concat('doc://', md5(d.text)) article_url, d.source source_name, substr(d.text, 81, 400) description,
+  substr(d.text, 1, 80) title, concat('doc://', md5(d.text)) article_url, d.source source_name, substr(d.text, 81) description,
   case when toxic = 1 then 'negative' when quality = 1 then 'positive' when quality = 0 then 'neutral' end sentiment_label
 from documents d left join labels l on d.doc_id = l.doc_id
 """

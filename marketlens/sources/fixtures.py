@@ -8,8 +8,6 @@ aggregate with partial (map-side) aggregation before the single shuffle on their
 
 from __future__ import annotations
 
-import hashlib
-import os
 import uuid
 from dataclasses import dataclass
 from functools import cached_property
@@ -213,7 +211,7 @@ def news(documents: DataFrame, labels: DataFrame, supplier: DataFrame) -> DataFr
                     F.substring("text", 1, 80).alias("title"),
                     F.concat(F.lit("doc://"), F.md5("text")).alias("article_url"),
                     F.col("source").alias("source_name"),
-                    F.substring("text", 81, 400).alias("description"),
+                    F.expr("substr(text, 81)").alias("description"),
                     lab.alias("sentiment_label")))
 
 
@@ -249,44 +247,31 @@ def bonds(part: DataFrame) -> DataFrame:
         F.expr("cast(5 + (pk % 100) / 10.0 as double)").alias("duration"))
 
 
-def _warehouse_key(sf_dir: str) -> str:
-    """Identity of an input directory: its path plus the sizes and times of its files."""
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    try:
-        for f in sorted(os.listdir(sf_dir)):
-            st = os.stat(os.path.join(sf_dir, f))
-            h.update(f"{f}:{st.st_size}:{int(st.st_mtime)}".encode())
-    except OSError:
-        pass
-    return h.hexdigest()[:16]
+# Tables written by this process: (application, input directory, table) -> path.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def materialize(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` once to ``path`` (Parquet) and read it back.
+def materialize(spark: SparkSession, build, sf_dir: str, name: str) -> DataFrame:
+    """Write a derived table once per application into the shared checkpoint folder and read it back.
 
-    The write goes to a unique attempt directory that is renamed into place with the Hadoop
-    FileSystem API (atomic on HDFS and local disks), so concurrent jobs never read a partial
-    table and a lost executor only retries its tasks.  An existing complete table is reused.
-    """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
-        attempt = f"{path}.attempt-{uuid.uuid4().hex[:8]}"
-        df.write.mode("overwrite").parquet(attempt)
-        fs.mkdirs(target.getParent())
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(attempt), target):
-            fs.delete(jvm.org.apache.hadoop.fs.Path(attempt), True)   # another job won the race
-    return spark.read.parquet(path)
+    Every application writes to a fresh folder, so neither changed inputs nor changed code can be
+    answered from old tables, and no job reads a table that another is still writing."""
+    from ..session import checkpoint_dir
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/warehouse/{uuid.uuid4().hex}/{name}"
+        build().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
 
 
 @dataclass
 class Market:
     """Market tables derived from one test-data directory.
 
-    With ``stored=True`` every derived table is written once to the shared checkpoint folder
-    (``spark.checkpoint.dir``) and read back, as the warehouse would hold it: queries then scan
+    With ``stored=True`` every derived table is written once per application to the shared checkpoint
+    folder (``spark.checkpoint.dir``) and read back, as the warehouse would hold it: queries then scan
     Parquet with pushed filters and pruned columns instead of re-deriving from line items.
     """
 
@@ -298,12 +283,7 @@ class Market:
         return read_table(self.spark, self.sf_dir, name)
 
     def _t(self, name: str, build) -> DataFrame:
-        if not self.stored:
-            return build()
-        from ..session import checkpoint_dir
-
-        root = checkpoint_dir(self.spark).rstrip("/")
-        return materialize(self.spark, build(), f"{root}/warehouse/{_warehouse_key(self.sf_dir)}/{name}")
+        return materialize(self.spark, build, self.sf_dir, name) if self.stored else build()
 
     @cached_property
     def prices(self) -> DataFrame:

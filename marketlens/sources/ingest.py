@@ -29,10 +29,11 @@ def normalise_prices(raw: DataFrame, ticker: str | None = None) -> DataFrame:
         return F.expr(f"try_cast(`{cols[name]}` as double)") if name in cols else F.lit(None).cast("double")
 
     vol = F.expr(f"try_cast(`{cols['volume']}` as double)") if "volume" in cols else F.lit(None)
-    out = raw.select(tk.cast("string").alias("ticker"),
+    out = raw.withColumn("_v", vol.cast("double")).select(tk.cast("string").alias("ticker"),
                      F.expr(f"try_cast(`{cols['date']}` as date)").alias("date"),
                      num("open").alias("open"), num("high").alias("high"), num("low").alias("low"),
-                     num("close").alias("close"), F.coalesce(vol, F.lit(0.0)).cast("bigint").alias("volume"))
+                     num("close").alias("close"), 
+                     F.coalesce(F.expr("try_cast(nanvl(_v, null) as bigint)"), F.lit(0).cast("bigint")).alias("volume"))
     return out.na.drop(subset=["close", "ticker", "date"])
 
 
@@ -71,15 +72,18 @@ def normalise_articles(raw: DataFrame) -> DataFrame:
 
 # ---- keyed writes -------------------------------------------------------------------------
 def upsert(target: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Last write wins on the business key (updates after target; within the update
-    batch, later rows win: pass a ``_load_seq`` column to order them)."""
+    """Last write wins on the business key (updates after target).  Within the update batch the
+    row with the greatest ``_load_seq`` wins; without that column a key may occur only once, and a
+    repeated one fails the job rather than pick a row."""
     seq = "_load_seq"
     t = target.withColumn("_src", F.lit(0))
     u = updates.withColumn("_src", F.lit(1))
     if seq not in t.columns:
         t = t.withColumn(seq, F.lit(0).cast("long"))
     if seq not in u.columns:
-        u = u.withColumn(seq, F.lit(0).cast("long"))
+        n = F.count(F.lit(1)).over(Window.partitionBy(*[F.col(k) for k in key]))
+        one = F.when(n > 1, F.raise_error(F.lit("upsert: a key occurs twice and there is no _load_seq"))).otherwise(F.lit(0))
+        u = u.withColumn(seq, one.cast("long"))
     both = t.unionByName(u, allowMissingColumns=True)
     out = snap.dedupe(both, list(key), [F.col("_src"), F.col(seq)], keep="last")
     return out.drop("_src", seq)

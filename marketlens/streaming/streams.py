@@ -55,10 +55,8 @@ def upsert_prices_batch(target_path: str, key=("ticker", "date")):
         clean = ing.normalise_prices(batch)
         cur = f"{target_path}/v{epoch_id}"
         prev = f"{target_path}/v{epoch_id - 1}"
-        try:
-            stored = spark.read.parquet(prev)
-        except Exception:  # noqa: BLE001 - first batch: nothing stored yet
-            stored = clean.limit(0)
+        # only the first batch has nothing stored; an unreadable predecessor fails the batch
+        stored = spark.read.parquet(prev) if epoch_id > 0 else clean.limit(0)
         ing.upsert(stored, clean, list(key)).write.mode("overwrite").parquet(cur)
 
     return run

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions import scalar as S
+from marketlens.operators import snapshot as snap
+from marketlens.plans import fundamentals as fu
 from marketlens.plans import news as nw
 from marketlens.plans import risk
 from marketlens.plans import valuation as va
@@ -121,12 +123,83 @@ def test_sentiment_percentages_sum_to_100(spark):
     assert got["B"].pct_positive == 0.0 and got["A"].n_labelled == 2
 
 
-def test_scorer_failure_is_neutral(spark):
-    df = spark.createDataFrame([("t", "d", None), ("", "d", None), ("t", "d", "positive")],
-                               "title string, description string, sentiment_label string")
+def test_scorer_labels_whole_texts_and_keeps_labels(spark):
+    late = "x " * 3000 + "fraud and losses"
+    df = spark.createDataFrame([("t", "d", None, None), ("", "d", None, None), ("t", late, None, None),
+                                ("record profits", "a weak quarter", None, None), ("t", "fraud", "positive", 0.7)],
+                               "title string, description string, sentiment_label string, sentiment_score double")
+    got = [(r.sentiment_label, r.sentiment_score, r.scored) for r in nw.score_articles(df).collect()]
+    assert got == [("neutral", 0.0, True), (None, None, False), ("negative", 1.0, True),
+                   ("positive", pytest.approx(1 / 3), True), ("positive", 0.7, False)]
 
-    def broken(texts):
-        raise RuntimeError("model down")
 
-    got = nw.score_articles(df, broken).collect()
-    assert [(r.sentiment_label, r.sentiment_score) for r in got] == [("neutral", 0.0), (None, None), ("positive", None)]
+def test_scenarios_and_status_rows(spark):
+    base = spark.createDataFrame([("A", 100.0, 10.0, 5.0, 20.0, "ok"), ("B", None, None, None, 3.0, "missing TTM data: CapEx")],
+                                 "ticker string, base_fcff double, net_debt double, shares_outstanding double, "
+                                 "price double, status string")
+    never = {"scenario_id": 9, "sims": 50, "wacc_min": 1.0, "wacc_mode": 1.0, "wacc_max": 1.0, "perpetual_min": 2.0,
+             "perpetual_mode": 2.0, "perpetual_max": 2.0}
+    got = {(r.ticker, r.scenario_id): r for r in va.monte_carlo_dcf(base, [{"sims": 100}, never]).collect()}
+    assert len(got) == 4
+    assert got["A", 1].status == "ok" and got["A", 1].n_valid > 0
+    assert got["A", 9].status == va.NO_VALUE and got["A", 9].n_valid == 0
+    assert got["B", 1].status == "missing TTM data: CapEx" and got["B", 1].mean is None
+    plan = va.summary(va.intrinsic_values(va.draws(base, [{}])))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def statements(spark, rows):
+    return spark.createDataFrame(rows, "ticker string, report_date string, statement_type string, metric_name string, "
+                                       "metric_value double").withColumn("report_date", F.to_date("report_date"))
+
+
+def test_newer_balance_date_without_the_metric_counts(spark):
+    st = statements(spark, [("A", "2024-03-31", "balance_q", "Total Debt", 5.0), ("A", "2024-06-30", "balance_q", "Total Assets", 9.0),
+                            ("B", "2024-03-31", "balance_a", "Total Assets", 1.0)])
+    got = {r.ticker: (r.cash, r.total_debt) for r in fu.balance_latest(st).collect()}
+    assert got == {"A": (0.0, 0.0), "B": (0.0, 0.0)}
+
+
+def test_header_change_falls_back(spark):
+    dim = spark.createDataFrame([(t, t, "s", "AA") for t in "ABC"], "ticker string, company_name string, sector string, credit_rating string")
+    summ = spark.createDataFrame([(t, "2024-01-05", 12.0) for t in "ABC"], "ticker string, date_updated string, price double")
+    summ = summ.selectExpr("ticker", "to_date(date_updated) date_updated", "price", "1d market_cap", "1d pe_ratio", "1d beta",
+                           "0.1d predicted_default_prob")
+    px = spark.createDataFrame([("A", "2024-01-02", 8.0), ("A", "2024-01-03", 9.0), ("B", "2024-01-03", 10.0)],
+                               "ticker string, date string, close double").withColumn("date", F.to_date("date"))
+    got = {r.ticker: (r.prev_close, r.change, r.change_pct) for r in fu.header_facts(dim, summ, px).collect()}
+    assert got == {"A": (8.0, 4.0, 50.0), "B": (10.0, 2.0, 20.0), "C": (12.0, 0.0, 0.0)}
+
+
+def test_sort_key_takes_the_latest_row_first(spark):
+    df = spark.createDataFrame([("A", 1, 5.0), ("A", 2, None), ("B", 1, 7.0)], "ticker string, date_updated int, x double")
+    assert [(r.ticker, r.x) for r in snap.sort_key(df, "x").collect()] == [("B", 7.0)]
+
+
+def test_market_cap_text_has_no_trillions(spark):
+    from marketlens.functions.scalar import fmt_market_cap
+
+    df = spark.createDataFrame([(2e12,), (4.5e9,), (3e6,), (None,)], "market_cap double")
+    assert [r[0] for r in df.select(fmt_market_cap()).collect()] == ["$2,000.00B", "$4.50B", "$3.00M", "-"]
+
+
+def test_normaliser_takes_nan_volume_and_upsert_demands_an_order(spark):
+    raw = spark.createDataFrame([("A", "2024-01-02", "1", "NaN"), ("A", "2024-01-03", "2", "x"), ("A", "2024-01-04", "3", "7")],
+                                "Ticker string, Date string, Close string, Volume string")
+    assert [r.volume for r in ing.normalise_prices(raw).orderBy("date").collect()] == [0, 0, 7]
+    clean = ing.normalise_prices(raw)
+    with pytest.raises(Exception, match="a key occurs twice"):
+        ing.upsert(clean.limit(0), clean.unionAll(clean), ["ticker", "date"]).collect()
+
+
+def test_streamed_upsert_never_forgets(spark, tmp_path):
+    from marketlens.streaming.streams import upsert_prices_batch
+
+    run = upsert_prices_batch(str(tmp_path / "t"))
+    day = lambda d: spark.createDataFrame([("A", d, "1")], "Ticker string, Date string, Close string")
+    run(day("2024-01-02"), 0)
+    run(day("2024-01-03"), 1)
+    assert spark.read.parquet(str(tmp_path / "t/v1")).count() == 2
+    with pytest.raises(Exception):
+        run(day("2024-01-05"), 3)
+    assert not (tmp_path / "t/v3").exists()
