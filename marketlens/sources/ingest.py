@@ -209,6 +209,34 @@ def two_tier_prices(primary: DataFrame, secondary: DataFrame, symbols: DataFrame
     return snap.dedupe(both, ["date", "ticker"], [F.col("_o")], keep="last").drop("_o")
 
 
+def price_history(primary: DataFrame, secondary: DataFrame, tickers: Sequence[str] | None = None, period: str = "5y",
+                  as_of=None) -> DataFrame:
+    """Closes of a period token ('1y', 'ytd', '5y') per ticker, each with its source."""
+    today = S.as_date(as_of) if as_of is not None else primary.select(F.max("date")).scalar()
+    out = two_tier_prices(primary, secondary, as_of=today)
+    if tickers:
+        out = out.where(F.col("ticker").isin(list(tickers)))
+    return out.where(F.col("date") >= S.period_start(period, today)).select("ticker", "date", "close", "source")
+
+
+def freshness(df: DataFrame, date_col: str = "date", max_age_days: int = 3, as_of=None) -> DataFrame:
+    """Number of tickers, and of those with a row at most ``max_age_days`` old."""
+    today = S.as_date(as_of) if as_of is not None else df.select(F.max(date_col)).scalar()
+    hwm = high_water_mark(df, date_col).where(F.col("hwm").isNotNull())
+    return hwm.agg(F.count(F.lit(1)).alias("n_tickers"),
+                   F.count_if(F.datediff(today, F.col("hwm")) <= max_age_days).alias("n_fresh"))
+
+
+def symbol_options(dim: DataFrame, sector: str | None = None, selected: Sequence[str] = ()) -> DataFrame:
+    """Symbols of a sector (None: all) that are not selected, labelled 'name (ticker)' or, without
+    a name, by the ticker."""
+    x = dim if sector is None else dim.where(F.col("sector") == sector)
+    if selected:
+        x = x.where(~F.col("ticker").isin(list(selected)))
+    name = F.nullif(F.col("company_name"), F.lit(""))
+    return x.select("ticker", F.coalesce(F.concat(name, F.lit(" ("), F.col("ticker"), F.lit(")")), F.col("ticker")).alias("label"))
+
+
 def two_tier_values(primary: DataFrame, secondary: DataFrame, value_col: str) -> DataFrame:
     """Primary non-null values; the secondary's for tickers missing there (first wins)."""
     p = primary.where(F.col(value_col).isNotNull()).select("ticker", value_col).withColumn("_o", F.lit(0))
