@@ -127,15 +127,6 @@ def period_start(period: str, as_of: Column) -> Column:
 
 
 # ---- reproducible uniforms and triangular draws (V1) -----------------------------------------
-def md5_uniform(*parts: Column) -> Column:
-    """A uniform in [0, 1) from the first 52 bits of md5 of the parts joined with '|'.
-
-    Deterministic per row (the same draw on every retry of a task), and identical to
-    DuckDB's md5, so the oracle can repeat the exact draws."""
-    s = F.concat_ws("|", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("double") / float(2 ** 52)
-
-
 def hex_uniform(hexstr: Column, slot: int) -> Column:
     """A uniform in [0, 1) from the ``slot``-th 13-hex-digit (52-bit) slice of a hex digest."""
     return F.conv(F.substring(hexstr, 1 + 13 * slot, 13), 16, 10).cast("double") / float(2 ** 52)

@@ -237,14 +237,16 @@ with {_risk_base_sql().strip()},
 s1 as (select *, current_assets / nullif(current_liabilities, 0) as cr, ebit / nullif(total_revenue, 0) as om,
          {ttm('net_income')} / nullif({roll('stockholders_equity', 4, 'mean', 4)}, 0) as roe,
          {pct('total_revenue', 4)} as rev_yoy, current_assets - current_liabilities as nwc from b)
-select ticker, report_date,
+select ticker, report_date, closing_price, market_cap, shares_outstanding,
   {sel}
 from s1"""
 
 
-@register("risk_features", _risk_features_sql(), [ST, P, SUM, DIM], RISK_FEATURE_COLUMNS, 8,
+@register("risk_features", _risk_features_sql(), [ST, P, SUM, DIM],
+          ["closing_price", "market_cap", "shares_outstanding", *RISK_FEATURE_COLUMNS], 8,
           colplaces={"ma_net_income": 7})
 def risk_features_q(m):
-    """The 27 credit-risk features for every (ticker, report date)."""
+    """The 27 credit-risk features for every (ticker, report date), with the as-of close (J5),
+    market cap and shares."""
     base = fu.risk_base(m.statements, m.dim, m.summary, m.prices)
-    return risk_features(base)
+    return risk_features(base, keep=("report_date", "closing_price", "market_cap", "shares_outstanding"))

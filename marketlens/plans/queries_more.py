@@ -372,9 +372,9 @@ health as (select ticker,
     ca / nullif(cl, 0) as current_ratio, debt / nullif(equity, 0) as de_ratio from hj)"""
 
 
-@register("compare_health", f"with {_health_sql()} select * from health", [ST],
+@register("financial_health", f"with {_health_sql()} select * from health", [ST],
           ["net_debt_to_ebitda", "interest_coverage", "current_ratio", "de_ratio"], 10)
-def compare_health(m):
+def financial_health(m):
     """Financial health table (net debt / EBITDA, interest coverage, current ratio, D/E)."""
     return mk.health(m.statements)
 

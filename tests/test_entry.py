@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF001), reason="test data miss
 
 def test_entry_runs(spark):
     df = entry_mod.entry(spark)
-    assert len(df.columns) == 29
+    assert len(df.columns) == 32
     assert df.count() > 0
 
 
