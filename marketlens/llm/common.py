@@ -60,7 +60,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+# Tables written by `stored` and not yet released: the object and its folder.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Give back the disk of tables made by `stored` that nothing reads any more: each is overwritten
+    with no rows."""
+    for t in tables:
+        found = _PATHS.pop(id(t), None)
+        if found is not None:
+            t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(found[1])
 
 
 def text_of(col: str) -> Column:

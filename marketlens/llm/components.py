@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,8 +22,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     execution splits.  Self loops and repeated or reversed edges are allowed; nulls are dropped."""
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
     sym = stored(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = stored(sym.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                    .select("node", F.least("node", "m").alias("component")), "cc-labels")
+    table = stored(sym.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+                   .select("node", F.least("node", "m").alias("component")), "cc-labels")
+    labels = table
     while True:
         near = (sym.join(labels.select(F.col("node").alias("b"), "component"), "b")
                 .groupBy("a").agg(F.min("component").alias("m")))
@@ -32,9 +33,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("j"))
         after = stored(step.join(jump, "c", "left")
                        .select("node", "was", F.least("c", "j").alias("component")), "cc-labels")
+        release(table)
+        table, labels = after, after.select("node", "component")
         if after.filter("component <> was").isEmpty():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
+            release(sym)
+            return labels
 
 
 def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -6,12 +6,12 @@ anchors at equal offsets.  Only anchors that occur again matter.  Around each, t
 windows can reach (its context) are gathered; equal contexts collapse before the shuffle, and those
 that occur twice are repeated throughout.
 
-Distinct contexts of an anchor go to one suffix sort: suffixes are compared by their longest common
-extension, found by binary search over prefix polynomial hashes, so a comparison takes a
-logarithmic number of steps; a mergesort of all suffixes of a batch runs vectorised, and neighbours
-whose hashes agree over SPAN bytes are verified byte by byte.  Anchors with more than `GROUP`
-distinct contexts are sorted in chunks; what a chunk leaves open is settled between the chunks by an
-aggregate over window digests, so no anchor has to fit one task.
+Distinct contexts of an anchor go to one suffix sort, the bytes from the anchor on and the reversed
+bytes before it: suffixes are compared by their longest common extension, found by binary search
+over prefix polynomial hashes, so a comparison takes a logarithmic number of steps; a mergesort of
+a whole batch runs vectorised, and the extensions of neighbours are verified byte by byte.  Anchors
+with more than `GROUP` distinct contexts are sorted in chunks; what a chunk leaves open is settled
+between the chunks by aggregates over digests, so no anchor has to fit one task.
 """
 
 from __future__ import annotations
@@ -24,14 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import release, stored, text_of
 
 SPAN = 200
 GRAM = 100
 GROUP = 256
-BATCH_SUFFIXES = 200_000
+# Contexts that are sorted together, and offsets per block of windows between chunks.
+BATCH = 8192
+OFFSETS = 8
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
+_BLOCKS = pa.struct([("block", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("windows", pa.list_(pa.struct(
+    [("offset", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("open", pa.bool_())])))])
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -97,56 +101,59 @@ def reach(at: np.ndarray, size: int, span: int = SPAN, gram: int = GRAM) -> tupl
     return np.minimum(at, span - gram), np.minimum(size - at, span)
 
 
-def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Longest common extension of the suffixes at a and b, up to ``limit``, by binary search."""
+def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Longest common extension of the suffixes at a and b, up to ``limit`` each, by binary search."""
     low = np.zeros(len(a), np.int64)
-    step = 1 << (limit.bit_length() - 1)
+    step = 1 << (int(limit.max(initial=1)).bit_length() - 1)
     while step:
         to = low + step
-        ok = to <= limit
-        probe = np.where(ok, to, 0)
+        probe = np.where(to <= limit, to, 0)
         same = range_hashes(prefix, a, probe) == range_hashes(prefix, b, probe)
-        low = np.where(ok & same, to, low)
+        low = np.where((to <= limit) & same, to, low)
         step >>= 1
     return low
 
 
-def before(data: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int, ties: bool) -> np.ndarray:
-    """Whether the suffix at a sorts before that at b (``ties``: or ranks equal over ``limit`` bytes)."""
-    shared = common_extension(prefix, a, b, limit)
-    end = shared >= limit
+def before(data: np.ndarray, prefix: np.ndarray, a, b, size_a, size_b, ties: bool) -> np.ndarray:
+    """Whether the suffix at a (of size_a bytes) sorts before that at b (``ties``: or is equal)."""
+    least = np.minimum(size_a, size_b)
+    shared = common_extension(prefix, a, b, least)
+    end = shared >= least
     at = np.where(end, 0, shared)
-    return np.where(end, ties, data[a + at] < data[b + at])
+    tail = size_a <= size_b if ties else size_a < size_b
+    last = len(data) - 1                                       # an empty suffix may stand at the end
+    return np.where(end, tail, data[np.minimum(a + at, last)] < data[np.minimum(b + at, last)])
 
 
-def suffix_sort(data: np.ndarray, prefix: np.ndarray, key: np.ndarray, start: np.ndarray, limit: int) -> np.ndarray:
-    """Order of the suffixes ``start`` by (key, first ``limit`` bytes): a mergesort in which all merges
-    of a level run at once.  Each suffix finds its rank in the run beside its own by binary search."""
+def suffix_sort(data: np.ndarray, prefix: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Order of the suffixes ``start`` (``size`` bytes each) by key, then bytes: a mergesort in which all
+    merges of a level run at once.  Each suffix finds its rank in the run beside its own by binary
+    search."""
     order = np.argsort(key, kind="stable")
     group = key[order]
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(group)))
-    base, total = np.repeat(first, size), np.repeat(size, size)
+    members = np.diff(np.append(first, len(group)))
+    base, total = np.repeat(first, members), np.repeat(members, members)
     here = np.arange(len(group)) - base
     width = 1
-    while width < (size.max() if len(size) else 0):
+    while width < members.max(initial=0):
         run = here // width
         mate = (run ^ 1) * width                               # the neighbouring run of the same key
-        n_mate = np.clip(total - mate, 0, width)
-        left = (run & 1) == 0
-        rows = np.flatnonzero(n_mate > 0)
-        low, high = np.zeros(len(rows), np.int64), n_mate[rows]
-        mine = start[order[rows]]
-        while True:
-            go = np.flatnonzero(low < high)
-            if not len(go):
-                break
+        rows = np.flatnonzero(total > mate)
+        low, high = np.zeros(len(rows), np.int64), np.minimum(total - mate, width)[rows]
+        left = ((run & 1) == 0)[rows]
+        go = np.arange(len(rows))
+        while len(go):
             mid = (low[go] + high[go]) // 2
-            other = start[order[base[rows[go]] + mate[rows[go]] + mid]]
-            later = np.where(left[rows[go]], before(data, prefix, other, mine[go], limit, False),
-                             before(data, prefix, other, mine[go], limit, True))
+            mine = order[rows[go]]
+            other = order[base[rows[go]] + mate[rows[go]] + mid]
+            # of equal suffixes the left run's come first
+            later = np.where(left[go],
+                             before(data, prefix, start[other], start[mine], size[other], size[mine], False),
+                             before(data, prefix, start[other], start[mine], size[other], size[mine], True))
             low[go] = np.where(later, mid + 1, low[go])
             high[go] = np.where(later, high[go], mid)
+            go = go[low[go] < high[go]]
         place = base + here
         place[rows] = base[rows] + np.minimum(run[rows] * width, mate[rows]) + here[rows] % width + low
         moved = np.empty_like(order)
@@ -156,35 +163,51 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, key: np.ndarray, start: np
     return order
 
 
-def repeated(data: np.ndarray, start: np.ndarray, key: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes ``start`` (each with ``span`` bytes ahead), compared within equal ``key``: whether
-    another has the same ``span`` bytes, and the number of the first of its equals."""
-    flag, leader = np.zeros(len(start), bool), np.arange(len(start))
-    if not len(start):
-        return flag, leader
+def neighbours(data: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of (key, suffix) and the longest common extension of each entry with the one before
+    it (0 where the key changes).  What the hashes call common is verified byte by byte."""
     prefix = prefix_hashes(data)
-    order = suffix_sort(data, prefix, key, start, span)
+    order = suffix_sort(data, prefix, key, start, size)
     a, b = order[:-1], order[1:]
-    near = np.flatnonzero((key[a] == key[b]) & (range_hashes(prefix, start[a], span) == range_hashes(prefix, start[b], span)))
-    equal = np.zeros(len(a), bool)
-    for i in range(0, len(near), 8192):                        # equal hashes: the bytes decide
-        k = near[i:i + 8192]
-        ahead = np.arange(span)
-        equal[k] = (data[start[a[k]][:, None] + ahead] == data[start[b[k]][:, None] + ahead]).all(axis=1)
-    flag[a] |= equal
-    flag[b] |= equal
-    fresh = np.concatenate([[True], ~equal])
-    leader[order] = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
-    return flag, leader
-
-
-def windows(left: np.ndarray, size: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(context, offset before the anchor) of every window of contexts with ``left`` bytes before it."""
-    most = left
-    least = np.maximum(0, span - (size - left))
-    n = np.maximum(0, np.minimum(most, span - gram) - least + 1)
-    row = np.repeat(np.arange(len(left)), n)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + least[row]
+    lcp = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        most = np.where(key[a] == key[b], np.minimum(size[a], size[b]), 0)
+        lcp[1:] = common_extension(prefix, start[a], start[b], most)
+        for i in range(1, len(order), 8192):
+            k = np.arange(i, min(i + 8192, len(order)))
+            ahead = np.arange(int(lcp[k].max(initial=0)))
+            x = np.minimum(start[order[k - 1]][:, None] + ahead, len(data) - 1)
+            y = np.minimum(start[order[k]][:, None] + ahead, len(data) - 1)
+            wrong = (data[x] != data[y]) & (ahead < lcp[k][:, None])
+            bad = np.flatnonzero(wrong.any(axis=1))
+            if len(bad):
+                lcp[k[bad]] = wrong[bad].argmax(axis=1)
+    return order, lcp
+
+
+def equal_windows(data: np.ndarray, key: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray,
+                  span: int = SPAN, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every offset before the anchors: (offset, contexts whose window starts there and fits, whether
+    another context of the same key has the same window, the first of its equals).
+
+    Two windows are equal if the contexts agree far enough to the right and to the left of the anchor.
+    The suffix array of the right sides and that of the reversed left sides are cut into classes
+    where a common extension falls short; a pair of class numbers names a window."""
+    n = len(anchor)
+    r_order, r_lcp = neighbours(data, key, anchor, right)
+    l_order, l_lcp = neighbours(data[::-1].copy(), key, len(data) - anchor, left)
+    new_key = np.zeros(n, bool)
+    new_key[1:] = key[l_order[1:]] != key[l_order[:-1]]
+    right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
+    for offset in range(span - gram + 1):
+        right_class[r_order] = np.cumsum(r_lcp < span - offset)
+        left_class[l_order] = np.cumsum((l_lcp < offset) | new_key)
+        fits = np.flatnonzero((left >= offset) & (right >= span - offset))
+        if not len(fits):
+            continue
+        _, first, inverse, count = np.unique(right_class[fits] * (n + 1) + left_class[fits], return_index=True,
+                                             return_inverse=True, return_counts=True)
+        yield offset, fits, count[inverse] > 1, fits[first[inverse]]
 
 
 def runs(row: np.ndarray, offset: np.ndarray, n: int, span: int = SPAN) -> list[list[int]]:
@@ -229,6 +252,7 @@ def _doc_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             prefix, second = prefix_hashes(data), prefix_hashes(data, _BASE2)
             left, right = reach(at, len(data))
             c1, c2 = _digest(prefix, second, at - left, left + right)
+            c1 ^= mixed(left.astype(np.uint64) + np.uint64(1)).view(np.int64)      # where the anchor stands is part of it
             key = mixed(range_hashes(prefix, at, GRAM)).view(np.int64)
             take = pa.array(np.full(len(at), i, np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -256,34 +280,51 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.
 
 
 def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix-sort the windows of each (anchor, chunk): covered runs, and what chunks leave open."""
-    for t in _whole_groups(batches, BATCH_SUFFIXES // (SPAN - GRAM + 1)):
+    """Sort the contexts of each (anchor, chunk): covered runs, and what chunks leave open.
+
+    `rest` holds, of anchors with several chunks, the windows that are alone in their chunk and one of
+    each class that is not, in blocks of offsets; a block carries the digest of the bytes that all
+    its windows share, so that only blocks with a partner are ever opened."""
+    for t in _whole_groups(batches, BATCH):
         contexts = t["context"].to_pylist()
         left = t["before"].to_numpy()
         size = np.fromiter(map(len, contexts), np.int64, len(contexts))
         begin = np.cumsum(size) - size
         data = np.frombuffer(b"".join(contexts), np.uint8)
         a, c = t["anchor"].to_numpy(), t["chunk"].to_numpy()
-        group = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (c[1:] != c[:-1]))])
-        row, offset = windows(left, size)
-        start = begin[row] + left[row] - offset
-        flag, leader = repeated(data, start, group[row] * (SPAN + 1) + offset)
+        key = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (c[1:] != c[:-1]))])
         twice = t["n"].to_numpy() > 1
-        flag |= twice[row]
-        split = t["chunks"].to_numpy()[row] > 1
-        found = runs(row[flag], offset[flag], len(contexts))
-        # between chunks: windows still open, and one of each that is settled
-        lone = np.flatnonzero(split & (~flag | (leader == np.arange(len(row)))))
-        w1, w2 = _digest(prefix_hashes(data), prefix_hashes(data, _BASE2), start[lone], SPAN) if len(lone) else (np.zeros(0, np.int64),) * 2
-        sizes = np.bincount(row[lone], minlength=len(contexts))
-        ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
-        by_row = np.argsort(row[lone], kind="stable")
-        items = pa.StructArray.from_arrays(
-            [pa.array(offset[lone][by_row].astype(np.int32)), pa.array(w1[by_row]), pa.array(w2[by_row]), pa.array(~flag[lone][by_row])],
-            ["offset", "w1", "w2", "open"])
+        split = t["chunks"].to_numpy() > 1
+        at = begin + left
+        rows, offsets, open_row, open_offset, is_open = [], [], [], [], []
+        for offset, fits, again, first in equal_windows(data, key, at, left, size - left):
+            again |= twice[fits]
+            rows.append(fits[again])
+            offsets.append(np.full(int(again.sum()), offset))
+            lone = split[fits] & (~again | (first == fits))
+            if lone.any():
+                open_row.append(fits[lone])
+                open_offset.append(np.full(int(lone.sum()), offset))
+                is_open.append(~again[lone])
+        none = np.zeros(0, np.int64)
+        found = runs(np.concatenate([none, *rows]), np.concatenate([none, *offsets]), len(contexts))
+        rest: list[list[dict]] = [[] for _ in contexts]
+        if open_row:
+            row, offset, free = (np.concatenate(x) for x in (open_row, open_offset, is_open))
+            order = np.lexsort((offset, row))
+            row, offset, free = row[order], offset[order], free[order]
+            prefix, second = prefix_hashes(data), prefix_hashes(data, _BASE2)
+            w1, w2 = _digest(prefix, second, at[row] - offset, SPAN)
+            block = offset // OFFSETS
+            cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])]))
+            k1, k2 = _digest(prefix, second, at[row[cut]] - block[cut] * OFFSETS, SPAN - OFFSETS + 1)
+            for i, (x, y) in enumerate(zip(cut.tolist(), np.append(cut[1:], len(row)).tolist())):
+                rest[row[x]].append({"block": int(block[x]), "k1": int(k1[i]), "k2": int(k2[i]), "windows": [
+                    {"offset": o, "w1": p, "w2": q, "open": f} for o, p, q, f in
+                    zip(offset[x:y].tolist(), w1[x:y].tolist(), w2[x:y].tolist(), free[x:y].tolist())]})
         yield pa.RecordBatch.from_arrays(
             [t[k].combine_chunks() for k in ("anchor", "c1", "c2")] +
-            [pa.array(found, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(ends), items)],
+            [pa.array(found, pa.list_(pa.int32())), pa.array(rest, pa.list_(_BLOCKS))],
             ["anchor", "c1", "c2", "spans", "rest"])
 
 
@@ -298,6 +339,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     again = stored(found.groupBy("anchor").count().filter("count > 1").select("anchor"), "suffix-again")
     spots = (found.join(again, "anchor").groupBy("id", "th").agg(F.collect_list("at").alias("spots")))
     spots = stored(spots, "suffix-spots")
+    release(found, again)
     schema = f"id {id_type}, th long, at long, anchor long, c1 long, c2 long, before long, context binary"
     near = stored(base.join(spots, base["id"].eqNullSafe(spots["id"]) & (base["th"] == spots["th"]))
                   .select(base["id"], base["th"], base["text"], "spots").mapInArrow(_doc_contexts, schema), "suffix-contexts")
@@ -305,23 +347,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     distinct = stored(near.groupBy("anchor", "c1", "c2", "before", "context").agg(F.count("*").alias("n")), "suffix-distinct")
     several = stored(distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.max("n").alias("most"))
                      .filter("m > 1 or most > 1"), "suffix-several")
+    release(spots)
     chunks = F.ceil(F.col("m") / GROUP)
     dealt = (distinct.join(several.select("anchor", chunks.alias("chunks")), "anchor")
              .withColumn("chunk", F.pmod(F.xxhash64("c1", "c2"), F.col("chunks"))))
     sorted_ = stored(
         dealt.select("anchor", "chunk", "chunks", "c1", "c2", "before", "context", "n")
         .repartition(F.col("anchor"), F.col("chunk")).sortWithinPartitions("anchor", "chunk", "c1", "c2")
-        .mapInArrow(_sort_contexts, "anchor long, c1 long, c2 long, spans array<int>, "
-                                    "rest array<struct<offset: int, w1: long, w2: long, open: boolean>>"), "suffix-sorted")
-    rest = sorted_.filter(F.size("rest") > 0).select("anchor", "c1", "c2", F.inline("rest"))
+        .mapInArrow(_sort_contexts, "anchor long, c1 long, c2 long, spans array<int>, rest array<struct<block: int, k1: long, "
+                                    "k2: long, windows: array<struct<offset: int, w1: long, w2: long, open: boolean>>>>"),
+        "suffix-sorted")
+    release(distinct, several)
+    blocks = stored(sorted_.filter(F.size("rest") > 0).select("anchor", "c1", "c2", F.inline("rest")), "suffix-blocks")
+    paired = stored(blocks.groupBy("anchor", "block", "k1", "k2").count().filter("count > 1").drop("count"), "suffix-paired")
+    rest = stored(blocks.join(paired, ["anchor", "block", "k1", "k2"]).select("anchor", "c1", "c2", F.inline("windows")), "suffix-rest")
     shared = stored(rest.groupBy("anchor", "offset", "w1", "w2").count().filter("count > 1").drop("count"), "suffix-between")
     more = (rest.filter("open").join(shared, ["anchor", "offset", "w1", "w2"])
             .select("anchor", "c1", "c2", F.array(-F.col("offset"), SPAN - F.col("offset")).alias("spans")))
     verdicts = stored(sorted_.filter(F.size("spans") > 0).select("anchor", "c1", "c2", "spans").unionAll(more)
                       .groupBy("anchor", "c1", "c2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-verdicts")
-    return (near.select("id", "th", "at", "anchor", "c1", "c2").join(verdicts, ["anchor", "c1", "c2"])
-            .select("id", "th", F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
-            .groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    release(sorted_, blocks, paired, rest, shared)
+    spans = stored(near.select("id", "th", "at", "anchor", "c1", "c2").join(verdicts, ["anchor", "c1", "c2"])
+                   .select("id", "th", F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
+                   .groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
+    release(near, verdicts)
+    return spans
 
 
 def cut_out(text: str, spans: list[int] | None) -> tuple[int, int, int, bytes]:
@@ -339,7 +389,7 @@ def cut_out(text: str, spans: list[int] | None) -> tuple[int, int, int, bytes]:
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    spans = stored(repeats(docs, id_col, text_col), "suffix-spans").toDF("__id", "__th", "__spans")
+    spans = repeats(docs, id_col, text_col).toDF("__id", "__th", "__spans")
     own = docs.withColumn("__text", text_of(text_col)).withColumn("__hash", F.xxhash64("__text"))
     return own.join(spans, own[f"`{id_col}`"].eqNullSafe(spans["__id"]) & (own["__hash"] == spans["__th"]), "left"), spans
 
