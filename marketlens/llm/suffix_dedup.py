@@ -28,7 +28,7 @@ from .common import release, stored, text_of
 
 SPAN = 200
 GRAM = 100
-GROUP = 256
+GROUP = 2048
 # Contexts that are sorted together, and offsets per block of windows between chunks.
 BATCH = 8192
 OFFSETS = 8
@@ -245,6 +245,7 @@ def _doc_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _doc_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        parts, raws, rows = [], [], 0
         for i, (t, spots) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
             raw = t.encode("utf-8", "replace")
             data = np.frombuffer(raw, np.uint8)
@@ -254,11 +255,22 @@ def _doc_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             c1, c2 = _digest(prefix, second, at - left, left + right)
             c1 ^= mixed(left.astype(np.uint64) + np.uint64(1)).view(np.int64)      # where the anchor stands is part of it
             key = mixed(range_hashes(prefix, at, GRAM)).view(np.int64)
-            take = pa.array(np.full(len(at), i, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(at), pa.array(key), pa.array(c1), pa.array(c2),
-                 pa.array(left), pa.array([raw[p - x:p + y] for p, x, y in zip(at.tolist(), left.tolist(), right.tolist())], pa.binary())],
-                ["id", "th", "at", "anchor", "c1", "c2", "before", "context"])
+            parts.append((np.full(len(at), i, np.int64), at, key, c1, c2, left))
+            raws += [raw[p:q] for p, q in zip((at - left).tolist(), (at + right).tolist())]
+            rows += len(at)
+            if rows >= BATCH:
+                yield _context_batch(b, parts, raws)
+                parts, raws, rows = [], [], 0
+        if parts:
+            yield _context_batch(b, parts, raws)
+
+
+def _context_batch(b: pa.RecordBatch, parts: list[tuple], raws: list[bytes]) -> pa.RecordBatch:
+    row, *columns = (np.concatenate(x) for x in zip(*parts))
+    take = pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [b.column(0).take(take), b.column(1).take(take), *map(pa.array, columns), pa.array(raws, pa.binary())],
+        ["id", "th", "at", "anchor", "c1", "c2", "before", "context"])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
