@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import release, stored, text_of
 from .components import connected_components
 
 SHINGLE = 8
@@ -105,42 +105,60 @@ def alike(a: set[str], b: set[str], similarity: float = SIMILARITY) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def list_edges(ids: list[int], lines: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Edges that connect the lines of a list as all pairs of at least ``similarity`` would."""
-    groups: list[list[tuple[int, set[str]]]] = []
-    edges = []
-    for i, line in zip(ids, lines):
-        own = shingles(line)
-        near = []
-        for g in groups:
-            mate = next((j for j, s in g if alike(own, s, similarity)), None)
-            if mate is not None:
-                edges.append((mate, i))
-                near.append(g)
-        if near:
-            near[0].append((i, own))
-            for g in near[1:]:
-                near[0].extend(g)
-                groups.remove(g)
-        else:
-            groups.append([(i, own)])
-    return edges
+class Verifier:
+    """Exact similarity of lines, each pair and each shingle set made once."""
+
+    def __init__(self, similarity: float = SIMILARITY):
+        self.similarity = similarity
+        self.sets: dict[int, set[str]] = {}
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def alike(self, i: int, j: int) -> bool:
+        found = self.known.get((i, j))
+        if found is None:
+            found = self.known[(i, j)] = alike(self.sets[i], self.sets[j], self.similarity)
+        return found
+
+    def edges(self, ids: list[int], lines: list[str]) -> list[tuple[int, int]]:
+        """Edges that connect the lines of a list as all similar pairs would."""
+        groups: list[list[int]] = []
+        out = []
+        for i, line in zip(ids, lines):
+            if i not in self.sets:
+                self.sets[i] = shingles(line)
+            near = []
+            for g in groups:
+                mate = next((j for j in g if self.alike(j, i)), None)
+                if mate is not None:
+                    out.append((mate, i))
+                    near.append(g)
+            if near:
+                near[0].append(i)
+                for g in near[1:]:
+                    near[0].extend(g)
+                    groups.remove(g)
+            else:
+                groups.append([i])
+        return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by list: edges of each list."""
-    now, ids, lines = None, [], []
+    """Rows ordered by first line and list: edges of each list.  Lists that begin with the same line
+    share one verifier."""
+    now, first, ids, lines, verifier = None, None, [], [], Verifier()
     out: list[tuple[int, int]] = []
     for b in batches:
-        for lid, i, line in zip(*(c.to_pylist() for c in b.columns)):
+        for f, lid, i, line in zip(*(c.to_pylist() for c in b.columns)):
             if lid != now:
-                out += list_edges(ids, lines)
+                out += verifier.edges(ids, lines)
+                if f != first:
+                    first, verifier = f, Verifier()
                 now, ids, lines = lid, [], []
             ids.append(i)
             lines.append(line)
         yield _edge_batch(out)
         out = []
-    yield _edge_batch(list_edges(ids, lines))
+    yield _edge_batch(verifier.edges(ids, lines))
 
 
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -162,17 +180,21 @@ def line_components(lines: DataFrame) -> DataFrame:
         F.sort_array(F.concat("l.ids", "r.ids")).alias("ids"))
     lists = stored(pairs.unionAll(cut.filter("parts = 1").select("ids")).unionAll(met).distinct()
                    .select(F.monotonically_increasing_id().alias("lid"), "ids"), "line-distinct-lists")
-    rows = stored(lists.select("lid", F.explode("ids").alias("id")), "line-members")
+    release(bands, buckets, wide, cut)
+    rows = stored(lists.select(F.col("ids")[0].alias("first"), "lid", F.explode("ids").alias("id")), "line-members")
     texts = stored(lines.select("id", "line").join(rows.select("id").distinct(), "id"), "line-candidates")
-    edges = stored(rows.join(texts, "id").select("lid", "id", "line").repartition("lid").sortWithinPartitions("lid", "id")
+    edges = stored(rows.join(texts, "id").select("first", "lid", "id", "line")
+                   .repartition("first").sortWithinPartitions("first", "lid", "id")
                    .mapInArrow(_verify, "a long, b long"), "line-edges")
+    release(lists, rows, texts)
     return connected_components(edges)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_of(text_col)
-    return (docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-            .filter(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != ""))
+    # the lists first: an explode beside the text would copy it for every line
+    lists = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n").alias("lines"))
+    return lists.select("id", "th", F.posexplode("lines").alias("pos", "line")).filter(F.col("line").rlike(r"[^ \t\r\x0B\f]"))
 
 
 def _name(line: Column) -> Column:
@@ -180,7 +202,7 @@ def _name(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit("line")).alias("h2"))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, drop): positions of the lines that go, per document that loses any.
 
     The first occurrence stays: smallest id (null ids last), then text hash, then position."""
@@ -198,8 +220,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = F.struct(F.col("id").isNull().alias("z"), "id", "th", "pos")
     first = stored(found.groupBy("component").agg(F.min(order).alias("k")).select("component", "k.id", "k.th", "k.pos")
                    .toDF("component", "k_id", "k_th", "k_pos"), "line-first")
+    release(distinct, doubles)
     keep = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")) & (F.col("pos") == F.col("k_pos"))
-    return found.join(first, "component").filter(~keep).groupBy("id", "th").agg(F.collect_list("pos").alias("drop"))
+    drops = stored(found.join(first, "component").filter(~keep).groupBy("id", "th").agg(F.collect_list("pos").alias("drop")),
+                   "line-drops")
+    release(found, first)
+    return drops
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +234,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Lines are cut at newline characters.  Blank lines are kept and match nothing; a null text
     stays null; other texts keep their line order.  Of rows that repeat both id and text all but one
     lose every line that is not blank."""
-    drops = stored(dropped_lines(docs, id_col, text_col), "line-drops").toDF("__d_id", "__d_th", "__drop")
+    drops = line_drops(docs, id_col, text_col).toDF("__d_id", "__d_th", "__drop")
     names = docs.columns
     own = docs.withColumn("__th", F.xxhash64(text_of(text_col)))
     joined = own.join(drops, own[f"`{id_col}`"].eqNullSafe(drops["__d_id"]) & (own["__th"] == drops["__d_th"]), "left")
