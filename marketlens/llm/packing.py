@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,12 @@ from .common import stored, text_of
 
 SIZE = 4096
 # Distinct chunks between white space whose ids a Python worker keeps (memory bound).
-CACHE = 700_000
+CACHE = 400_000
 # Rank groups per length.
 SALTS = 64
 
+_MARKS = (b",", b".")
+
 _WORKER: dict[str, tuple] = {}
 
 
@@ -45,17 +48,26 @@ def _tokenizer(path: str):
 def token_bytes(path: str, text: str) -> bytes:
     """Ids of ``text`` as little-endian unsigned 32-bit integers.
 
-    The vocabulary drops white space and never merges across it, so the ids of a text are those
-    of its chunks between ASCII white space; a worker encodes each distinct chunk once."""
+    The vocabulary lowers letters, drops white space and splits letters from marks, and never
+    merges across either; so the ids of a text are those of its chunks between ASCII white
+    space, and a mark after an ASCII letter at a chunk's end is a piece of its own.  A worker
+    encodes each distinct chunk once."""
     tok, known = _tokenizer(path)
     if len(known) > CACHE:
         known.clear()
-    chunks = text.encode("utf-8", "replace").split()
-    new = list(set(chunks).difference(known))
-    if new:
-        for chunk, enc in zip(new, tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-            known[chunk] = np.array(enc.ids, "<u4").tobytes()
-    return b"".join([known[c] for c in chunks])
+    raw = text.encode("utf-8", "replace")
+    chunks = (raw if b"<|" in raw else raw.lower()).split()    # special tokens are told apart by case
+    ids = list(map(known.get, chunks))
+    if None in ids:
+        new = {c for c, x in zip(chunks, ids) if x is None}
+        marked = [c for c in new if c[-1:] in _MARKS and c[-2:-1].isalpha()]
+        whole = list((new.difference(marked) | {c[:-1] for c in marked} | {c[-1:] for c in marked}).difference(known))
+        for chunk, enc in zip(whole, tok.encode_batch_fast([c.decode() for c in whole], add_special_tokens=False)):
+            known[chunk] = array("I", enc.ids).tobytes()
+        for c in marked:
+            known[c] = known[c[:-1]] + known[c[-1:]]
+        ids = [known[c] if x is None else x for c, x in zip(chunks, ids)]
+    return b"".join(ids)
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int = SIZE, id_col: str = "doc_id",
