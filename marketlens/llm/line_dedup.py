@@ -1,11 +1,18 @@
 """Line dedup: fuzzy lines by MinHash.
 
 Equal lines collapse first.  A distinct line's character shingles give a MinHash signature; bands of
-it name buckets, and lines that share a bucket are candidates.  Buckets of two are pairs at
-once; larger ones become lists of bounded length (a bucket with more than `LIST` lines is cut into
-parts, and every two parts meet), and equal lists are verified once.  Exact Jaccard similarity of the
-shingle sets decides inside a list, which hands on spanning edges; a distributed union-find makes
-components, and of all occurrences in a component the first stays.
+it name buckets, and lines that share a bucket are candidates.  Buckets of up to `LIST` lines are
+lists, and equal lists are verified once.  Exact Jaccard similarity of the shingle sets decides inside
+a list, which hands on spanning edges.
+
+Larger buckets are settled in rounds that lose no pair.  Representatives of their components meet in
+lists of about `LIST` until that joins no more; a bucket that is one component is done.  The lines of the
+others are split by their rarest shingles (prefix filter: of two similar lines the shorter has one of its
+first 1/9 and the longer one of its first 1/5 in common), small groups first, then again by
+representatives.  Only what is large and in several components after that meets part by part: the
+lines outside the largest component, or those that have the shingle in the shorter prefix, with all.
+
+A distributed union-find makes components, and of all occurrences in a component the first stays.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, stored, text_of
+from .common import release, shuffle_partitions, stored, text_of
 from .components import connected_components
 
 SHINGLE = 8
@@ -26,7 +33,7 @@ SIMILARITY = 0.8
 BANDS = 12
 ROWS = 4
 SEED = 11
-# Most lines of a bucket that are verified as one list; parts of larger buckets have this many on average.
+# Most lines of a bucket that are verified as one list; parts of larger groups have this many on average.
 LIST = 256
 # Characters whose signatures are computed at once.
 BLOCK = 1 << 17
@@ -44,8 +51,8 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
             rng.integers(0, 1 << 32, n, dtype=np.uint32))
 
 
-def band_hashes(lines: list[str]) -> np.ndarray:
-    """(lines x BANDS): bucket names, different for every band."""
+def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles, line after line, and where each line begins."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     begin = np.cumsum(size) - size
@@ -67,6 +74,12 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     h = h[at]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h, first
+
+
+def band_hashes(lines: list[str]) -> np.ndarray:
+    """(lines x BANDS): bucket names, different for every band."""
+    h, first = _shingle_hashes(lines)
     x32 = (h >> np.uint64(32)).astype(np.uint32)
     a, b = _coefficients()
     out = np.zeros((len(lines), BANDS), np.uint64)
@@ -83,7 +96,7 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
     for b in batches:
         ids, lines = b.column(0).to_numpy(), b.column(1).to_pylist()
         at = 0
@@ -92,11 +105,26 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while end < len(lines) and (end == at or chars + len(lines[end]) <= BLOCK):
                 chars += len(lines[end])
                 end += 1
-            bands = band_hashes(lines[at:end])
-            yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.repeat(ids[at:end], BANDS))], ["band", "id"])
+            yield ids[at:end], lines[at:end]
             at = end
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, lines in _blocks(batches):
+        bands = band_hashes(lines)
+        yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.repeat(ids, BANDS))], ["band", "id"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct shingles of each line, by hash, and how many they are."""
+    for ids, lines in _blocks(batches):
+        h, first = _shingle_hashes(lines)
+        sets = [np.unique(x) for x in np.split(h, first[1:])]
+        size = np.array([len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.repeat(size, size)),
+                                          pa.array(np.concatenate(sets).view(np.int64))], ["id", "size", "token"])
+
+
 def alike(a: set[str], b: set[str], similarity: float = SIMILARITY) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if len(small) < similarity * len(large):
@@ -119,15 +147,20 @@ class Verifier:
             found = self.known[(i, j)] = alike(self.sets[i], self.sets[j], self.similarity)
         return found
 
-    def edges(self, ids: list[int], lines: list[str]) -> list[tuple[int, int]]:
-        """Edges that connect the lines of a list as all similar pairs would."""
+    def edges(self, ids: list[int], lines: list[str], known: list[int]) -> list[tuple[int, int]]:
+        """Edges that connect the lines of a list as all similar pairs would, where lines of the same
+        ``known`` component are connected already."""
         groups: list[list[int]] = []
+        home: dict[int, list[int]] = {}
         out = []
-        for i, line in zip(ids, lines):
+        for i, line, c in zip(ids, lines, known):
             if i not in self.sets:
                 self.sets[i] = shingles(line)
             near = []
             for g in groups:
+                if g is home.get(c):
+                    near.append(g)
+                    continue
                 mate = next((j for j in g if self.alike(j, i)), None)
                 if mate is not None:
                     out.append((mate, i))
@@ -136,58 +169,186 @@ class Verifier:
                 near[0].append(i)
                 for g in near[1:]:
                     near[0].extend(g)
-                    groups.remove(g)
+                    groups = [x for x in groups if x is not g]
+                    home.update([(k, near[0]) for k, x in home.items() if x is g])
             else:
-                groups.append([i])
+                near = [[i]]
+                groups.append(near[0])
+            home.setdefault(c, near[0])
         return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by first line and list: edges of each list.  Lists that begin with the same line
-    share one verifier."""
-    now, first, ids, lines, verifier = None, None, [], [], Verifier()
+    """Rows ordered by verifier and list: edges of each list."""
+    now, first, ids, lines, known, verifier = None, None, [], [], [], Verifier()
     out: list[tuple[int, int]] = []
     for b in batches:
-        for f, lid, i, line in zip(*(c.to_pylist() for c in b.columns)):
+        for f, lid, i, line, c in zip(*(x.to_pylist() for x in b.columns)):
             if lid != now:
-                out += verifier.edges(ids, lines)
+                out += verifier.edges(ids, lines, known)
                 if f != first:
                     first, verifier = f, Verifier()
-                now, ids, lines = lid, [], []
+                now, ids, lines, known = lid, [], [], []
             ids.append(i)
             lines.append(line)
+            known.append(c)
         yield _edge_batch(out)
         out = []
-    yield _edge_batch(verifier.edges(ids, lines))
+    yield _edge_batch(verifier.edges(ids, lines, known))
 
 
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
 
+def _verified(lists: DataFrame, lines: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Edges of the lists (ids) between components.  Without labels the lists are whole buckets, of which a line
+    has at most BANDS, and those that begin with the same line share a verifier."""
+    lists = stored(lists.distinct().select(F.monotonically_increasing_id().alias("lid"), "ids"), "line-distinct-lists")
+    first = F.col("ids")[0] if labels is None else F.col("lid")
+    rows = stored(lists.select(first.alias("first"), "lid", F.explode("ids").alias("id")), "line-members")
+    texts = lines.select("id", "line").join(rows.select("id").distinct(), "id")
+    texts = stored(texts.withColumn("component", F.col("id")) if labels is None else _in_components(texts, labels), "line-candidates")
+    # few bytes, much work: a given number of tasks is not coalesced
+    edges = stored(rows.join(texts, "id").select("first", "lid", "id", "line", "component")
+                   .repartition(shuffle_partitions(lines.sparkSession), "first").sortWithinPartitions("first", "lid", "id")
+                   .mapInArrow(_verify, "a long, b long"), "line-edges")
+    release(lists, rows, texts)
+    return edges
+
+
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after further edges: union-find over the components they join only."""
+    if edges.isEmpty():
+        return labels
+    a, b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    joins = stored(edges.join(a, "a", "left").join(b, "b", "left")
+                   .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "line-joins")
+    up = connected_components(joins).toDF("component", "up")
+    # a line without a label is its own component: where it is joined, it is a node of `joins`
+    alone = up.select(F.col("component").alias("node")).join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    out = stored(labels.unionAll(alone).join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")),
+                 "line-labels")
+    release(joins)
+    return out
+
+
+def _in_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their component; a line without edges is its own."""
+    return (members.join(labels.withColumnRenamed("node", "id"), "id", "left")
+            .withColumn("component", F.coalesce("component", "id")))
+
+
+def _part(n: Column, *salt: Column) -> Column:
+    return F.pmod(F.xxhash64("id", *salt), F.ceil(n / LIST))
+
+
+def _linked(members: DataFrame, labels: DataFrame, lines: DataFrame) -> DataFrame:
+    """Labels after the representatives of components have met in each group (key, id), a part at a time and
+    every part with the least of them, for as long as that halves their number."""
+    before, salt = None, 0
+    while True:
+        reps = stored(_in_components(members, labels).groupBy("key", "component").agg(F.min("id").alias("id")), "line-reps")
+        sizes = stored(reps.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1"), "line-sizes")
+        total = sizes.agg(F.sum("n")).first()[0]
+        if total is None or (before is not None and total > 0.5 * before):
+            release(reps, sizes)
+            return labels
+        lists = (reps.join(sizes, "key").withColumn("part", _part(F.col("n"), F.lit(salt)))
+                 .groupBy("key", "part").agg(F.min("low").alias("low"), F.collect_list("id").alias("ids"))
+                 .select(F.array_sort(F.array_union("ids", F.array("low"))).alias("ids")).filter("size(ids) > 1"))
+        edges = _verified(lists, lines, labels)
+        labels = _merged(labels, edges)
+        release(reps, sizes, edges)
+        before, salt = total, salt + 1
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Groups (key, component) that lie in several components."""
+    return (members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .filter("low <> high").select("key"))
+
+
+def _prefixes(lines: DataFrame) -> DataFrame:
+    """(key, id, short): lines by the shingles of their prefix, rarest first; ``short`` if the shingle is in the
+    prefix that counts for the shorter of two lines."""
+    tokens = stored(lines.select("id", "line").mapInArrow(_tokens, "id long, size long, token long"), "line-tokens")
+    twice = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "token"))
+
+    def within(share: float) -> Column:
+        # a little less than the share, so that rounding keeps a pair rather than loses it
+        return F.col("rank") <= F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1
+
+    out = stored(tokens.join(twice, "token", "left").withColumn("rank", rank)
+                 .filter(F.col("n").isNotNull() & within(SIMILARITY))
+                 .select(F.col("token").alias("key"), "id", within(2 * SIMILARITY / (1 + SIMILARITY)).alias("short")), "line-prefixes")
+    release(tokens)
+    return out
+
+
+def _met(members: DataFrame) -> DataFrame:
+    """Lists in which every two lines of a group (key, id, short, component) meet that may be similar and
+    are in different components."""
+    largest = (members.groupBy("key", "component").agg(F.count("*").alias("k"))
+               .groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("n"),
+                                   (F.sum("k") - F.max("k")).alias("n_rest")))
+    shorts = members.groupBy("key").agg(F.sum(F.col("short").cast("long")).alias("n_short"))
+    few = F.col("n_short") <= F.col("n_rest")
+    all_of = stored(members.join(largest.join(shorts, "key"), "key")
+                    .withColumn("left", F.when(few, F.col("short")).otherwise(F.col("component") != F.col("largest")))
+                    .withColumn("part", _part(F.col("n"))).withColumn("lpart", _part(F.least("n_short", "n_rest"))), "line-met")
+    right = all_of.groupBy("key", "part").agg(F.collect_list("id").alias("r_ids"))
+    left = all_of.filter("left").groupBy("key", "lpart").agg(F.collect_list("id").alias("l_ids"))
+    return left.join(right, "key").select(F.array_sort(F.array_union("l_ids", "r_ids")).alias("ids")).filter("size(ids) > 1")
+
+
+def _settled(members: DataFrame, labels: DataFrame, lines: DataFrame) -> DataFrame:
+    """Labels after all similar lines of large buckets (key, id) are connected."""
+    labels = _linked(members, labels, lines)
+    placed = stored(_in_components(members, labels), "line-placed")
+    rest = stored(placed.join(_open(placed), "key").select("id").distinct(), "line-open")
+    release(placed)
+    if rest.isEmpty():
+        return labels
+    keys = _prefixes(lines.join(rest, "id"))
+    groups = stored(_in_components(keys, labels), "line-groups")
+    sizes = stored(groups.groupBy("key").agg(F.count("*").alias("n"), F.max("short").alias("any"), F.min("component").alias("low"),
+                                             F.max("component").alias("high"))
+                   .filter("n > 1 and any and low <> high").select("key", "n"), "line-sizes")
+    small = (groups.join(sizes.filter(F.col("n") <= max(LIST, 2)), "key").groupBy("key")
+             .agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids"))
+    edges = _verified(small, lines, labels)
+    large = stored(groups.join(sizes.filter(F.col("n") > max(LIST, 2)), "key").select("key", "id", "short"), "line-large")
+    labels = _merged(labels, edges)
+    release(keys, groups, sizes, rest, edges)
+    labels = _linked(large, labels, lines)
+    placed = stored(_in_components(large, labels), "line-placed")
+    last = stored(placed.join(_open(placed), "key"), "line-last")
+    release(large, placed)
+    if last.isEmpty():
+        return labels
+    return _merged(labels, _verified(_met(last), lines, labels))
+
+
 def line_components(lines: DataFrame) -> DataFrame:
     """(node, component) of the distinct lines (id, line) that are similar to another."""
     bands = stored(lines.select("id", "line").mapInArrow(_signatures, "band long, id long"), "line-bands")
     buckets = stored(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
                      .filter("n > 1"), "line-buckets")
     pairs = buckets.filter("n = 2").select(F.array("low", "high").alias("ids"))
-    parts = F.ceil(F.col("n") / LIST)
-    wide = stored(buckets.filter("n > 2").select("band", parts.alias("parts")), "line-wide")
-    members = bands.join(wide, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    cut = stored(members.groupBy("band", "part", "parts").agg(F.sort_array(F.collect_list("id")).alias("ids")), "line-lists")
-    left, right = cut.filter("parts > 1").alias("l"), cut.filter("parts > 1").alias("r")
-    met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.part") < F.col("r.part"))).select(
-        F.sort_array(F.concat("l.ids", "r.ids")).alias("ids"))
-    lists = stored(pairs.unionAll(cut.filter("parts = 1").select("ids")).unionAll(met).distinct()
-                   .select(F.monotonically_increasing_id().alias("lid"), "ids"), "line-distinct-lists")
-    release(bands, buckets, wide, cut)
-    rows = stored(lists.select(F.col("ids")[0].alias("first"), "lid", F.explode("ids").alias("id")), "line-members")
-    texts = stored(lines.select("id", "line").join(rows.select("id").distinct(), "id"), "line-candidates")
-    edges = stored(rows.join(texts, "id").select("first", "lid", "id", "line")
-                   .repartition("first").sortWithinPartitions("first", "lid", "id")
-                   .mapInArrow(_verify, "a long, b long"), "line-edges")
-    release(lists, rows, texts)
-    return connected_components(edges)
+    wide = buckets.filter("n > 2").filter(F.col("n") <= LIST).select("band")
+    cut = bands.join(wide, "band").groupBy("band").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
+    hot = stored(bands.join(buckets.filter("n > 2").filter(F.col("n") > LIST).select("band"), "band")
+                 .select(F.col("band").alias("key"), "id"), "line-hot")
+    edges = _verified(pairs.unionAll(cut), lines)
+    release(bands, buckets)
+    labels = connected_components(edges)
+    release(edges)
+    if not hot.isEmpty():
+        labels = _settled(hot, labels, lines)
+    release(hot)
+    return labels
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -381,6 +381,32 @@ def test_line_dedup(docs, nothing, monkeypatch, most):
     assert line_dedup.deduplicated(nothing).count() == 0
 
 
+def test_line_dedup_bounds_hot_buckets(spark, monkeypatch):
+    """A templated line that differs in a number: no verifier sees the whole bucket, and lists stay few."""
+    monkeypatch.setattr(line_dedup, "LIST", 16)
+    sizes, verified = [], line_dedup._verified
+
+    def counted(lists, *others):
+        sizes.extend(len(r["ids"]) for r in lists.distinct().collect())
+        return verified(lists, *others)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    n = 600
+    near = [f"the archived record number {i:04d} of the northern office was taken over without any remark or change by the clerk" for i in range(n)]
+    apart = [f"entry {i * 7919 % 100000:05d} has been seen and closed" for i in range(n)]
+    lines = near + apart
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = {r["node"]: r["component"] for r in line_dedup.line_components(df).collect()}
+    sh = [line_dedup.shingles(x) for x in lines]
+    top = union(len(lines), [(i, j) for i in range(len(lines)) for j in range(i)
+                             if len(sh[i] & sh[j]) >= 0.8 * len(sh[i] | sh[j])])
+    least = {}
+    for i, c in enumerate(top):
+        least.setdefault(c, i)
+    assert [got.get(i, i) for i in range(len(lines))] == [least[c] for c in top]
+    assert max(sizes) <= 4 * 16 and sum(sizes) <= 40 * len(lines)
+
+
 # ---------------------------------------------------------------- 9 quality
 def test_quality_keeps_clean_documents(spark):
     sf = "/root/testdata/sf0.01"
