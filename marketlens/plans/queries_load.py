@@ -116,6 +116,20 @@ def wide_to_long(m):
     return ing.wide_to_long(wide)
 
 
+# Columns of a wide price row.
+WIDE = 100
+
+
+@register("wide_to_long_all", f"select date, ticker, close from {P} where close is not null", [P], ["close"], 10)
+def wide_to_long_all(m):
+    """The price matrix of all tickers, in blocks of WIDE columns per date, to rows."""
+    n = F.expr("cast(substr(ticker, 2) as bigint)")
+    wide = (m.prices.select(F.struct("date", F.floor(n / WIDE).alias("block")).alias("key"), (n % WIDE).alias("slot"), "close")
+            .groupBy("key").pivot("slot", list(range(WIDE))).agg(F.max("close")))
+    ticker = F.concat(F.lit("S"), F.col("key.block") * WIDE + F.col("ticker").cast("bigint"))
+    return ing.wide_to_long(wide, "key").select("key.date", ticker.alias("ticker"), "close")
+
+
 @register("rejects", f"""
 select ticker, date, case when not coalesce(volume > 10, false) then 'thin' else 'wide range' end as reason
 from {P} where not coalesce(volume > 10, false) or not coalesce(high <= low * 1.5, false)""", [P], [], 10)
