@@ -4,6 +4,8 @@ Raw loader inputs are made from the given tables (numbers as text, some of them
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..catalog import register
@@ -52,6 +54,24 @@ def statement_unpivot(m):
     return ing.unpivot_statements(wide, YEARS, "income_a", cutoff="1995-01-01")
 
 
+@register("statement_unpivot_all", f"""
+select ticker, report_date, statement_type, metric_name, metric_value from {ST}
+where report_date >= date '1995-06-01' and metric_value is not null""", [ST], ["metric_value"], 10)
+def statement_unpivot_all(m):
+    """S3: wide statements of every type, one text column per report date of the table, to long rows from a cutoff."""
+    def listed(c):
+        return sorted(str(r[0]) for r in m.statements.select(c).distinct().collect())
+
+    dates = listed("report_date")
+    parts = []
+    for kind in listed("statement_type"):
+        wide = (m.statements.where(F.col("statement_type") == kind)
+                .groupBy("ticker", F.concat(F.lit(" "), "metric_name").alias("metric_name")).pivot("report_date", dates)
+                .agg(F.max(F.col("metric_value").cast("string"))))
+        parts.append(ing.unpivot_statements(wide, dates, kind, cutoff="1995-06-01"))
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
+
 @register("article_load", f"""
 select ticker, published_at, title, article_url, source_name, description from {N}
 where doc_id % 5 <> 0 and doc_id % 7 <> 0 and title is not null and article_url is not null""", [N], [], 10)

@@ -17,7 +17,7 @@ def both(spark, name):
     return sorted(map(tuple, df.collect())), sorted(want)
 
 
-@pytest.mark.parametrize("name", ["wide_to_long_all"])
+@pytest.mark.parametrize("name", ["wide_to_long_all", "statement_unpivot_all"])
 def test_whole_table(spark, name):
     got, want = both(spark, name)
     assert got == want and len(got) > 0
@@ -26,3 +26,8 @@ def test_whole_table(spark, name):
 def test_wide_to_long_all_has_every_ticker(spark):
     got, _ = both(spark, "wide_to_long_all")
     assert len({t for _, t, _ in got}) > 3
+
+
+def test_statement_unpivot_all_has_every_type_and_date(spark):
+    got, _ = both(spark, "statement_unpivot_all")
+    assert len({k for _, _, k, _, _ in got}) == 6 and len({d for _, d, *_ in got}) == 27
