@@ -27,6 +27,9 @@ TRAIN_PAGES = 2000
 
 # Element names of HTML by their role here.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "option", "button"}
+# Where the content of such an element ends; the end tag of an option may be left out.
+RAW_END = {t: re.compile(rf"</{t}", re.I | re.A) for t in RAW}
+RAW_END["option"] = re.compile(r"</option|(?=<(?:option|/?optgroup|/select|/datalist)\b)", re.I | re.A)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
           "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
@@ -104,7 +107,6 @@ def parse(page: str) -> Node:
             at = at.parent
 
     at, n = 0, len(page)
-    lower = None
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
@@ -129,15 +131,19 @@ def parse(page: str) -> Node:
             elif tag == "br":
                 parts.append(" ")
             continue
+        if tag == "svg" and m[0].endswith("/>"):
+            continue
         if tag in RAW:
-            if lower is None:
-                lower = page.lower() if len(page.lower()) == n else page
-            end = lower.find(f"</{tag}", at)
-            if end < 0:
+            end = RAW_END[tag].search(page, at)
+            if end is None and tag == "option":
+                end = TOKEN.search(page, at)
+            if end is None:
                 at = n
+            elif end[0].startswith("</") and end.re is not TOKEN:
+                close_at = page.find(">", end.end())
+                at = n if close_at < 0 else close_at + 1
             else:
-                end = page.find(">", end)
-                at = n if end < 0 else end + 1
+                at = end.start()
             flush()
         elif tag in VOID:
             parts.append(" ")

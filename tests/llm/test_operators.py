@@ -289,6 +289,13 @@ def test_marginals_are_exact():
     assert all(abs(got[n] - content[i] / total) < 1e-9 for i, n in enumerate(nodes))
 
 
+@pytest.mark.parametrize("before", ['<svg class="x"/>', "<datalist><option value=x></datalist>", "<option value=x>", "<p>\u0130</p><SCRIPT>x</SCRIPT><script>y</SCRIPT>",
+                                    "<datalist><option>a<option>b</option></datalist>"])
+def test_html_keeps_what_follows_raw_elements(before):
+    texts = [x.text for x in html_text.in_order(html_text.parse(f"<body>{before}<article><p>One two three.</p></article></body>"))]
+    assert "One two three." in texts
+
+
 # ---------------------------------------------------------------- 6 packing
 def test_patterns_hold_the_histogram():
     rng = random.Random(4)
