@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} <= {q.split("_")[0] + "_" for q in QUERIES}
     assert "pipeline" in __spark_entry__.queries() and set(ORACLE) <= set(__spark_entry__.oracle_sql())
 
 
