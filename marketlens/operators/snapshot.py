@@ -2,7 +2,8 @@
 
 Latest-per-key is an aggregate (``max_by``) rather than a self-join to a max subquery: it
 runs partially on the map side, so a key holding a large share of the rows still shuffles one
-row per task.
+row per task.  Where all columns have a fixed width the pick is one ``max_by`` per column, which Spark
+keeps in a hash aggregate (no sort of the input); rows with text are picked as a struct.
 """
 
 from __future__ import annotations
@@ -11,21 +12,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _fixed_width(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) and not (
+        isinstance(kind, T.DecimalType) and kind.precision > 18)
+
+
+def _pick(df: DataFrame, keys: list[str], order: Column, keep: str) -> DataFrame:
+    """One row per key: the one with the greatest (or least) ``order``."""
+    by = F.max_by if keep == "last" else F.min_by
+    rest = [c for c in df.columns if c not in keys]
+    x = df.withColumn("_by", order)
+    # every column sees the rows in the same order and compares the same values, so all take the same row
+    if all(_fixed_width(x.schema[c].dataType) for c in [*rest, "_by"]):
+        return x.groupBy(*keys).agg(*[by(F.col(c), F.col("_by")).alias(c) for c in rest])
+    out = x.groupBy(*keys).agg(by(F.struct(*[F.col(c) for c in rest]), F.col("_by")).alias("_r"))
+    return out.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
 def latest(df: DataFrame, key="ticker", order="date_updated", where: Column | None = None) -> DataFrame:
     """The row with the greatest ``order`` per key."""
     keys = [key] if isinstance(key, str) else list(key)
-    src = df if where is None else df.where(where)
-    rest = [c for c in src.columns if c not in keys]
-    picked = src.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.col(order)).alias("_r"))
-    return picked.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
-
-
-def latest_value(df: DataFrame, column: str, key="ticker", order="date_updated") -> DataFrame:
-    """Latest non-null value of one column per key, from whichever row has one (S21 carry-forward)."""
-    return (df.where(F.col(column).isNotNull()).groupBy(key)
-            .agg(F.max_by(F.col(column), F.col(order)).alias(column), F.max(order).alias(order)))
+    return _pick(df if where is None else df.where(where), keys, F.col(order), "last")
 
 
 def sort_key(df: DataFrame, column: str, key="ticker", order="date_updated") -> DataFrame:
@@ -37,14 +47,8 @@ def sort_key(df: DataFrame, column: str, key="ticker", order="date_updated") ->
 def dedupe(df: DataFrame, key: Sequence[str], order: Sequence[Column], keep: str = "last") -> DataFrame:
     """One row per key: the last (or first) in the given order.
 
-    Implemented as ``max_by``/``min_by`` of the whole row: an aggregate with map-side
-    combine, so duplicated hot keys collapse before the shuffle."""
-    keys = list(key)
-    rest = [c for c in df.columns if c not in keys]
-    ordk = F.struct(*order)
-    pick = F.max_by if keep == "last" else F.min_by
-    out = df.groupBy(*keys).agg(pick(F.struct(*[F.col(c) for c in rest]), ordk).alias("_r"))
-    return out.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+    An aggregate with map-side combine, so duplicated hot keys collapse before the shuffle."""
+    return _pick(df, list(key), order[0] if len(order) == 1 else F.struct(*order), keep)
 
 
 def latest_n_dates(df: DataFrame, n: int, key="ticker", order="report_date") -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions import scalar as S
 from ..operators import snapshot as snap
 from ..operators import timeseries as ts
 from ..schemas import TABS
+from ..sources.storage import in_period, latest_date
 
 
 def _only(df: DataFrame, tickers: Sequence[str] | None, col: str = "ticker") -> DataFrame:
@@ -26,12 +27,13 @@ def _only(df: DataFrame, tickers: Sequence[str] | None, col: str = "ticker") ->
 def as_of_date(prices: DataFrame, as_of=None, col: str = "date") -> Column:
     if as_of is not None:
         return S.as_date(as_of)
-    return F.lit(prices.select(F.max(col)).scalar())
+    return F.lit(latest_date(prices, col))
 
 
 def price_window(prices: DataFrame, start: Column, as_of: Column, tickers=None) -> DataFrame:
-    p = _only(prices, tickers).select("ticker", "date", "close")
-    return p.where((F.col("date") >= start) & (F.col("date") <= as_of) & F.col("close").isNotNull())
+    """Closes of a period; a price table partitioned by month is read for its months only."""
+    p = in_period(_only(prices, tickers), start, as_of)
+    return p.where(F.col("close").isNotNull()).select("ticker", "date", "close")
 
 
 def drawdown(prices: DataFrame, tickers=None, as_of=None, period_days: int = 365) -> DataFrame:

@@ -45,7 +45,7 @@ select g.ticker, g.date, o.close, o.drawdown from grid g asof join obs o on g.ti
 """, [P], ["close", "drawdown"], 12)
 def drawdown_1y(m):
     """M2: one-year drawdown of every ticker on the shared calendar, forward filled."""
-    return mk.drawdown(m.prices)
+    return mk.drawdown(m.prices_by_month)
 
 
 @register("ytd_performance", f"""
@@ -64,7 +64,7 @@ from grid g asof join p o on g.ticker = o.ticker and g.date >= o.date left join
 """, [P], ["close", "performance"], 12)
 def ytd_performance(m):
     """M1: performance since the first calendar row of the year, aligned and forward filled."""
-    return mk.performance(m.prices)
+    return mk.performance(m.prices_by_month)
 
 
 @register("latest_snapshot", f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..schemas import MATURITY_YEARS
 from ..sources import ingest as ing
+from ..sources.storage import in_period, latest_date, plain
 from ..streaming import streams as stx
 from . import fundamentals as fu
 from . import news as nw
@@ -247,10 +248,13 @@ with e as (select max(date) d from {P})
 select ticker, date, open, high, low, case when date >= (select d from e) - 30 then open else close end as close, volume
 from {P}""", [P], ["open", "high", "low", "close"], 10)
 def upsert_prices(m):
-    """A restated feed for the last 30 days (close := open) upserted on (ticker, date)."""
-    end = m.prices.select(F.max("date")).scalar()
-    upd = m.prices.where(F.col("date") >= F.date_sub(end, 30)).withColumn("close", F.col("open"))
-    return ing.upsert(m.prices, upd, ["ticker", "date"])
+    """A restated feed for the last 30 days (close := open) merged on (ticker, date) into the table by month:
+    the months of the feed are read and written, the others stay where they are."""
+    p = m.prices_by_month
+    feed = in_period(p, F.date_sub(latest_date(p), 30)).withColumn("close", F.col("open"))
+    table = m.incremental("fact_daily_prices")
+    table.merge(plain(feed), lambda old, new: ing.upsert(old, new, ["ticker", "date"]))
+    return plain(table.read())
 
 
 @register("upsert_protected", f"""
@@ -264,12 +268,13 @@ def upsert_protected(m):
     """Re-fetched snapshots of the last 200 days (new price, no model columns) upserted;
     peer_cluster_id and predicted_default_prob keep the stored values."""
     cols = ["ticker", "date_updated", "price", "market_cap", "peer_cluster_id", "predicted_default_prob"]
-    tgt = m.summary.select(*cols)
-    end = tgt.select(F.max("date_updated")).scalar()
-    upd = (m.summary.where(F.col("date_updated") >= F.date_sub(end, 200))
-           .select("ticker", "date_updated", F.col("analyst_target_price").alias("price"), "market_cap",
-                   F.lit(None).cast("int").alias("peer_cluster_id"), F.lit(None).cast("double").alias("predicted_default_prob")))
-    return ing.upsert_protected(tgt, upd, ["ticker", "date_updated"])
+    sm = m.summary_by_month
+    feed = plain(in_period(sm, F.date_sub(latest_date(sm, "date_updated"), 200), on="date_updated"))
+    feed = (feed.withColumn("price", F.col("analyst_target_price")).withColumn("peer_cluster_id", F.lit(None).cast("long"))
+            .withColumn("predicted_default_prob", F.lit(None).cast("double")))
+    table = m.incremental("fact_company_summary")
+    table.merge(feed, lambda old, new: ing.upsert_protected(old, new, ["ticker", "date_updated"]))
+    return table.read().select(*cols)
 
 
 @register("insert_if_absent", f"""
@@ -296,7 +301,7 @@ def insert_if_absent(m):
 select * from {P} where date >= (select max(date) from {P}) - 365""", [P], ["open", "high", "low", "close"], 10)
 def retention_purge(m):
     """Keep 365 days of prices."""
-    return ing.retention(m.prices, "date", 365)
+    return plain(ing.retention(m.prices_by_month, "date", 365))
 
 
 @register("high_water_mark", f"select ticker, max(date) as hwm from {P} group by ticker", [P], [], 10)
@@ -342,8 +347,8 @@ where ticker not in (select ticker from fresh)""", [P], ["open", "high", "low",
 def two_tier_prices(m):
     """Fresh tickers (last row within 3 days of the latest date) from the primary table,
     the rest from a secondary table (here: the open prints as closes)."""
-    secondary = m.prices.withColumn("close", F.col("open"))
-    out = ing.two_tier_prices(m.prices, secondary)
+    p = m.prices_by_month
+    out = ing.two_tier_prices(p, p.withColumn("close", F.col("open")))
     return out.select("date", "ticker", "open", "high", "low", "close", "volume", "source")
 
 

@@ -166,7 +166,8 @@ select p.ticker, p.date, case when e.d - h.hwm <= 3 then p.close else p.open end
 from {P} p join h on h.ticker = p.ticker, e where p.date >= date_trunc('year', e.d)""", [P], ["close"], 10)
 def price_history(m):
     """Year-to-date closes of every ticker with the source of each."""
-    return ing.price_history(m.prices, m.prices.withColumn("close", F.col("open")), period="ytd")
+    p = m.prices_by_month
+    return ing.price_history(p, p.withColumn("close", F.col("open")), period="ytd")
 
 
 @register("freshness", f"""

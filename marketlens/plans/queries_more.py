@@ -445,7 +445,7 @@ from o
 """, [P, ST, SUM], ["close", "eps", "pe"], 10)
 def historical_pe(m):
     """Daily P/E over the last five years against step-filled EPS."""
-    return mk.historical_pe(m.prices, m.statements, m.summary)
+    return mk.historical_pe(m.prices_by_month, m.statements, m.summary)
 
 
 @register("financial_trends", f"""

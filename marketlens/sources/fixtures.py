@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import STATEMENT_METRICS
+from ..session import checkpoint_dir
+from .storage import Layout, PartitionTable, by_month, plain, write_table
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -251,19 +253,22 @@ def bonds(part: DataFrame) -> DataFrame:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def materialize(spark: SparkSession, build, sf_dir: str, name: str) -> DataFrame:
-    """Write a derived table once per application into the shared checkpoint folder and read it back.
+def materialize(spark: SparkSession, build, sf_dir: str, name: str, layout: Layout | None = None) -> str:
+    """Write a derived table once per application into the shared checkpoint folder; its path.
 
     Every application writes to a fresh folder, so neither changed inputs nor changed code can be
     answered from old tables, and no job reads a table that another is still writing."""
-    from ..session import checkpoint_dir
-
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/warehouse/{uuid.uuid4().hex}/{name}"
-        build().write.parquet(path)
+        path = scratch(spark, f"warehouse/{name}")
+        write_table(layout.add(build()) if layout else build(), path, layout.names if layout else ())
         _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+    return _WRITTEN[key]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}/{name}"
 
 
 @dataclass
@@ -283,11 +288,28 @@ class Market:
         return read_table(self.spark, self.sf_dir, name)
 
     def _t(self, name: str, build) -> DataFrame:
-        return materialize(self.spark, build, self.sf_dir, name) if self.stored else build()
+        return self.spark.read.parquet(materialize(self.spark, build, self.sf_dir, name)) if self.stored else build()
+
+    def _monthly(self, name: str, build, layout: Layout) -> DataFrame:
+        if not self.stored:
+            return layout.add(build())
+        return self.spark.read.parquet(materialize(self.spark, build, self.sf_dir, name, layout))
+
+    def incremental(self, name: str) -> PartitionTable:
+        """A table of its own for loads (a fresh root) whose first state is the stored table ``name``."""
+        df, layout = {"fact_daily_prices": (self.prices_by_month, by_month("date")),
+                      "fact_company_summary": (self.summary_by_month, by_month("date_updated"))}[name]
+        base = materialize(self.spark, lambda: plain(df), self.sf_dir, name, layout)
+        return PartitionTable(self.spark, scratch(self.spark, name), plain(df).schema, layout, base)
+
+    @cached_property
+    def prices_by_month(self) -> DataFrame:
+        """Prices with their partition columns, for reads that cover a period."""
+        return self._monthly("fact_daily_prices", lambda: daily_prices(self.table("lineitem")), by_month("date"))
 
     @cached_property
     def prices(self) -> DataFrame:
-        return self._t("fact_daily_prices", lambda: daily_prices(self.table("lineitem")))
+        return plain(self.prices_by_month)
 
     @cached_property
     def fin_q(self) -> DataFrame:
@@ -302,9 +324,13 @@ class Market:
         return self._t("dim_company", lambda: company_dim(self.table("supplier"), self.table("nation"),
                                                           self.table("region")))
 
+    @cached_property
+    def summary_by_month(self) -> DataFrame:
+        return self._monthly("fact_company_summary", lambda: company_summary(self.fin_q, self.prices), by_month("date_updated"))
+
     @cached_property
     def summary(self) -> DataFrame:
-        return self._t("fact_company_summary", lambda: company_summary(self.fin_q, self.prices))
+        return plain(self.summary_by_month)
 
     @cached_property
     def news(self) -> DataFrame:

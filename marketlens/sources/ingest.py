@@ -1,10 +1,8 @@
 """Incremental loading (S2-S22): normalisers, keyed upserts, retention, high-water marks,
 work lists, universe selection, two-tier reads and rejects.
 
-Writes are not in-place: every upsert returns the new table as a DataFrame; ``write_table``
-writes it to a new path (never over the path being read, SURVEY 7.4e) with dynamic partition
-overwrite.  The reference's per-ticker retry loop becomes Spark's task retries plus a
-rejects DataFrame (S22).
+The functions here return DataFrames; ``storage`` writes them by partition and ``loads`` puts them
+together.  A per-ticker retry loop becomes Spark's task retries plus a rejects DataFrame (S22).
 """
 
 from __future__ import annotations
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import snapshot as snap
 from ..functions import scalar as S
+from .storage import MONTH, YEAR, in_period, latest_date, plain
 
 
 # ---- normalisers ----------------------------------------------------------------------------
@@ -59,10 +58,8 @@ def unpivot_statements(wide: DataFrame, date_columns: Sequence[str], statement_t
 def normalise_articles(raw: DataFrame) -> DataFrame:
     """Require publishedAt, title and url; parse ISO-8601 (a trailing Z is accepted),
     skip unparseable timestamps; flatten source.name."""
-    ts_txt = F.regexp_replace(F.col("publishedAt"), "Z$", "")
     ts = F.coalesce(F.expr("try_to_timestamp(regexp_replace(publishedAt, 'Z$', ''), \"yyyy-MM-dd'T'HH:mm:ss\")"),
                     F.expr("try_to_timestamp(regexp_replace(publishedAt, 'Z$', ''))"))
-    del ts_txt
     src = F.col("source.name") if "source" in raw.columns else F.lit(None).cast("string")
     x = raw.na.drop(subset=["publishedAt", "title", "url"])
     return x.select(F.col("ticker"), ts.cast("timestamp_ntz").alias("published_at"), "title",
@@ -75,18 +72,16 @@ def upsert(target: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFra
     """Last write wins on the business key (updates after target).  Within the update batch the
     row with the greatest ``_load_seq`` wins; without that column a key may occur only once, and a
     repeated one fails the job rather than pick a row."""
-    seq = "_load_seq"
-    t = target.withColumn("_src", F.lit(0))
-    u = updates.withColumn("_src", F.lit(1))
-    if seq not in t.columns:
-        t = t.withColumn(seq, F.lit(0).cast("long"))
+    seq, order = "_load_seq", "_order"
+    u = updates
     if seq not in u.columns:
         n = F.count(F.lit(1)).over(Window.partitionBy(*[F.col(k) for k in key]))
         one = F.when(n > 1, F.raise_error(F.lit("upsert: a key occurs twice and there is no _load_seq"))).otherwise(F.lit(0))
         u = u.withColumn(seq, one.cast("long"))
-    both = t.unionByName(u, allowMissingColumns=True)
-    out = snap.dedupe(both, list(key), [F.col("_src"), F.col(seq)], keep="last")
-    return out.drop("_src", seq)
+    # one number orders both sides: any update comes after the stored row
+    u = u.withColumn(order, F.col(seq).cast("long")).drop(seq)
+    t = target.drop(seq).withColumn(order, F.lit(-(1 << 63)).cast("long"))
+    return snap.dedupe(t.unionByName(u, allowMissingColumns=True), list(key), [F.col(order)], keep="last").drop(order)
 
 
 def upsert_protected(target: DataFrame, updates: DataFrame, key: Sequence[str],
@@ -136,10 +131,10 @@ def insert_if_absent(target: DataFrame, batch: DataFrame, key: Sequence[str], or
 
 
 def retention(df: DataFrame, date_col: str, keep_days: int, as_of=None) -> DataFrame:
-    """Drop rows older than as_of - keep_days (with a date-partitioned table this is a
-    partition filter)."""
-    end = S.as_date(as_of) if as_of is not None else df.select(F.max(date_col)).scalar()
-    return df.where(F.col(date_col) >= F.date_sub(end, keep_days))
+    """Drop rows older than as_of - keep_days.  Of a table partitioned by month only the months
+    that are kept are read."""
+    end = S.as_date(as_of) if as_of is not None else latest_date(df, date_col)
+    return in_period(df, F.date_sub(end, keep_days), on=date_col)
 
 
 def high_water_mark(df: DataFrame, date_col: str = "date", key: str = "ticker") -> DataFrame:
@@ -198,11 +193,11 @@ def two_tier_prices(primary: DataFrame, secondary: DataFrame, symbols: DataFrame
     if symbols is not None:
         p = p.join(symbols.select("ticker"), "ticker", "left_semi")
         s = s.join(symbols.select("ticker"), "ticker", "left_semi")
-    if start is not None:
-        p = p.where(F.col("date") >= S.as_date(start))
-        s = s.where(F.col("date") >= S.as_date(start))
-    today = S.as_date(as_of) if as_of is not None else p.select(F.max("date")).scalar()
-    fresh = high_water_mark(p).where(F.datediff(today, F.col("hwm")) <= max_age_days).select("ticker")
+    today = S.as_date(as_of) if as_of is not None else latest_date(p)
+    # only the last days tell who is fresh; only the period asked for is read of the rest
+    recent = in_period(p, F.date_sub(today, max_age_days))
+    fresh = recent.select("ticker").distinct()
+    p, s = plain(in_period(p, start)), plain(in_period(s, start))
     prim = p.join(fresh, "ticker", "left_semi").withColumn("source", F.lit("primary")).withColumn("_o", F.lit(0))
     sec = s.join(fresh, "ticker", "left_anti").withColumn("source", F.lit("secondary")).withColumn("_o", F.lit(1))
     both = prim.unionByName(sec)
@@ -212,11 +207,12 @@ def two_tier_prices(primary: DataFrame, secondary: DataFrame, symbols: DataFrame
 def price_history(primary: DataFrame, secondary: DataFrame, tickers: Sequence[str] | None = None, period: str = "5y",
                   as_of=None) -> DataFrame:
     """Closes of a period token ('1y', 'ytd', '5y') per ticker, each with its source."""
-    today = S.as_date(as_of) if as_of is not None else primary.select(F.max("date")).scalar()
-    out = two_tier_prices(primary, secondary, as_of=today)
+    today = S.as_date(as_of) if as_of is not None else latest_date(primary)
     if tickers:
-        out = out.where(F.col("ticker").isin(list(tickers)))
-    return out.where(F.col("date") >= S.period_start(period, today)).select("ticker", "date", "close", "source")
+        primary, secondary = (t.where(F.col("ticker").isin(list(tickers))) for t in (primary, secondary))
+    cols = [c for c in primary.columns if c in ("ticker", "date", "close", YEAR, MONTH)]
+    out = two_tier_prices(primary.select(*cols), secondary.select(*cols), start=S.period_start(period, today), as_of=today)
+    return out.select("ticker", "date", "close", "source")
 
 
 def freshness(df: DataFrame, date_col: str = "date", max_age_days: int = 3, as_of=None) -> DataFrame:
@@ -269,13 +265,3 @@ def split_rejects(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, D
     x = df.withColumn("_reason", reason)
     return x.where(F.col("_reason").isNull()).drop("_reason"), x.where(F.col("_reason").isNotNull()) \
         .withColumnRenamed("_reason", "reason")
-
-
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), max_records_per_file: int | None = None):
-    """Write with dynamic partition overwrite (never to the path being read)."""
-    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    if max_records_per_file:
-        w = w.option("maxRecordsPerFile", max_records_per_file)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
