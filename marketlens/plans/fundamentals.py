@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import snapshot as snap
 from ..operators import timeseries as ts
-from ..schemas import DCF_ALIASES, METRIC_ALIASES
+from ..operators.labels import label_key, pick_labels
+from ..schemas import DCF_ALIASES, METRIC_ALIASES, SERIES_LABELS, SERIES_STATEMENT
 
 RF, RM = 0.04, 0.08          # fixed values: risk-free rate and market return used by WACC
 DEFAULT_TAX = 0.21           # fixed value: fallback tax rate
@@ -37,37 +38,74 @@ def normalise(statements: DataFrame, aliases: dict[str, list[str]] = METRIC_ALIA
             .withColumn("priority", F.coalesce(pmap[F.col("metric_name")], F.lit(0))))
 
 
-def latest_metrics(statements: DataFrame, types: Sequence[str], mapping: dict[str, str]) -> DataFrame:
-    """Per ticker, the metrics of its latest report date among ``types`` (quarterly preferred
-    over annual on the same date, quirk Q13), as columns named by ``mapping``.
+# Rows of a quarterly income or cash-flow statement make a date count for TTM sums.
+TTM_TYPES = ["income_q", "cashflow_q"]
+QUARTERLY = ["income_q", "cashflow_q", "balance_q"]
 
-    One pass: conditional aggregates per (ticker, report date), then the row of the latest date.
-    The date is the latest of any row of those types: a newer statement without the metric
-    gives null, and every ticker with such a statement has a row."""
-    st = statements.where(F.col("statement_type").isin(list(types)))
-    quarter = F.col("statement_type").endswith("_q")
-    per_date = st.groupBy("ticker", "report_date").agg(*[
-        F.coalesce(F.max(F.when((F.col("metric_name") == k) & quarter, F.col("metric_value"))),
-                   F.max(F.when((F.col("metric_name") == k) & ~quarter, F.col("metric_value")))).alias(v)
-        for k, v in mapping.items()])
-    return snap.latest(per_date, "ticker", "report_date").select("ticker", *mapping.values())
 
+def statement_dates(statements: DataFrame, sums: Sequence[str] = (),
+                    picks: dict[str, tuple[Sequence[str], str]] | None = None) -> DataFrame:
+    """One row per (ticker, report date) from one scan: everything that the per-company figures need.
 
-def ttm_metrics(statements: DataFrame, groups: dict[str, list[str]] = DCF_ALIASES) -> DataFrame:
-    """TTM sums (F3, A2, J8): per ticker, the latest four report dates of the quarterly
-    income/cash-flow statements; each metric summed over those dates in quarterly statements
-    only (quirk Q2); a group's value is its first alias that is present."""
-    q = statements.where(F.col("statement_type").isin("income_q", "cashflow_q", "balance_q"))
-    dates = (q.where(F.col("statement_type").isin("income_q", "cashflow_q")).select("ticker", "report_date").distinct())
-    dates = snap.latest_n_dates(dates, 4)
+    ``sum <name>``: the quarterly values of a metric as an exact decimal (the result does not depend on row
+    order); ``<out>`` of ``picks`` (out -> statement types, metric): the value, quarterly before annual
+    (quirk Q13); ``has <types>``: whether the date has any row of those types, with or without the metric."""
+    picks = picks or {}
+    kind, name, value = F.col("statement_type"), F.col("metric_name"), F.col("metric_value")
+    quarter = kind.endswith("_q")
+    types = sorted({t for ts_, _ in picks.values() for t in ts_} | (set(QUARTERLY) if sums else set()))
+    aggs = [F.sum(F.when(kind.isin(QUARTERLY) & (name == n), value.cast(MONEY))).alias(f"sum {n}") for n in sums]
+    for out, (of, n) in picks.items():
+        here = kind.isin(list(of)) & (name == n)
+        aggs.append(F.coalesce(F.max(F.when(here & quarter, value)), F.max(F.when(here & ~quarter, value))).alias(out))
+    for of in sorted({tuple(of) for of, _ in picks.values()} | ({tuple(TTM_TYPES)} if sums else set())):
+        aggs.append(F.max(kind.isin(list(of))).alias(_has(of)))
+    return statements.where(kind.isin(types)).groupBy("ticker", "report_date").agg(*aggs)
+
+
+def _has(types: Sequence[str]) -> str:
+    return "has " + " ".join(types)
+
+
+def company_figures(statements: DataFrame, groups: dict[str, list[str]] | None = None,
+                    picks: dict[str, tuple[Sequence[str], str]] | None = None) -> DataFrame:
+    """Per ticker, from two shuffles of one scan: TTM sums (F3, A2, J8) and latest figures.
+
+    ``groups``: for each canonical name the aliases in order; the sum over the ticker's latest four report
+    dates of quarterly income or cash-flow statements, in quarterly statements only (quirk Q2), of the
+    first alias that is present.  ``picks``: the value at the latest date that has any row of the given statement
+    types; a newer statement without the metric gives null.  Tickers with no such statement at all have no row;
+    ``has <types>`` tells which of them a ticker has."""
+    groups, picks = groups or {}, picks or {}
     names = sorted({n for ns in groups.values() for n in ns})
-    x = q.where(F.col("metric_name").isin(names)).join(dates, ["ticker", "report_date"], "left_semi")
-    # money is summed as an exact decimal: the result does not depend on row order
-    sums = x.groupBy("ticker").pivot("metric_name", names).agg(
-        F.sum(F.col("metric_value").cast(MONEY)).cast("double"))
-    base = dates.select("ticker").distinct().join(sums, "ticker", "left")
-    cols = [F.coalesce(*[F.col(f"`{n}`") for n in ns]).alias(canon) for canon, ns in groups.items()]
-    return base.select("ticker", *cols)
+    per_date = statement_dates(statements, names, picks)
+    aggs = []
+    if groups:
+        has = F.col(f"`{_has(TTM_TYPES)}`")
+        w = Window.partitionBy("ticker").orderBy(has.desc(), F.col("report_date").desc())
+        per_date = per_date.withColumn("_n", F.row_number().over(w))
+        last4 = has & (F.col("_n") <= 4)
+        for canon, ns in groups.items():
+            total = [F.sum(F.when(last4, F.col(f"`sum {n}`"))).cast("double") for n in ns]
+            aggs.append(F.coalesce(*total).alias(canon))
+        aggs.append(F.max(has).alias(_has(TTM_TYPES)))
+    for out, (of, _) in picks.items():
+        aggs.append(F.max_by(out, F.when(F.col(f"`{_has(of)}`"), F.col("report_date"))).alias(out))
+    for of in sorted({tuple(of) for of, _ in picks.values()} - {tuple(TTM_TYPES)}):
+        aggs.append(F.max(f"`{_has(of)}`").alias(_has(of)))
+    return per_date.groupBy("ticker").agg(*aggs)
+
+
+def latest_metrics(statements: DataFrame, types: Sequence[str], mapping: dict[str, str]) -> DataFrame:
+    """Per ticker, the metrics of its latest report date among ``types`` as columns named by ``mapping``
+    (see ``company_figures``)."""
+    return company_figures(statements, None, {v: (types, k) for k, v in mapping.items()}).select("ticker", *mapping.values())
+
+
+def ttm_metrics(statements: DataFrame, groups: dict[str, list[str]] = DCF_ALIASES) -> DataFrame:
+    """TTM sums (F3) of every ticker that has a quarterly income or cash-flow statement."""
+    out = company_figures(statements, groups)
+    return out.where(F.col(f"`{_has(TTM_TYPES)}`")).select("ticker", *[F.col(f"`{c}`") for c in groups])
 
 
 def tax_rate(tax: Column, pretax: Column) -> Column:
@@ -77,10 +115,13 @@ def tax_rate(tax: Column, pretax: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(0.5), r))
 
 
+BALANCE_TYPES = ["balance_q", "balance_a"]
+BALANCE_ITEMS = {"cash": (BALANCE_TYPES, "Cash And Cash Equivalents"), "total_debt": (BALANCE_TYPES, "Total Debt")}
+
+
 def balance_latest(statements: DataFrame) -> DataFrame:
     """Cash and total debt at each ticker's latest balance-sheet date, null -> 0."""
-    b = latest_metrics(statements, ["balance_q", "balance_a"],
-                       {"Cash And Cash Equivalents": "cash", "Total Debt": "total_debt"})
+    b = company_figures(statements, None, BALANCE_ITEMS)
     return b.select("ticker", F.coalesce("cash", F.lit(0.0)).alias("cash"),
                     F.coalesce("total_debt", F.lit(0.0)).alias("total_debt"))
 
@@ -109,44 +150,53 @@ def wacc(market_cap: Column, debt: Column, interest: Column, beta: Column, tax:
 def dcf_base(statements: DataFrame, summary: DataFrame, tickers=None, rf: float = RF, rm: float = RM) -> DataFrame:
     """Per ticker DCF inputs (F3-F8): TTM EBIT, D&A, CapEx, tax rate, cash, debt, shares,
     WACC, net debt and base FCFF = EBIT (1 - t) + D&A - CapEx, with a ``status`` column that
-    names missing inputs instead of raising."""
-    st = _only(statements, tickers)
-    ttm = ttm_metrics(st)
-    bal = balance_latest(st)
+    names missing inputs instead of raising.  One scan of each table; one join."""
     sh = shares_outstanding(_only(summary, tickers))
-    j = ttm.join(bal, "ticker", "full").join(sh, "ticker", "full")
+    j = company_figures(_only(statements, tickers), DCF_ALIASES, BALANCE_ITEMS).join(sh, "ticker", "full")
     ebit, da, capex = F.col("EBIT"), F.col("Depreciation And Amortization"), F.col("Capital Expenditure")
     t = tax_rate(F.coalesce(F.col("Income Tax Expense"), F.lit(0.0)), F.coalesce(F.col("Income Before Tax"), F.lit(0.0)))
     interest = F.coalesce(F.col("Interest Expense"), F.lit(0.0))
     debt = F.coalesce(F.col("total_debt"), F.lit(0.0))
     cash = F.coalesce(F.col("cash"), F.lit(0.0))
     fcff = ebit * (1 - F.col("tax_rate")) + da - capex
-    missing = F.concat_ws(", ", F.when(ebit.isNull(), F.lit("EBIT/Operating Income")),
-                          F.when(da.isNull(), F.lit("D&A")), F.when(capex.isNull(), F.lit("CapEx")))
-    status = (F.when(missing != "", F.concat(F.lit("missing TTM data: "), missing))
-              .when(F.col("price").isNull() | F.col("market_cap").isNull() | (F.col("price") == 0),
-                    F.lit("missing latest summary (price, market cap)"))
-              .when(F.col("shares_outstanding") == 0, F.lit("zero shares outstanding"))
-              .when(F.col("base_fcff") == 0, F.lit("base FCFF is zero"))
+    missing = F.concat_ws(", ", F.when(ebit.isNull(), F.lit("no_ebit")),
+                          F.when(da.isNull(), F.lit("no_d_and_a")), F.when(capex.isNull(), F.lit("no_capex")))
+    status = (F.when(missing != "", missing)
+              .when(F.col("price").isNull() | F.col("market_cap").isNull() | (F.col("price") == 0), F.lit("no_summary"))
+              .when(F.col("shares_outstanding") == 0, F.lit("no_shares"))
+              .when(F.col("base_fcff") == 0, F.lit("zero_fcff"))
               .otherwise(F.lit("ok")))
     out = (j.withColumn("tax_rate", t)
            .withColumn("base_fcff", fcff)
            .select("ticker", ebit.alias("ebit_ttm"), da.alias("d_and_a_ttm"), capex.alias("capex_ttm"),
-                   F.col("Interest Expense").alias("interest_ttm"), "tax_rate", cash.alias("cash"),
+                   F.col("Interest Expense").alias("interest_ttm"),
+                   F.col("Income Tax Expense").alias("income_tax_ttm"), F.col("Income Before Tax").alias("pretax_ttm"),
+                   "tax_rate", cash.alias("cash"),
                    debt.alias("total_debt"), "price", "market_cap", "beta", "shares_outstanding",
                    wacc(F.col("market_cap"), debt, interest, F.col("beta"), F.col("tax_rate"), rf, rm).alias("wacc"),
                    (debt - cash).alias("net_debt"), "base_fcff", status.alias("status")))
     return out
 
 
-def cagr(statements: DataFrame, metric: str = "Total Revenue", years: int = 3,
-         statement_type: str = "income_a", tickers=None) -> DataFrame:
-    """CAGR over the latest ``years + 1`` non-null points (F1): needs 2 points, a positive
-    start and a positive span in calendar years; a negative ratio under a fractional root is
-    null (NaN in the reference)."""
-    x = (_only(statements, tickers).where((F.col("statement_type") == statement_type) & (F.col("metric_name") == metric)
-                                          & F.col("metric_value").isNotNull())
-         .select("ticker", "report_date", "metric_value"))
+def company_series(statements: DataFrame, series: Sequence[str] = tuple(SERIES_LABELS), tickers=None,
+                   labels: dict[str, list[str]] = SERIES_LABELS) -> DataFrame:
+    """(ticker, series, report_date, value, label): annual series under whatever label a company reports them
+    (P8, P18), from one scan."""
+    st = _only(statements, tickers)
+    st = st.where(F.col("statement_type").isin(sorted({SERIES_STATEMENT[k] for k in series})))
+    # a label counts only in the statement that its series belongs to: both are told apart by one key
+    mark = F.concat_ws("/", "statement_type", label_key(F.col("metric_name")))
+    marked = {k: [f"{SERIES_STATEMENT[k]}/{n.strip().lower()}" for n in labels[k]] for k in series}
+    rows = st.select("ticker", "report_date", "metric_value", mark.alias("_mark"), "metric_name")
+    return pick_labels(rows, marked, name="_mark", shown="metric_name")
+
+
+def cagr(statements: DataFrame, series: str = "revenue", years: int = 3, tickers=None,
+         labels: dict[str, list[str]] = SERIES_LABELS) -> DataFrame:
+    """CAGR over the latest ``years + 1`` points of an annual series (F1), under the first of its labels that the
+    company reports (P8): needs 2 points, a positive start and a positive span in calendar years;
+    a negative ratio under a fractional root is null (NaN in the reference)."""
+    x = company_series(statements, [series], tickers, labels).select("ticker", "report_date", F.col("value").alias("metric_value"))
     x = snap.top_n(x, years + 1, "ticker", [F.col("report_date").desc()])
     g = x.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n_points"),
@@ -159,23 +209,22 @@ def cagr(statements: DataFrame, metric: str = "Total Revenue", years: int = 3,
                     F.when(ok & ~F.isnan(val), val).alias("cagr"))
 
 
-def cash_conversion(statements: DataFrame, tickers=None) -> DataFrame:
+def cash_conversion(statements: DataFrame, tickers=None, labels: dict[str, list[str]] = SERIES_LABELS) -> DataFrame:
     """Operating cash flow / net income at the latest date both annual series share; else
-    each series' own latest value (F2, quirk Q9); null when net income is 0."""
-    st = _only(statements, tickers)
-    cfo = (st.where((F.col("statement_type") == "cashflow_a") & (F.col("metric_name") == "Operating Cash Flow"))
-           .select("ticker", "report_date", F.col("metric_value").alias("cfo")).na.drop())
-    ni = (st.where((F.col("statement_type") == "income_a") & (F.col("metric_name") == "Net Income"))
-          .select("ticker", "report_date", F.col("metric_value").alias("ni")).na.drop())
-    common = (cfo.join(ni, ["ticker", "report_date"]).groupBy("ticker")
-              .agg(F.max_by(F.struct("cfo", "ni"), "report_date").alias("c"), F.max("report_date").alias("d")))
-    lc = cfo.groupBy("ticker").agg(F.max_by("cfo", "report_date").alias("l_cfo"))
-    ln = ni.groupBy("ticker").agg(F.max_by("ni", "report_date").alias("l_ni"))
-    j = lc.join(ln, "ticker", "inner").join(common, "ticker", "left")
-    c_ = F.when(F.col("c").isNotNull(), F.col("c.cfo")).otherwise(F.col("l_cfo"))
-    n_ = F.when(F.col("c").isNotNull(), F.col("c.ni")).otherwise(F.col("l_ni"))
-    return j.select("ticker", F.col("d").alias("common_date"),
-                    F.when(n_ != 0, c_ / F.nullif(n_, F.lit(0.0))).alias("cash_conversion"))
+    each series' own latest value (F2, quirk Q9); null when net income is 0.  Each series is taken under the first of
+    its labels that the company reports (P8); two aggregates, no join."""
+    x = company_series(statements, ["cfo", "net_income"], tickers, labels)
+    cfo, ni, day = F.col("cfo"), F.col("ni"), F.col("report_date")
+    d = x.groupBy("ticker", "report_date").agg(F.max(F.when(F.col("series") == "cfo", F.col("value"))).alias("cfo"),
+                                               F.max(F.when(F.col("series") == "net_income", F.col("value"))).alias("ni"))
+    both = F.when(cfo.isNotNull() & ni.isNotNull(), day)
+    g = d.groupBy("ticker").agg(
+        F.max(both).alias("common_date"), F.max_by(cfo, both).alias("c_cfo"), F.max_by(ni, both).alias("c_ni"),
+        F.max_by(cfo, F.when(cfo.isNotNull(), day)).alias("l_cfo"), F.max_by(ni, F.when(ni.isNotNull(), day)).alias("l_ni"))
+    common = F.col("common_date").isNotNull()
+    c_, n_ = (F.when(common, F.col(f"c_{k}")).otherwise(F.col(f"l_{k}")) for k in ("cfo", "ni"))
+    return g.where(F.col("l_cfo").isNotNull() & F.col("l_ni").isNotNull()).select(
+        "ticker", "common_date", F.when(n_ != 0, c_ / F.nullif(n_, F.lit(0.0))).alias("cash_conversion"))
 
 
 def statement_view(statements: DataFrame, kind: str = "income", periods: int = 16, tickers=None) -> DataFrame:

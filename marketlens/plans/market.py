@@ -18,6 +18,7 @@ from ..operators import snapshot as snap
 from ..operators import timeseries as ts
 from ..schemas import TABS
 from ..sources.storage import in_period, latest_date
+from .scenarios import by_scenario
 
 
 def _only(df: DataFrame, tickers: Sequence[str] | None, col: str = "ticker") -> DataFrame:
@@ -101,18 +102,21 @@ def valuation_quality(snapshot: DataFrame) -> DataFrame:
                       y_bar.alias("mean_ev_ebitda"), quadrant.alias("quadrant"))
 
 
-def exit_multiple(snapshot: DataFrame, forecast_years: int = 5, eps_growth: float = 10.0,
-                  terminal_pe: float = 20.0) -> DataFrame:
-    """Exit-multiple forecast (M9): target = eps (1+g)^n PE; upside = target/price - 1;
-    IRR = (target/price)^(1/n) - 1; null unless eps > 0 and price > 0.  Fractions (quirk Q8)."""
+def forecast_columns(years: Column, eps_growth: Column, terminal_pe: Column) -> dict[str, Column]:
+    """M9 as expressions of a snapshot row and a scenario (growth in percent): target = eps (1+g)^n PE;
+    upside = target/price - 1; IRR = (target/price)^(1/n) - 1; null unless eps > 0 and price > 0.  Fractions (quirk Q8)."""
     eps, price = F.col("trailing_eps"), F.col("price")
-    ok = (eps > 0) & (price > 0)
-    target = eps * F.pow(F.lit(1 + eps_growth / 100.0), F.lit(float(forecast_years))) * F.lit(float(terminal_pe))
-    t = F.when(ok, target)
-    upside = t / price - 1
-    irr = F.when(F.lit(forecast_years) > 0, F.pow(t / price, F.lit(1.0 / forecast_years)) - 1)
-    return snapshot.select("ticker", "price", "trailing_eps", t.alias("forecast_target"),
-                           F.when(ok, upside).alias("forecast_upside"), F.when(ok, irr).alias("forecast_irr"))
+    target = F.when((eps > 0) & (price > 0), eps * F.pow(1 + eps_growth / 100.0, years.cast("double")) * terminal_pe)
+    return {"forecast_target": target, "forecast_upside": target / price - 1,
+            "forecast_irr": F.when(years > 0, F.pow(target / price, F.lit(1.0) / years) - 1)}
+
+
+def exit_multiple(snapshot: DataFrame, scenarios=None, selection: DataFrame | None = None) -> DataFrame:
+    """Exit-multiple forecast (M9) of every ticker in every scenario: one row each (see ``scenarios.by_scenario``)."""
+    rows = by_scenario(snapshot.select("ticker", "price", "trailing_eps"), scenarios, selection,
+                       ["forecast_years", "eps_growth", "terminal_pe"])
+    c = forecast_columns(F.col("forecast_years"), F.col("eps_growth"), F.col("terminal_pe"))
+    return rows.select("ticker", "scenario_id", "price", "trailing_eps", *[v.alias(k) for k, v in c.items()])
 
 
 def health(statements: DataFrame, tickers=None) -> DataFrame:
@@ -121,16 +125,12 @@ def health(statements: DataFrame, tickers=None) -> DataFrame:
     ratio and debt / equity from the latest quarterly balance sheet (ratio, quirk Q10)."""
     from . import fundamentals as fu
 
-    st = _only(statements, tickers)
-    bal = fu.latest_metrics(st, ["balance_q"], {"Total Debt": "debt", "Cash And Cash Equivalents": "cash",
-                                                "Current Assets": "ca", "Current Liabilities": "cl",
-                                                "Stockholders Equity": "equity"})
-    ttm = fu.ttm_metrics(st, {"EBIT": ["EBIT", "Operating Income"],
-                              "Depreciation And Amortization": ["Depreciation And Amortization"]})
-    ttm = ttm.select("ticker", F.col("EBIT").alias("ebit_ttm"), F.col("Depreciation And Amortization").alias("da_ttm"))
-    ann = fu.latest_metrics(st, ["income_a"], {"EBIT": "ebit_a", "Operating Income": "opinc_a",
-                                               "Interest Expense": "int_a"})
-    j = bal.join(ttm, "ticker", "full").join(ann, "ticker", "full")
+    bal, ann = ["balance_q"], ["income_a"]
+    j = fu.company_figures(
+        _only(statements, tickers), {"ebit_ttm": ["EBIT", "Operating Income"], "da_ttm": ["Depreciation And Amortization"]},
+        {"debt": (bal, "Total Debt"), "cash": (bal, "Cash And Cash Equivalents"), "ca": (bal, "Current Assets"),
+         "cl": (bal, "Current Liabilities"), "equity": (bal, "Stockholders Equity"),
+         "ebit_a": (ann, "EBIT"), "opinc_a": (ann, "Operating Income"), "int_a": (ann, "Interest Expense")})
     ebitda = F.col("ebit_ttm") + F.col("da_ttm")
     ebit_a = F.coalesce("ebit_a", "opinc_a")
     nd = F.when(F.col("debt").isNotNull() & F.col("cash").isNotNull() & (ebitda != 0),
@@ -140,35 +140,47 @@ def health(statements: DataFrame, tickers=None) -> DataFrame:
                     S.safe_div("ca", "cl").alias("current_ratio"), S.safe_div("debt", "equity").alias("de_ratio"))
 
 
-def analyst(snapshot: DataFrame) -> DataFrame:
-    """Analyst view (M11): consensus title-cased ('None' when absent), mean target, and
-    upside % = (target / price - 1) * 100 when both are non-zero."""
-    cons = F.initcap(F.regexp_replace(F.coalesce(
-        F.col("recommendation_key") if "recommendation_key" in snapshot.columns else F.lit(None).cast("string"),
-        F.lit("none")), "_", " "))
+def analyst_columns(columns: Sequence[str]) -> dict[str, Column]:
+    """M11 as expressions of a snapshot row: consensus in title case ('None' when absent), lowest and highest
+    target, and upside % = (mean target / price - 1) * 100 when both are non-zero."""
+    def of(name, kind):
+        return F.col(name) if name in columns else F.lit(None).cast(kind)
+
     t, p = F.col("analyst_target_price"), F.col("price")
-    up = F.when((t != 0) & (p != 0), (t / p - 1) * 100)
-    lo = F.col("target_low") if "target_low" in snapshot.columns else F.lit(None).cast("double")
-    hi = F.col("target_high") if "target_high" in snapshot.columns else F.lit(None).cast("double")
-    return snapshot.select("ticker", cons.alias("consensus"), t.alias("analyst_target_price"), lo.alias("target_low"),
-                           hi.alias("target_high"), p.alias("current_price"), up.alias("upside_pct"))
+    return {"consensus": F.initcap(F.regexp_replace(F.coalesce(of("recommendation_key", "string"), F.lit("none")), "_", " ")),
+            "target_low": of("target_low", "double"), "target_high": of("target_high", "double"),
+            "upside_pct": F.when((t != 0) & (p != 0), (t / p - 1) * 100)}
+
+
+def analyst(snapshot: DataFrame) -> DataFrame:
+    """Analyst view."""
+    c = analyst_columns(snapshot.columns)
+    return snapshot.select("ticker", c["consensus"].alias("consensus"), "analyst_target_price", c["target_low"].alias("target_low"),
+                           c["target_high"].alias("target_high"), F.col("price").alias("current_price"),
+                           c["upside_pct"].alias("upside_pct"))
+
+
+HEALTH_COLUMNS = ["net_debt_to_ebitda", "interest_coverage", "current_ratio", "de_ratio"]
 
 
 def comparison_base(summary: DataFrame, dim: DataFrame, statements: DataFrame, tickers=None,
-                    forecast_years=5, eps_growth=10.0, terminal_pe=20.0) -> DataFrame:
+                    forecast_years=5, eps_growth=10.0, terminal_pe=20.0, columns: Sequence[str] | None = None) -> DataFrame:
     """Shared base of the five comparison tables (M8): latest snapshot joined to the dimension,
-    scored, with health (replacing overlapping columns), analyst view and forecast columns."""
+    scored, with health (replacing overlapping columns, J11), analyst view and forecast columns.
+
+    Analyst view and forecast are expressions of the snapshot row.  Statements are read only for ``columns``
+    (None: all) that need them: a tab without such columns joins the dimension and nothing else."""
     from . import fundamentals as fu
 
+    wanted = set(columns) if columns is not None else None
     s = score_companies(latest_snapshot(summary, dim, tickers))
-    cg = fu.cagr(statements, "Total Revenue", 3, tickers=tickers).select("ticker", F.col("cagr").alias("revenue_cagr_3y"))
-    s = s.drop("revenue_cagr_3y").join(cg, "ticker", "left")
-    h = health(statements, tickers)
-    s = s.drop(*[c for c in h.columns if c != "ticker" and c in s.columns]).join(h, "ticker", "left")
-    a = analyst(s).drop("analyst_target_price", "current_price")
-    s = s.join(a, "ticker", "left")
-    f = exit_multiple(s, forecast_years, eps_growth, terminal_pe).drop("price", "trailing_eps")
-    return s.join(f, "ticker", "left")
+    if wanted is None or "revenue_cagr_3y" in wanted:
+        cg = fu.cagr(statements, "revenue", 3, tickers=tickers).select("ticker", F.col("cagr").alias("revenue_cagr_3y"))
+        s = s.drop("revenue_cagr_3y").join(cg, "ticker", "left")
+    if wanted is None or wanted & set(HEALTH_COLUMNS):
+        s = s.drop(*HEALTH_COLUMNS).join(health(statements, tickers), "ticker", "left")
+    s = s.withColumns(analyst_columns(s.columns))
+    return s.withColumns(forecast_columns(F.lit(forecast_years), F.lit(float(eps_growth)), F.lit(float(terminal_pe))))
 
 
 def comparison_table(base: DataFrame, tab: str, sort_by: str | None = None) -> DataFrame:

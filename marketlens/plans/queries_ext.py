@@ -16,6 +16,7 @@ from . import rates as rt
 from . import valuation as va
 from .queries import FR, LATEST_SUMMARY_SQL, P, ST, SUM, W
 from .queries_more import CAGR_SQL, MONEY5, _dcf_sql
+from .scenarios import scenario_rows
 
 R = "fact_rates"
 N = "fact_news_sentiment"
@@ -42,7 +43,7 @@ def _tri_sql(u: str, p: str) -> str:
 def _scenario_sql() -> str:
     names = [f"{p}_{x}" for p in ("growth", "perpetual", "wacc") for x in ("min", "mode", "max")]
     rows = ", ".join(f"({s['scenario_id']}, {s['sims']}, " + ", ".join(_d(s[n] / 100.0) for n in names) + ")"
-                     for s in va.scenario_rows(SCENARIOS))
+                     for s in scenario_rows(SCENARIOS))
     return f"sc as (select * from (values {rows}) v(scenario_id, sims, {', '.join(names)}))"
 
 
@@ -115,7 +116,7 @@ select ticker, scenario_id, bin, count(*) as n, any_value(lo) + (bin - 1) * (any
 from x group by ticker, scenario_id, bin""", [ST, SUM], ["bin_start"], 10)
 def mc_histogram(m):
     """V6: 100-bin histogram of the simulated values per ticker and scenario."""
-    return va.histogram(va.intrinsic_values(va.draws(_mc_base(m), SCENARIOS)))
+    return va.histogram(_mc_base(m), SCENARIOS)
 
 
 # ======================================================================================
@@ -333,7 +334,7 @@ select distinct ticker from (select ticker from top union all select * from (val
 """, [ST], [], 10)
 def universe_topn(m):
     """The 10 tickers with the highest revenue CAGR plus the fixed core tickers."""
-    return ing.universe_topn(fu.cagr(m.statements, "Total Revenue", 3), 10, CORE)
+    return ing.universe_topn(fu.cagr(m.statements, "revenue", 3), 10, CORE)
 
 
 @register("two_tier_prices", f"""

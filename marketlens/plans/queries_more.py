@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..schemas import TABS
+from ..schemas import DCF_ALIASES, TABS
 from . import fundamentals as fu
 from . import market as mk
 from . import technical as te
@@ -134,14 +134,8 @@ def _latest_dates_sql(rel: str, n: int) -> str:
             f"where dr <= {n})")
 
 
-TTM_GROUPS = {
-    "ebit_ttm": ["EBIT", "Operating Income"],
-    "d_and_a_ttm": ["Depreciation And Amortization", "Depreciation & Amortization", "Depreciation"],
-    "capex_ttm": ["Capital Expenditure", "CapEx"],
-    "income_tax_ttm": ["Income Tax Expense"],
-    "pretax_ttm": ["Income Before Tax"],
-    "interest_ttm": ["Interest Expense"],
-}
+TTM_GROUPS = dict(zip(["ebit_ttm", "d_and_a_ttm", "capex_ttm", "income_tax_ttm", "pretax_ttm", "interest_ttm"],
+                      DCF_ALIASES.values()))
 
 
 def _ttm_sql() -> str:
@@ -217,14 +211,14 @@ l as (select *, ebit_ttm * (1 - tax_rate) + d_and_a_ttm - capex_ttm as base_fcff
           + total_debt / (market_cap + total_debt)
             * (case when total_debt <> 0 and interest is not null and interest <> 0 then interest / total_debt else 0.04 end)
             * (1 - tax_rate) end as wacc,
-        concat_ws(', ', case when ebit_ttm is null then 'EBIT/Operating Income' end,
-                  case when d_and_a_ttm is null then 'D&A' end, case when capex_ttm is null then 'CapEx' end) as missing
+        concat_ws(', ', case when ebit_ttm is null then 'no_ebit' end,
+                  case when d_and_a_ttm is null then 'no_d_and_a' end, case when capex_ttm is null then 'no_capex' end) as missing
       from k)
 select {final_cols},
-  case when missing <> '' then 'missing TTM data: ' || missing
-       when price is null or market_cap is null or price = 0 then 'missing latest summary (price, market cap)'
-       when shares_outstanding = 0 then 'zero shares outstanding'
-       when base_fcff = 0 then 'base FCFF is zero' else 'ok' end as status
+  case when missing <> '' then missing
+       when price is null or market_cap is null or price = 0 then 'no_summary'
+       when shares_outstanding = 0 then 'no_shares'
+       when base_fcff = 0 then 'zero_fcff' else 'ok' end as status
 from l"""
 
 
@@ -235,16 +229,14 @@ DCF_COLS = ["ebit_ttm", "d_and_a_ttm", "capex_ttm", "interest_ttm", "tax_rate",
 @register("dcf_base", _dcf_sql("ticker, " + ", ".join(DCF_COLS)), [ST, SUM, P, "fin_q"], DCF_COLS, 10, colplaces=MONEY5)
 def dcf_base(m):
     """DCF inputs per ticker with a status column naming missing inputs."""
-    return fu.dcf_base(m.statements, m.summary)
+    return fu.dcf_base(m.statements, m.summary).drop("income_tax_ttm", "pretax_ttm")
 
 
 @register("tax_rate", _dcf_sql("ticker, income_tax_ttm, pretax_ttm, tax_rate"), [ST, SUM],
           ["income_tax_ttm", "pretax_ttm", "tax_rate"], 10, colplaces=MONEY5)
 def tax_rate(m):
     """effective TTM tax rate clipped to [0, 0.5], 0.21 by default."""
-    t = _ttm_spark(m.statements)
-    d = fu.dcf_base(m.statements, m.summary).select("ticker", "tax_rate", "status")
-    return t.select("ticker", "income_tax_ttm", "pretax_ttm").join(d, "ticker", "full")
+    return fu.dcf_base(m.statements, m.summary).select("ticker", "income_tax_ttm", "pretax_ttm", "tax_rate", "status")
 
 
 @register("wacc", _dcf_sql("ticker, market_cap, total_debt, beta, tax_rate, wacc"), [ST, SUM],
@@ -278,7 +270,7 @@ cg as (select ticker, n_points, n_years, start_value, end_value,
 @register("revenue_cagr", f"with {CAGR_SQL} select * from cg", [ST], ["start_value", "end_value", "cagr"], 10)
 def revenue_cagr(m):
     """3-year revenue CAGR from the annual income statements."""
-    return fu.cagr(m.statements, "Total Revenue", 3).withColumn("n_years", F.col("n_years").cast("int"))
+    return fu.cagr(m.statements, "revenue", 3).withColumn("n_years", F.col("n_years").cast("int"))
 
 
 @register("cash_conversion", f"""
@@ -398,7 +390,7 @@ def _compare(tab: str):
 
     @register(f"compare_{tab}", sql, [ST, SUM, DIM, P], doubles, 10)
     def run(m):
-        base = mk.comparison_base(m.summary, m.dim, m.statements)
+        base = mk.comparison_base(m.summary, m.dim, m.statements, columns=cols)
         return mk.comparison_table(base, tab, sort_by=cols[1])
 
     run.__doc__ = f"M8: the {tab} comparison table over every ticker's latest snapshot."
@@ -417,7 +409,7 @@ select ticker, price, trailing_eps, forecast_target, forecast_target / price - 1
 """, [SUM, P], ["price", "trailing_eps", "forecast_target", "forecast_upside", "forecast_irr"], 10)
 def exit_multiple(m):
     """M9: exit-multiple forecast with the default scenario (5 years, 10 % EPS growth, PE 20)."""
-    return mk.exit_multiple(mk.latest_snapshot(m.summary), 5, 10.0, 20.0)
+    return mk.exit_multiple(mk.latest_snapshot(m.summary)).drop("scenario_id")
 
 
 @register("historical_pe", f"""

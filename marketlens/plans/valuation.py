@@ -1,6 +1,6 @@
 """Monte Carlo DCF valuation (V1-V7) over tickers x scenarios.
 
-The (ticker, scenario) rows are dealt to tasks once, before they expand; draws, values, quantiles and
+The (ticker, scenario) rows are dealt to a stated number of tasks before they expand; draws, values, quantiles and
 histograms are then made inside the group, so no draw ever crosses a shuffle.  A group holds the
 ``sims`` draws of one ticker and scenario, whatever the number of tickers.
 
@@ -10,62 +10,61 @@ reproducible on task retry and identical in DuckDB (the oracle repeats the exact
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..schemas import DEFAULT_SCENARIO
+from .scenarios import by_scenario
 
 PROJECTION_YEARS = 5
-MAX_SCENARIOS = 1000          # scenarios are a small input of the user; more are refused, never dropped
 NO_VALUE = "no valid simulation"
+RANGES = [f"{p}_{x}" for p in ("growth", "perpetual", "wacc") for x in ("min", "mode", "max")]
+
 
+def dealt(base: DataFrame, scenarios=None, selection: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """One row per (ticker, scenario) with its parameters as fractions, dealt to ``tasks`` tasks.
 
-def scenario_rows(scenarios: Sequence[dict] | DataFrame | dict | None) -> list[dict]:
-    """The scenarios (V7) as dictionaries, defaults filled in."""
-    if isinstance(scenarios, DataFrame):
-        scenarios = [r.asDict() for r in scenarios.limit(MAX_SCENARIOS + 1).collect()]
-    elif isinstance(scenarios, dict) or scenarios is None:
-        scenarios = [scenarios or {}]
-    if len(scenarios) > MAX_SCENARIOS:
-        raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
-    return [dict(DEFAULT_SCENARIO, **{k: v for k, v in s.items() if v is not None}) for s in scenarios]
+    The rows are few and small but expand to ``sims`` draws each, so their number of tasks is stated (default: the
+    shuffle partitions, at least two per core) and adaptive execution does not put them together."""
+    spark = base.sparkSession
+    n = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows = by_scenario(base, scenarios, selection, ["sims", *RANGES])
+    rows = rows.withColumns({f"_{r}": F.col(r) / 100.0 for r in RANGES}).drop(*RANGES)
+    return rows.repartition(n, "ticker", "scenario_id")
 
 
-def by_scenario(base: DataFrame, scenarios=None) -> DataFrame:
-    """One row per (ticker, scenario) with the scenario's parameters as fractions."""
-    names = [f"{p}_{x}" for p in ("growth", "perpetual", "wacc") for x in ("min", "mode", "max")]
-    rows = [F.struct(F.lit(int(s["scenario_id"])).alias("scenario_id"), F.lit(int(s["sims"])).alias("sims"),
-                     *[F.lit(s[n] / 100.0).alias(f"_{n}") for n in names]) for s in scenario_rows(scenarios)]
-    return base.select("*", F.inline(F.array(*rows)))
+BASE_COLUMNS = ["ticker", "status", "base_fcff", "net_debt", "shares_outstanding", "price"]
 
 
-def draws(base: DataFrame, scenarios=None) -> DataFrame:
+def draws(base: DataFrame, scenarios=None, selection: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """One row per (ticker, scenario, draw) with triangular growth, perpetual growth and WACC draws
     (V1, percent inputs), for tickers whose DCF base status is 'ok'."""
-    b = base.where(F.col("status") == "ok").select("ticker", "base_fcff", "net_debt", "shares_outstanding", "price")
-    c = by_scenario(b, scenarios).repartition("ticker", "scenario_id")
-    d = c.where(F.col("sims") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("sims") - 1)))
+    b = base.where(F.col("status") == "ok").select(*BASE_COLUMNS)
+    return expand(dealt(b, scenarios, selection, tasks))
+
+
+def expand(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The draws of dealt rows; a row that has none (no DCF base, no simulations) stays as one row without draw."""
+    n = F.when((F.col("status") == "ok") & (F.col("sims") > 0), F.sequence(F.lit(0), F.col("sims") - 1))
+    d = rows.withColumn("draw", F.explode_outer(n))
     # one hash per draw, three 52-bit uniforms from disjoint slices of it
-    d = d.withColumn("_h", F.sha2(F.concat_ws("|", F.col("ticker"), F.col("scenario_id").cast("string"),
-                                              F.col("draw").cast("string")), 256))
+    d = d.withColumn("_h", F.when(F.col("draw").isNotNull(), F.sha2(F.concat_ws(
+        "|", F.col("ticker"), F.col("scenario_id").cast("string"), F.col("draw").cast("string")), 256)))
     d = d.select("*", *[S.hex_uniform(F.col("_h"), i).alias(f"_u{i}") for i in range(3)])
 
     def tri(i, p):
-        return S.triangular(F.col(f"_u{i}"), *[F.col(f"_{p}_{x}") for x in ("min", "mode", "max")])
+        u = F.col(f"_u{i}")
+        return F.when(u.isNotNull(), S.triangular(u, *[F.col(f"_{p}_{x}") for x in ("min", "mode", "max")]))
 
-    return d.select("ticker", "scenario_id", "draw", "base_fcff", "net_debt", "shares_outstanding",
-                    "price", tri(0, "growth").alias("growth"), tri(1, "perpetual").alias("perpetual"),
-                    tri(2, "wacc").alias("wacc"))
+    return d.select("ticker", "scenario_id", "status", "draw", "base_fcff", "net_debt", "shares_outstanding", "price", *keep,
+                    tri(0, "growth").alias("growth"), tri(1, "perpetual").alias("perpetual"), tri(2, "wacc").alias("wacc"))
 
 
-def intrinsic_values(d: DataFrame) -> DataFrame:
-    """V2 + V3: drop draws with wacc <= perpetual growth; five-year projection, discounting,
-    terminal value clamped at 0, equity per share.  Powers are written as repeated products
-    (the same IEEE operations in every engine)."""
-    keep = ["ticker", "scenario_id", "draw", "price", "growth", "perpetual", "wacc", "net_debt", "shares_outstanding"]
+def valued(d: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """V2 + V3: ``intrinsic_value`` of every draw: five-year projection, discounting, terminal value clamped at 0,
+    equity per share; null where wacc <= perpetual growth and where the value is not finite.  Powers are
+    written as repeated products (the same IEEE operations in every engine)."""
+    keep = ["ticker", "scenario_id", "status", "draw", "price", "growth", "perpetual", "wacc", "net_debt", "shares_outstanding", *extra]
     v = d.select(*keep, (F.col("base_fcff") * (1 + F.col("growth"))).alias("f1"),
                  (F.lit(1.0) * (1 + F.col("wacc"))).alias("d1"))
     for t in range(2, PROJECTION_YEARS + 1):
@@ -80,54 +79,62 @@ def intrinsic_values(d: DataFrame) -> DataFrame:
                  (F.col(f"f{n}") * (1 + F.col("perpetual")) / F.nullif(spread, F.lit(0.0))).alias("_tv"))
     tv = F.when(F.col("_tv") < 0, F.lit(0.0)).otherwise(F.col("_tv"))
     val = (F.col("_pv") + tv / F.col(f"d{n}") - F.col("net_debt")) / F.col("shares_outstanding")
-    v = v.select("ticker", "scenario_id", "draw", "price", "growth", "perpetual", "wacc", val.alias("_iv"))
-    # V2 (wacc > perpetual) and the finite filter of V4 as a generator over an optional value:
-    # NaN compares above +inf in Spark, so one range test excludes NaN and +-inf.  A generator
-    # keeps the test on the computed column (a Filter would be pushed below the projections and
-    # inline the whole draw formula into its predicate).
+    v = v.select("ticker", "scenario_id", "status", "draw", "price", *extra, "growth", "perpetual", "wacc", val.alias("_iv"))
+    # NaN compares above +inf in Spark, so one range test excludes NaN and +-inf
     ok = (F.col("wacc") > F.col("perpetual")) & F.col("_iv").between(-1.7976931348623157e308, 1.7976931348623157e308)
+    return v.withColumn("intrinsic_value", F.when(ok, F.col("_iv"))).drop("_iv")
+
+
+def intrinsic_values(d: DataFrame) -> DataFrame:
+    """The draws that have a value (V2, V4).
+
+    The value goes through a generator: a Filter would be pushed below the projections and take the whole
+    draw formula into its predicate."""
+    v = valued(d)
     return v.select("ticker", "scenario_id", "draw", "price", "growth", "perpetual", "wacc",
-                    F.explode(F.when(ok, F.array(F.col("_iv")))).alias("intrinsic_value"))
+                    F.explode(F.when(F.col("intrinsic_value").isNotNull(), F.array("intrinsic_value"))).alias("intrinsic_value"))
 
 
 def summary(values: DataFrame) -> DataFrame:
-    """V4: mean, median, p10, p90 (linear interpolation, as numpy) and count per ticker.  The
-    exact percentile holds one ticker's draws (bounded by ``sims``), not the table."""
+    """Mean, median, p10, p90 (linear interpolation, as numpy) and count per ticker and scenario, over the rows
+    that have a value.  The exact percentile holds one group's draws (bounded by ``sims``), not the table."""
     p = F.percentile("intrinsic_value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    status = [F.first("status").alias("status")] if "status" in values.columns else []
     g = values.groupBy("ticker", "scenario_id").agg(
-        F.avg("intrinsic_value").alias("mean"), p.alias("_p"), F.count(F.lit(1)).alias("n_valid"),
+        *status, F.avg("intrinsic_value").alias("mean"), p.alias("_p"), F.count("intrinsic_value").alias("n_valid"),
         F.first("price").alias("current_price"))
-    return g.select("ticker", "scenario_id", "mean", F.col("_p")[1].alias("median"), F.col("_p")[0].alias("p10"),
-                    F.col("_p")[2].alias("p90"), "n_valid", "current_price")
+    return g.select("ticker", "scenario_id", *[c for c in ("status",) if status], "mean", F.col("_p")[1].alias("median"),
+                    F.col("_p")[0].alias("p10"), F.col("_p")[2].alias("p90"), "n_valid", "current_price")
+
+
+def monte_carlo_dcf(base: DataFrame, scenarios=None, selection: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """V4 with a row for every ticker and scenario: ``status`` is 'ok', the reason why the DCF base is missing, or that
+    no simulation was valid.  One pass: rows without draws stay in it."""
+    s = summary(valued(expand(dealt(base.select(*BASE_COLUMNS), scenarios, selection, tasks))))
+    none = (F.col("status") == "ok") & (F.col("n_valid") == 0)
+    return s.withColumn("status", F.when(none, NO_VALUE).otherwise(F.col("status")))
 
 
-def histogram(values: DataFrame, bins: int = 100) -> DataFrame:
-    """``bins`` equal-width bins between the min and max value of each ticker and scenario;
-    counts.  The range is a window over the group where it lies: one expansion of the draws."""
-    w = Window.partitionBy("ticker", "scenario_id")
-    x = values.select("ticker", "scenario_id", "intrinsic_value", F.min("intrinsic_value").over(w).alias("lo"),
-                      F.max("intrinsic_value").over(w).alias("hi"))
+def histogram(base: DataFrame, scenarios=None, selection: DataFrame | None = None, bins: int = 100,
+              tasks: int | None = None) -> DataFrame:
+    """``bins`` equal-width bins between the least and greatest value of each ticker and scenario; counts.
+
+    The draws are made twice, first for their range, then for the bins: nothing holds them in between, and what is
+    joined is one row per ticker and scenario."""
+    b = base.where(F.col("status") == "ok").select(*BASE_COLUMNS)
+    rows = dealt(b, scenarios, selection, tasks)
+    span = valued(expand(rows)).groupBy("ticker", "scenario_id").agg(F.min("intrinsic_value").alias("lo"), F.max("intrinsic_value").alias("hi"))
+    x = valued(expand(rows.join(span.where(F.col("lo").isNotNull()), ["ticker", "scenario_id"]), ("lo", "hi")), ("lo", "hi"))
     width = F.col("hi") - F.col("lo")
     b = F.when(width > 0, F.floor((F.col("intrinsic_value") - F.col("lo")) / width * bins) + 1).otherwise(F.lit(1))
-    b = F.least(b, F.lit(bins)).cast("int")
-    return (x.withColumn("bin", b).groupBy("ticker", "scenario_id", "bin")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    bin_ = F.when(F.col("intrinsic_value").isNotNull(), F.least(b, F.lit(bins)).cast("int"))
+    return (x.withColumn("bin", bin_).groupBy("ticker", "scenario_id", "bin")
+            .agg(F.count("intrinsic_value").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            .where(F.col("n") > 0)  # a filter on the bin itself would take the draw formula below the aggregate
             .select("ticker", "scenario_id", "bin", "n",
                     (F.col("lo") + (F.col("bin") - 1) * (F.col("hi") - F.col("lo")) / bins).alias("bin_start")))
 
 
-def monte_carlo_dcf(base: DataFrame, scenarios=None) -> DataFrame:
-    """V4 with a row for every ticker and scenario: ``status`` is 'ok', the reason why the DCF base
-    is missing, or that no simulation was valid."""
-    s = summary(intrinsic_values(draws(base, scenarios)))
-    every = by_scenario(base.select("ticker", "status", F.col("price").alias("_price")), scenarios).select(
-        "ticker", "scenario_id", "status", "_price")
-    status = F.when((F.col("status") == "ok") & F.col("n_valid").isNull(), NO_VALUE).otherwise(F.col("status"))
-    return every.join(s, ["ticker", "scenario_id"], "left").select(
-        "ticker", "scenario_id", status.alias("status"), "mean", "median", "p10", "p90",
-        F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.col("_price").alias("current_price"))
-
-
 def margin_of_safety(s: DataFrame) -> DataFrame:
     """V5: mean intrinsic value against the current price; null where there is no value."""
     m, p = F.col("mean"), F.col("current_price")

@@ -139,6 +139,20 @@ DCF_ALIASES = {
     "Interest Expense": ["Interest Expense"],
 }
 
+# Labels that a statement may use for one company series, in order of preference (matched
+# without regard to case and surrounding space), and the annual statement that holds the series.
+SERIES_LABELS = {
+    "revenue": ["Total Revenue", "Revenues", "Revenue"],
+    "cost_of_revenue": ["Cost Of Revenue", "Cost of Revenue", "Cost Of Goods Sold"],
+    "gross_profit": ["Gross Profit"],
+    "op_income": ["Operating Income", "Operating Income or Loss", "Ebit", "Earnings Before Interest and Taxes"],
+    "net_income": ["Net Income", "Net Income From Continuing Ops", "Net Income Applicable To Common Shares"],
+    "cfo": ["Total Cash From Operating Activities", "Operating Cash Flow"],
+    "capex": ["Capital Expenditures"],
+}
+SERIES_STATEMENT = {"revenue": "income_a", "cost_of_revenue": "income_a", "gross_profit": "income_a", "op_income": "income_a",
+                    "net_income": "income_a", "cfo": "cashflow_a", "capex": "cashflow_a"}
+
 # The 27 credit-risk features, in contract order.
 RISK_FEATURES = [
     "Current Ratio", "Operating Margin", "Total Assets (ln)",
