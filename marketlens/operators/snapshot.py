@@ -64,14 +64,3 @@ def top_n(df: DataFrame, n: int, key, order: Sequence[Column]) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-
-
-def sort_by_metric(df: DataFrame, column: str, higher_is_better: dict, tie: str = "ticker") -> DataFrame:
-    """Comparison sort (O3): descending when the metric is 'higher is better', ascending
-    otherwise; nulls last; ticker breaks ties."""
-    c = F.col(column)
-    if higher_is_better.get(column, False):
-        o = c.desc_nulls_last()
-    else:
-        o = c.asc_nulls_last()
-    return df.orderBy(o, F.col(tie).asc())

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import snapshot as snap
 from ..operators import timeseries as ts
+from ..operators.ordering import metric_order, ranked_by_metric
 from ..schemas import TABS
 from ..sources.storage import in_period, latest_date
 from .scenarios import by_scenario
@@ -189,39 +190,73 @@ def comparison_table(base: DataFrame, tab: str, sort_by: str | None = None) -> D
     cols = [F.col(c) if c in base.columns else F.lit(None).alias(c) for c in conf["columns"]]
     out = base.select(*cols)
     if sort_by:
-        return snap.sort_by_metric(out, sort_by, conf["higher_is_better"])
+        return out.orderBy(*metric_order(sort_by, conf["higher_is_better"]))
     return out
 
 
+def ranked_table(base: DataFrame, tab: str, sort_by: str) -> DataFrame:
+    """A comparison tab with each row's place by the metric rule (O3) as a column."""
+    return ranked_by_metric(comparison_table(base, tab), sort_by, TABS[tab]["higher_is_better"])
+
+
+# Metric names of the EPS sources, annual and quarterly, in order of preference.
+ANNUAL_EPS = ["Basic EPS", "Diluted EPS", "BasicEPS"]
+QUARTERLY_EPS = ["Basic EPS", "Diluted EPS"]
+BEGINNING = "0001-01-01"
+
+
+def eps_sources(statements: DataFrame, summary: DataFrame, lag_days: int = 0) -> DataFrame:
+    """(ticker, date, priority, sum4, value): the EPS steps of every source in one table.
+
+    Annual names come first, then quarterly ones (``sum4``: the step is the sum of up to four quarters), then the
+    trailing EPS of the latest snapshot as a constant from the beginning; a trailing EPS of 0 counts as absent.
+    ``lag_days`` moves steps from the report date towards the filing date (quirk Q20)."""
+    def rank(names, first):
+        return F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(first + i))])[F.col("metric_name")]
+
+    p = (F.when(F.col("statement_type") == "income_a", rank(ANNUAL_EPS, 0))
+         .when(F.col("statement_type") == "income_q", rank(QUARTERLY_EPS, len(ANNUAL_EPS))))
+    steps = statements.where(F.col("statement_type").isin("income_a", "income_q")
+                             & F.col("metric_name").isin(sorted({*ANNUAL_EPS, *QUARTERLY_EPS})) & F.col("metric_value").isNotNull())
+    steps = steps.select("ticker", F.date_add("report_date", lag_days).alias("date"), p.alias("priority"),
+                         (F.col("statement_type") == "income_q").alias("sum4"), F.col("metric_value").alias("value"))
+    last = snap.latest(summary.select("ticker", "date_updated", "trailing_eps"), "ticker", "date_updated")
+    constant = last.where(F.col("trailing_eps") != 0).select(
+        "ticker", F.lit(BEGINNING).cast("date").alias("date"), F.lit(len(ANNUAL_EPS) + len(QUARTERLY_EPS)).alias("priority"),
+        F.lit(False).alias("sum4"), F.col("trailing_eps").alias("value"))
+    return steps.where(F.col("priority").isNotNull()).unionByName(constant)
+
+
+def step_values(days: DataFrame, sources: DataFrame, column: str) -> DataFrame:
+    """``days`` (ticker, date, ...) with the step value of each ticker's best source as of the day.
+
+    A ticker's best source is the one of least priority that has any step, whether or not it reaches back to the
+    day.  All sources and the days go through one shuffle by ticker; the sums of four, the choice and the fill are windows
+    over a ticker's rows there, bounded by its calendar."""
+    cols = days.columns
+    d = days.select("ticker", F.col("date").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("int").alias("priority"),
+                    F.lit(None).cast("boolean").alias("sum4"), F.lit(None).cast("double").alias("value"), F.struct(*cols).alias("_row"))
+    s = sources.select("ticker", F.col("date").alias("_t"), F.lit(0).alias("_side"), "priority", "sum4", "value",
+                       F.lit(None).cast(d.schema["_row"].dataType).alias("_row"))
+    u = d.unionByName(s).repartition("ticker")
+    u = u.withColumn("_v", F.when(F.col("sum4"), ts.rolling("value", 4, "sum", 1, key=["ticker", "priority"], order="_t")).otherwise(F.col("value")))
+    best = F.min("priority").over(Window.partitionBy("ticker"))
+    u = u.withColumn("_best", best)
+    here = F.when(F.col("priority") == F.col("_best"), F.col("_v"))
+    fill = F.last(here, ignorenulls=True).over(Window.partitionBy("ticker").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    u = u.withColumn(column, fill).where(F.col("_side") == 1)
+    return u.select(*[F.col("_row")[c].alias(c) for c in cols], column)
+
+
 def historical_pe(prices: DataFrame, statements: DataFrame, summary: DataFrame, tickers=None, as_of=None,
-                  years: int = 5) -> DataFrame:
-    """Historical P/E (M12): daily close over a step-filled EPS.  EPS source per ticker, in
-    order: annual Basic EPS, else Diluted EPS, else quarterly Basic EPS summed over up to four
-    quarters, else the constant trailing EPS of the latest snapshot.  The step uses the report
-    date (quirk Q20)."""
+                  years: int = 5, lag_days: int = 0) -> DataFrame:
+    """Historical P/E (M12): daily close over a step-filled EPS.  EPS source per ticker, in order: annual Basic,
+    Diluted and BasicEPS, quarterly Basic and Diluted EPS summed over up to four quarters, the constant trailing
+    EPS of the latest snapshot."""
     end = as_of_date(prices, as_of)
     p = price_window(prices, F.date_sub(end, years * 365), end, tickers)
-    st = _only(statements, tickers)
-    ann = st.where(F.col("statement_type") == "income_a")
-    a_basic = ann.where(F.col("metric_name") == "Basic EPS").select("ticker", "report_date", F.col("metric_value").alias("eps"))
-    a_dil = ann.where(F.col("metric_name") == "Diluted EPS").select("ticker", "report_date", F.col("metric_value").alias("eps"))
-    a_dil = a_dil.join(a_basic.select("ticker").distinct(), "ticker", "left_anti")
-    annual = a_basic.unionByName(a_dil).withColumn("src", F.lit(1))
-    q = (st.where((F.col("statement_type") == "income_q") & (F.col("metric_name") == "Basic EPS"))
-         .select("ticker", "report_date", F.col("metric_value").alias("q_eps"))
-         .join(annual.select("ticker").distinct(), "ticker", "left_anti"))
-    q = q.select("ticker", "report_date", ts.rolling("q_eps", 4, "sum", 1, order="report_date").alias("eps"),
-                 F.lit(2).alias("src"))
-    steps = annual.unionByName(q)
-    daily = ts.asof_backward(p, steps.select("ticker", F.col("report_date").alias("date"), "eps", "src"),
-                             ["eps", "src"])
-    has_steps = steps.select("ticker").distinct().withColumn("has_steps", F.lit(True))
-    trailing = snap.latest(summary.select("ticker", "date_updated", "trailing_eps"), "ticker", "date_updated")
-    d = daily.join(has_steps, "ticker", "left").join(trailing.select("ticker", "trailing_eps"), "ticker", "left")
-    eps = F.when(F.col("has_steps"), F.col("eps")).otherwise(
-        F.when(F.col("trailing_eps") != 0, F.col("trailing_eps")))
-    out = d.select("ticker", "date", "close", eps.alias("eps"))
-    out = out.withColumn("pe", out.close / F.nullif(out.eps, F.lit(0.0)))
+    out = step_values(p, eps_sources(_only(statements, tickers), _only(summary, tickers), lag_days), "eps")
+    out = out.withColumn("pe", F.col("close") / F.nullif(F.col("eps"), F.lit(0.0)))
     return out.withColumn("pe_band", S.pe_band("pe"))
 
 

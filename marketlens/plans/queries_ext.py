@@ -178,7 +178,7 @@ select ticker, issuer, dirty_price - accrued as clean_price, accrued, dirty_pric
 from {B}""", [B], ["clean_price", "accrued", "dirty_price", "intrinsic_value", "valuation_spread_pct"], 10)
 def bond_status(m):
     """PAR status, clean price and valuation spread (pricing view)."""
-    return rt.bond_detail(m.bonds, "pricing", sort_by="valuation_spread_pct")
+    return rt.bond_detail(m.bonds, "pricing")
 
 
 # ======================================================================================

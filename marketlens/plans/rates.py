@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import timeseries as ts
+from ..operators.ordering import ranked_detail
 from ..schemas import MATURITY_YEARS
 
 # Display names of rate instruments and benchmarks.
@@ -65,14 +66,22 @@ def spread(rates: DataFrame, benchmark: str, scale: float = 100.0) -> DataFrame:
                                     name.alias("spread_name"))
 
 
-def series(rates: DataFrame, ticker: str = "^MOVE") -> DataFrame:
-    """A single series (the volatility view)."""
-    return rates.where(F.col("ticker") == ticker).select("date", "ticker", "close")
+NO_SERIES = "no data for this series"
+
+
+def series(rates: DataFrame, tickers=("^MOVE",)) -> DataFrame:
+    """Single series (the volatility view) with a status: a series that the table does not have is one row
+    without date that says so, instead of an error."""
+    wanted = F.explode(F.array(*[F.lit(t) for t in tickers])).alias("ticker")
+    have = rates.where(F.col("ticker").isin(list(tickers))).select("ticker", "date", "close")
+    asked = rates.sparkSession.range(1).select(wanted)
+    out = asked.join(have, "ticker", "left")
+    return out.select("ticker", "date", "close", F.when(F.col("date").isNull(), NO_SERIES).otherwise("ok").alias("status"))
 
 
 def bond_detail(bonds: DataFrame, view: str = "pricing", sort_by: str | None = None) -> DataFrame:
     """PAR status, clean price, valuation spread; credit / risk / pricing column sets;
-    detail sorts are always descending (O4)."""
+    detail sorts are always descending (O4); with ``sort_by`` each row has its ``place``."""
     b = bonds.select("*", S.par_status("dirty_price").alias("par_status"),
                      (F.col("dirty_price") - F.col("accrued")).alias("clean_price"),
                      ((F.col("intrinsic_value") / F.col("dirty_price") - 1) * 100).alias("valuation_spread_pct"))
@@ -83,6 +92,4 @@ def bond_detail(bonds: DataFrame, view: str = "pricing", sort_by: str | None = N
                     "valuation_spread_pct", "par_status"],
     }
     out = b.select(*views[view])
-    if sort_by:
-        out = out.orderBy(F.col(sort_by).desc_nulls_last(), F.col("ticker"))
-    return out
+    return ranked_detail(out, sort_by) if sort_by else out

@@ -19,6 +19,7 @@ DIM_COMPANY = T.StructType([
     T.StructField("credit_rating", T.StringType()),
 ])
 
+# Metric columns of a snapshot.
 SUMMARY_METRICS = [
     "fcf_ttm", "revenue_ttm", "price", "market_cap", "beta", "pe_ratio", "pb_ratio", "ev_ebitda",
     "revenue_growth_yoy", "revenue_cagr_3y", "net_income_growth_yoy", "roe", "de_ratio",
@@ -69,7 +70,7 @@ RATES = T.StructType([
     T.StructField("close", T.DoubleType()),
 ])
 
-# Upsert keys (conflict targets) of the warehouse tables.
+# Upsert keys (conflict targets) of the warehouse tables.
 KEYS = {
     "dim_company": ["ticker"],
     "fact_company_summary": ["ticker", "date_updated"],
@@ -197,7 +198,23 @@ TABS = {
                 "higher_is_better": {"upside_pct": True}},
 }
 
-# Default Monte Carlo / forecast scenario (percent inputs), the user-assumption defaults.
+# Sector -> benchmark indices, the benchmarks that every selection may choose, and display names.
+SECTOR_BENCHMARKS = {
+    "Basic Materials": ["XLB"], "Communication Services": ["XLC"], "Consumer Cyclical": ["XRT", "HERO"],
+    "Consumer Defensive": ["XLP"], "Energy": ["XLE"], "Financials": ["XLF"], "Healthcare": ["XLV"], "Industrials": ["XLI"],
+    "Real Estate": ["XLRE"], "Technology": ["XLK", "SOXX", "SKYY"], "Utilities": ["XLU"],
+}
+COMMON_BENCHMARKS = ["^GSPC", "^NDX"]
+BENCHMARK_NAMES = {
+    "HERO": "Gaming (HERO)", "SKYY": "Cloud Computing (SKYY)", "SOXX": "Semiconductors (SOXX)", "XLB": "Basic Materials (XLB)",
+    "XLC": "Communication Services (XLC)", "XLE": "Energy (XLE)", "XLF": "Financials (XLF)", "XLI": "Industrials (XLI)",
+    "XLK": "US Tech Giants (XLK)", "XLP": "Consumer Staples (XLP)", "XLRE": "Real Estate (XLRE)", "XLU": "Utilities (XLU)",
+    "XLV": "Healthcare (XLV)", "XRT": "US Retail (XRT)", "^GSPC": "S&P 500 Index", "^NDX": "NASDAQ 100 Index",
+    "^FVX": "5-Year Treasury Yield", "^TNX": "10-Year Treasury Yield", "^TYX": "30-Year Treasury Yield",
+    "LQD": "Inv. Grade Corp Bond ETF", "HYG": "High-Yield Corp Bond ETF",
+}
+
+# Default Monte Carlo / forecast scenario (percent inputs), the user-assumption defaults.
 DEFAULT_SCENARIO = {
     "scenario_id": 1, "forecast_years": 5, "eps_growth": 10.0, "terminal_pe": 20.0, "sims": 10000,
     "growth_min": 3.0, "growth_mode": 5.0, "growth_max": 8.0,

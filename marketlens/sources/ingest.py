@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import snapshot as snap
 from ..functions import scalar as S
+from ..schemas import BENCHMARK_NAMES, COMMON_BENCHMARKS, SECTOR_BENCHMARKS
 from .storage import MONTH, YEAR, in_period, latest_date, plain
 
 
@@ -67,6 +68,26 @@ def normalise_articles(raw: DataFrame) -> DataFrame:
         .where(F.col("published_at").isNotNull())
 
 
+def require(df: DataFrame, columns: Sequence[str], what: str = "table") -> DataFrame:
+    """``df`` itself, or an error that names the columns it lacks (checked on the schema, before any job)."""
+    absent = [c for c in columns if c not in df.columns]
+    if absent:
+        raise ValueError(f"{what} lacks the column{'s' * (len(absent) > 1)} {', '.join(absent)}")
+    return df
+
+
+def renamed(df: DataFrame, names: dict[str, str], back: bool = False) -> DataFrame:
+    """P10: columns under their display names (or ``back``); names that are not there are left out, and one that
+    would meet a column of the same name is refused."""
+    pairs = {(v if back else k): (k if back else v) for k, v in names.items()}
+    pairs = {k: v for k, v in pairs.items() if k in df.columns and k != v}
+    kept = [c for c in df.columns if c not in pairs]
+    twice = sorted({v for v in pairs.values() if v in kept or list(pairs.values()).count(v) > 1})
+    if twice:
+        raise ValueError(f"two columns would be called {', '.join(twice)}")
+    return df.withColumnsRenamed(pairs)
+
+
 # ---- keyed writes -------------------------------------------------------------------------
 def upsert(target: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
     """Last write wins on the business key (updates after target).  Within the update batch the
@@ -233,6 +254,26 @@ def symbol_options(dim: DataFrame, sector: str | None = None, selected: Sequence
     return x.select("ticker", F.coalesce(F.concat(name, F.lit(" ("), F.col("ticker"), F.lit(")")), F.col("ticker")).alias("label"))
 
 
+def relevant_benchmarks(selection: DataFrame, dim: DataFrame, chosen: DataFrame | None = None,
+                        by_sector: dict[str, list[str]] = SECTOR_BENCHMARKS, common: Sequence[str] = COMMON_BENCHMARKS,
+                        names: dict[str, str] = BENCHMARK_NAMES, user: str = "user_id") -> DataFrame:
+    """(user, value, label): the benchmarks that each user's tickers suggest.
+
+    ``selection`` (user, ticker) may be of any size.  The sector of each ticker is mapped to its indices, the
+    ``common`` ones are added for every user who selected anything, those in ``chosen`` (user, symbol) are taken out.
+    Sectors without indices and tickers without a sector add nothing.  Sectors are made distinct per user
+    before they become indices, so what is exploded is small."""
+    indices = F.create_map(*[x for k, v in by_sector.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
+    sectors = (selection.select(user, "ticker").join(dim.select("ticker", "sector"), "ticker", "left")
+               .groupBy(user).agg(F.collect_set("sector").alias("sectors")))
+    every = F.flatten(F.transform("sectors", lambda s: F.coalesce(indices[s], F.array().cast("array<string>"))))
+    out = sectors.select(user, F.explode(F.array_distinct(F.concat(every, F.array(*[F.lit(i) for i in common])))).alias("value"))
+    if chosen is not None:
+        out = out.join(chosen.select(user, F.col("symbol").alias("value")).distinct(), [user, "value"], "left_anti")
+    label = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    return out.select(user, "value", F.coalesce(label[F.col("value")], F.col("value")).alias("label")).orderBy(user, "value")
+
+
 def two_tier_values(primary: DataFrame, secondary: DataFrame, value_col: str) -> DataFrame:
     """Primary non-null values; the secondary's for tickers missing there (first wins)."""
     p = primary.where(F.col(value_col).isNotNull()).select("ticker", value_col).withColumn("_o", F.lit(0))
