@@ -115,3 +115,4 @@ from .plans import queries as _queries  # noqa: E402,F401
 from .plans import queries_more as _queries_more  # noqa: E402,F401
 from .plans import queries_ext as _queries_ext  # noqa: E402,F401
 from .plans import queries_load as _queries_load  # noqa: E402,F401
+from .plans import queries_flow as _queries_flow  # noqa: E402,F401

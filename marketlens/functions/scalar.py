@@ -97,9 +97,25 @@ def fmt_market_cap(x="market_cap") -> Column:
             .otherwise(F.concat(F.lit("$"), F.format_number(v / 1e6, 2), F.lit("M"))))
 
 
-def fmt_percent(x, digits: int = 2) -> Column:
+# Titles (lower case) whose values are shown as percent, besides those with a percent sign.
+PERCENT_TITLES = ["roe", "operating margin", "ebitda margin", "revenue growth (yoy)", "net income growth (yoy)", "revenue cagr (3y)"]
+
+
+def fmt_metric(x, title: str) -> Column:
+    """Metric card text (FMT2): $ with T, B or M from a million on, else percent for percent titles, else two
+    decimals; null without a value (no card)."""
     v = _c(x)
-    return F.when(v.isNull(), "-").otherwise(F.concat(F.format_number(v * 100, digits), F.lit("%")))
+    a = F.abs(v)
+    small = F.concat(_plain(v * 100), F.lit("%")) if "%" in title or title.lower() in PERCENT_TITLES else F.format_number(v, 2)
+    out = F.when(v.isNull(), F.lit(None).cast("string"))
+    for low, unit in ((1e12, "T"), (1e9, "B"), (1e6, "M")):
+        out = out.when(a >= low, F.concat(F.lit("$"), F.format_number(v / low, 2), F.lit(unit)))
+    return out.otherwise(small)
+
+
+def _plain(v: Column) -> Column:
+    """Two decimals without thousands separators."""
+    return F.replace(F.format_number(v, 2), F.lit(","), F.lit(""))
 
 
 def fmt_millions(x) -> Column:
@@ -109,10 +125,11 @@ def fmt_millions(x) -> Column:
 
 
 def fmt_change(change, pct) -> Column:
-    """Signed change text, e.g. "+1.23 (+0.45%)" (FMT4)."""
+    """Signed change text, e.g. "+1.23 (+0.45%)" (FMT4); N/A where either is missing."""
     c, p = _c(change), _c(pct)
     sign = F.when(c >= 0, "+").otherwise("")
-    return F.concat(sign, F.format_number(c, 2), F.lit(" ("), sign, F.format_number(p, 2), F.lit("%)"))
+    text = F.concat(sign, F.format_number(c, 2), F.lit(" ("), sign, _plain(p), F.lit("%)"))
+    return F.coalesce(text, F.lit("N/A"))
 
 
 # ---- period token (P5) ---------------------------------------------------------------------

@@ -161,6 +161,17 @@ def analyst(snapshot: DataFrame) -> DataFrame:
                            c["upside_pct"].alias("upside_pct"))
 
 
+def analyst_from_profile(profile: DataFrame) -> DataFrame:
+    """M11 from raw profiles: the price is the current one, else the previous close (0 counts as missing)."""
+    from ..sources.profile import _number, first_truthy
+
+    rows = profile.select("ticker", F.col("recommendationKey").alias("recommendation_key"),
+                          _number(profile, "targetMeanPrice").alias("analyst_target_price"),
+                          _number(profile, "targetLowPrice").alias("target_low"), _number(profile, "targetHighPrice").alias("target_high"),
+                          first_truthy([_number(profile, "currentPrice"), _number(profile, "previousClose")]).alias("price"))
+    return analyst(rows)
+
+
 HEALTH_COLUMNS = ["net_debt_to_ebitda", "interest_coverage", "current_ratio", "de_ratio"]
 
 

@@ -85,18 +85,18 @@ def news_by_day(news: DataFrame) -> DataFrame:
             .orderBy("ticker", F.col("day").desc()))
 
 
-def articles_by_day(news: DataFrame, per_row: int = 50) -> DataFrame:
-    """The articles of each ticker and calendar day, newest first, in lists of at most ``per_row``.
+def articles_by_day(news: DataFrame, per_row: int = 50, key: str = "ticker") -> DataFrame:
+    """The articles of each ticker (or other ``key``) and calendar day, newest first, in lists of at most ``per_row``.
 
     A busy day continues in further rows (``page`` 0, 1, ...), so no list grows with the day and no article is
     left out; ``n_day`` counts the whole day.  One shuffle by ticker and day: the numbering streams over the sorted
     rows, and the lists are gathered where the rows are."""
     day = F.to_date("published_at")
-    w = Window.partitionBy("ticker", "day").orderBy(F.col("published_at").desc(), "article_url", "title")
-    rows = news.select("ticker", day.alias("day"), "published_at", "article_url", "title", "sentiment_label").withColumn("_n", F.row_number().over(w))
+    w = Window.partitionBy(key, "day").orderBy(F.col("published_at").desc(), "article_url", "title")
+    rows = news.select(key, day.alias("day"), "published_at", "article_url", "title", "sentiment_label").withColumn("_n", F.row_number().over(w))
     article = F.struct("_n", "published_at", "article_url", "title", "sentiment_label")
-    pages = rows.groupBy("ticker", "day", F.floor((F.col("_n") - 1) / per_row).cast("int").alias("page")).agg(
+    pages = rows.groupBy(key, "day", F.floor((F.col("_n") - 1) / per_row).cast("int").alias("page")).agg(
         F.array_sort(F.collect_list(article)).alias("articles"), F.max("_n").alias("_last"))
-    whole = F.max("_last").over(Window.partitionBy("ticker", "day"))
-    return pages.select("ticker", "day", "page", whole.alias("n_day"), F.size("articles").alias("n_articles"),
+    whole = F.max("_last").over(Window.partitionBy(key, "day"))
+    return pages.select(key, "day", "page", whole.alias("n_day"), F.size("articles").alias("n_articles"),
                         F.transform("articles", lambda a: a.dropFields("_n")).alias("articles"))

@@ -226,8 +226,8 @@ def _word_list(words):
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-@register("score_articles", f"""
-t as (select *, case when sentiment_label is null and length(title) > 0 and length(description) > 0
+SCORE_SQL = f"""
+with t as (select *, case when sentiment_label is null and length(title) > 0 and length(description) > 0
                      then concat(title, '. ', description) end as txt from {N}),
 c as (select *, len([w for w in string_split_regex(lower(txt), '[^a-z]+') if w in {_word_list(nw.POSITIVE_WORDS)}]) as p,
         len([w for w in string_split_regex(lower(txt), '[^a-z]+') if w in {_word_list(nw.NEGATIVE_WORDS)}]) as n from t)
@@ -235,7 +235,10 @@ select {NEWS_COLS.replace("sentiment_label", "")}
   coalesce(sentiment_label, case when p > n then 'positive' when n > p then 'negative' when p = n then 'neutral' end) as sentiment_label,
   case when sentiment_label is null then case when p + n > 0 then abs(p - n) / (p + n) when p = n then 0.0 end end as sentiment_score,
   sentiment_label is null and txt is not null as scored
-from c""".replace("\nt as", "\nwith t as"), [N], ["sentiment_score"], 10)
+from c"""
+
+
+@register("score_articles", SCORE_SQL, [N], ["sentiment_score"], 10)
 def score_articles(m):
     """Whole model text and local lexicon scoring of the unlabelled articles; labels kept."""
     return nw.score_articles(m.news)

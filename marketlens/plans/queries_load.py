@@ -4,8 +4,6 @@ Raw loader inputs are made from the given tables (numbers as text, some of them
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..catalog import register
@@ -39,19 +37,13 @@ def price_normalise(m):
     return ing.normalise_prices(raw)
 
 
-YEARS = ["1994-12-31", "1995-12-31", "1996-12-31"]
-
-
-@register("statement_unpivot", f"""
-select ticker, report_date, statement_type, metric_name, metric_value from {ST}
-where statement_type = 'income_a' and report_date in (date '1995-12-31', date '1996-12-31') and metric_value is not null""",
-          [ST], ["metric_value"], 10)
-def statement_unpivot(m):
-    """S3: wide annual income statements (one text column per date) to long rows from a cutoff."""
-    st = m.statements.where(F.col("statement_type") == "income_a")
-    wide = st.groupBy("ticker", F.concat(F.lit(" "), "metric_name").alias("metric_name")).pivot("report_date", YEARS).agg(
+def wide_statements(statements):
+    """Every statement as a wide row per metric, one text column per report date of the table (a bounded list),
+    names with a blank in front: one pivot over one scan."""
+    dates = sorted(str(r[0]) for r in statements.select("report_date").distinct().collect())
+    name = F.concat(F.lit(" "), "metric_name").alias("metric_name")
+    return dates, statements.groupBy("ticker", "statement_type", name).pivot("report_date", dates).agg(
         F.max(F.col("metric_value").cast("string")))
-    return ing.unpivot_statements(wide, YEARS, "income_a", cutoff="1995-01-01")
 
 
 @register("statement_unpivot_all", f"""
@@ -59,17 +51,8 @@ select ticker, report_date, statement_type, metric_name, metric_value from {ST}
 where report_date >= date '1995-06-01' and metric_value is not null""", [ST], ["metric_value"], 10)
 def statement_unpivot_all(m):
     """S3: wide statements of every type, one text column per report date of the table, to long rows from a cutoff."""
-    def listed(c):
-        return sorted(str(r[0]) for r in m.statements.select(c).distinct().collect())
-
-    dates = listed("report_date")
-    parts = []
-    for kind in listed("statement_type"):
-        wide = (m.statements.where(F.col("statement_type") == kind)
-                .groupBy("ticker", F.concat(F.lit(" "), "metric_name").alias("metric_name")).pivot("report_date", dates)
-                .agg(F.max(F.col("metric_value").cast("string"))))
-        parts.append(ing.unpivot_statements(wide, dates, kind, cutoff="1995-06-01"))
-    return reduce(lambda a, b: a.unionAll(b), parts)
+    dates, wide = wide_statements(m.statements)
+    return ing.unpivot_statements(wide, dates, None, cutoff="1995-06-01")
 
 
 @register("article_load", f"""
@@ -86,14 +69,14 @@ def article_load(m):
 
 
 @register("keep_logo", f"""
-select ticker, case when cast(substr(ticker, 2) as bigint) % 3 = 0 then 'renamed' else company_name end as company_name,
-  case when cast(substr(ticker, 2) as bigint) % 3 = 0 then coalesce(nullif(logo_url, ''), 'new') else logo_url end as logo_url
-from {DIM}""", [DIM], [], 10)
+with s as (select *, cast(substr(ticker, 2) as bigint) as k from {DIM})
+select ticker, case when k % 3 = 0 then 'renamed' else company_name end as company_name,
+  case when k % 6 = 0 and k % 3 = 0 then 'new' when k % 6 <> 0 then 'logo of ' || ticker end as logo_url from s""", [DIM], [], 10)
 def keep_logo(m):
-    """Every third company is fetched anew with another name and logo; a stored logo stays."""
-    stored = m.dim.select("ticker", "company_name", "logo_url")
-    new = stored.where(F.expr("cast(substr(ticker, 2) as bigint) % 3 = 0")).select(
-        "ticker", F.lit("renamed").alias("company_name"), F.lit("new").alias("logo_url"))
+    """Every third company is fetched anew with another name and logo; half of those have a logo, which stays."""
+    k = F.expr("cast(substr(ticker, 2) as bigint)")
+    stored = m.dim.select("ticker", "company_name", F.when(k % 6 != 0, F.concat(F.lit("logo of "), "ticker")).alias("logo_url"))
+    new = stored.where(k % 3 == 0).select("ticker", F.lit("renamed").alias("company_name"), F.lit("new").alias("logo_url"))
     return ing.upsert_keep_logo(stored, new)
 
 
@@ -127,15 +110,6 @@ def two_tier_values(m):
     return ing.two_tier_values(s.select("ticker", "ev_ebitda"), s.select("ticker", F.col("pe_ratio").alias("ev_ebitda")), "ev_ebitda")
 
 
-@register("wide_to_long", f"select date, ticker, close from {P} where ticker in ('S1', 'S2', 'S3') and close is not null", [P],
-          ["close"], 10)
-def wide_to_long(m):
-    """A (date x ticker) price matrix to rows."""
-    names = ["S1", "S2", "S3"]
-    wide = m.prices.where(F.col("ticker").isin(names)).groupBy("date").pivot("ticker", names).agg(F.max("close"))
-    return ing.wide_to_long(wide)
-
-
 # Columns of a wide price row.
 WIDE = 100
 

@@ -273,8 +273,7 @@ def revenue_cagr(m):
     return fu.cagr(m.statements, "revenue", 3).withColumn("n_years", F.col("n_years").cast("int"))
 
 
-@register("cash_conversion", f"""
-with cfo as (select ticker, report_date, metric_value as cfo from {ST}
+CASH_SQL = f"""cfo as (select ticker, report_date, metric_value as cfo from {ST}
              where statement_type = 'cashflow_a' and metric_name = 'Operating Cash Flow' and metric_value is not null),
 ni as (select ticker, report_date, metric_value as ni from {ST}
        where statement_type = 'income_a' and metric_name = 'Net Income' and metric_value is not null),
@@ -284,9 +283,11 @@ lc as (select ticker, arg_max(cfo, report_date) as l_cfo from cfo group by ticke
 ln as (select ticker, arg_max(ni, report_date) as l_ni from ni group by ticker),
 j as (select lc.ticker, cm.d, case when cm.d is not null then c_cfo else l_cfo end as c_,
         case when cm.d is not null then c_ni else l_ni end as n_
-      from lc join ln on lc.ticker = ln.ticker left join cm on cm.ticker = lc.ticker)
-select ticker, d as common_date, case when n_ <> 0 then c_ / n_ end as cash_conversion from j
-""", [ST], ["cash_conversion"], 10)
+      from lc join ln on lc.ticker = ln.ticker left join cm on cm.ticker = lc.ticker),
+cc as (select ticker, d as common_date, case when n_ <> 0 then c_ / n_ end as cash_conversion from j)"""
+
+
+@register("cash_conversion", f"with {CASH_SQL} select * from cc", [ST], ["cash_conversion"], 10)
 def cash_conversion(m):
     """operating cash flow / net income at the latest common annual date."""
     return fu.cash_conversion(m.statements)

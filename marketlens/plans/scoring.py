@@ -1,7 +1,8 @@
 """Article scoring in batches by a scorer of the user's choice.
 
-A scorer is an object with ``score(texts) -> list of (label, score)``, shipped to the Python workers once per
-task (``open()``, if it has one, is called there before the first batch: the place to load a model).
+A scorer is an object with ``score(texts) -> list of (label, score)``, shipped to the Python workers with the
+task (``open()``, if it has one, is called there before the first batch: the place to load a model).  This package
+is sent along; the module of a scorer of one's own goes there as usual (--py-files).
 Texts are handed over in batches; a batch that fails, or whose answer has another length, gets the
 neutral label, the score 0.0 and the reason, and the job goes on."""
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .news import NEGATIVE_WORDS, POSITIVE_WORDS, model_text
 
 NEUTRAL, NO_SCORE = "neutral", 0.0
@@ -58,6 +60,7 @@ def score_batches(news: DataFrame, scorer: Scorer, batch: int = BATCH, max_chars
     Rows without a usable text (title and description) stay unlabelled and are not handed to the scorer.  Adds
     ``failure`` (why the batch of a row failed) and ``scored``.  Narrow: rows stay in their partitions, so a batch
     never waits for a shuffle; a partition's last batch may be shorter."""
+    ship_package(news.sparkSession)
     has_score = "sentiment_score" in news.columns
     rest = [c for c in news.columns if c not in ("sentiment_label", "sentiment_score")]
     todo = F.col("sentiment_label").isNull()

@@ -19,9 +19,9 @@ from .storage import MONTH, YEAR, in_period, latest_date, plain
 
 
 # ---- normalisers ----------------------------------------------------------------------------
-def normalise_prices(raw: DataFrame, ticker: str | None = None) -> DataFrame:
-    """Rename OHLCV, cast (bad values -> null), volume null -> 0, drop rows without
-    close, ticker or date."""
+def normalise_prices(raw: DataFrame, ticker: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Rename OHLCV, cast (bad values and NaN closes -> null), volume null -> 0, drop rows without
+    close, ticker or date.  ``keep``: further columns to hand on."""
     cols = {c.lower(): c for c in raw.columns}
     tk = F.col(cols["ticker"]) if "ticker" in cols else F.lit(ticker)
 
@@ -32,21 +32,22 @@ def normalise_prices(raw: DataFrame, ticker: str | None = None) -> DataFrame:
     out = raw.withColumn("_v", vol.cast("double")).select(tk.cast("string").alias("ticker"),
                      F.expr(f"try_cast(`{cols['date']}` as date)").alias("date"),
                      num("open").alias("open"), num("high").alias("high"), num("low").alias("low"),
-                     num("close").alias("close"), 
-                     F.coalesce(F.expr("try_cast(nanvl(_v, null) as bigint)"), F.lit(0).cast("bigint")).alias("volume"))
+                     F.nanvl(num("close"), F.lit(None).cast("double")).alias("close"),
+                     F.coalesce(F.expr("try_cast(nanvl(_v, null) as bigint)"), F.lit(0).cast("bigint")).alias("volume"), *keep)
     return out.na.drop(subset=["close", "ticker", "date"])
 
 
-def unpivot_statements(wide: DataFrame, date_columns: Sequence[str], statement_type: str,
+def unpivot_statements(wide: DataFrame, date_columns: Sequence[str], statement_type: str | None = None,
                        cutoff=None, hwm: DataFrame | None = None) -> DataFrame:
-    """S3: wide statement (ticker, metric_name, one column per report date) -> long rows;
-    keep dates >= cutoff and > the ticker's high-water mark; trim names; drop null or
+    """S3: wide statement (ticker, metric_name, one column per report date; a statement_type column unless one type
+    is named) -> long rows; keep dates >= cutoff and > the ticker's high-water mark; trim names; drop null or
     non-numeric values."""
-    long = wide.unpivot(["ticker", "metric_name"], list(date_columns), "report_date_s", "raw_value")
+    keys = ["ticker", "metric_name"] + (["statement_type"] if statement_type is None else [])
+    kind = F.col("statement_type") if statement_type is None else F.lit(statement_type)
+    long = wide.unpivot(keys, list(date_columns), "report_date_s", "raw_value")
     x = long.select("ticker", F.trim("metric_name").alias("metric_name"),
                     F.expr("try_cast(report_date_s as date)").alias("report_date"),
-                    F.expr("try_cast(cast(raw_value as string) as double)").alias("metric_value"),
-                    F.lit(statement_type).alias("statement_type"))
+                    F.expr("try_cast(cast(raw_value as string) as double)").alias("metric_value"), kind.alias("statement_type"))
     x = x.na.drop(subset=["report_date", "metric_value"])
     if cutoff is not None:
         x = x.where(F.col("report_date") >= S.as_date(cutoff))
@@ -56,11 +57,16 @@ def unpivot_statements(wide: DataFrame, date_columns: Sequence[str], statement_t
     return x.select("ticker", "report_date", "statement_type", "metric_name", "metric_value")
 
 
+def article_time(column: str) -> Column:
+    """An ISO-8601 time as a timestamp (a trailing Z is accepted), null if it cannot be read."""
+    text = F.regexp_replace(F.col(column), "Z$", "")
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(text))
+
+
 def normalise_articles(raw: DataFrame) -> DataFrame:
     """Require publishedAt, title and url; parse ISO-8601 (a trailing Z is accepted),
     skip unparseable timestamps; flatten source.name."""
-    ts = F.coalesce(F.expr("try_to_timestamp(regexp_replace(publishedAt, 'Z$', ''), \"yyyy-MM-dd'T'HH:mm:ss\")"),
-                    F.expr("try_to_timestamp(regexp_replace(publishedAt, 'Z$', ''))"))
+    ts = article_time("publishedAt")
     src = F.col("source.name") if "source" in raw.columns else F.lit(None).cast("string")
     x = raw.na.drop(subset=["publishedAt", "title", "url"])
     return x.select(F.col("ticker"), ts.cast("timestamp_ntz").alias("published_at"), "title",

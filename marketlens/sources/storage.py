@@ -18,7 +18,6 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,12 +128,10 @@ class PartitionTable:
     def _load(self) -> Commit | None:
         """The last published state (None: no table yet).  A manifest has a row per partition: bounded by the calendar
         or the number of buckets, so the driver may hold it."""
-        try:
-            rows = self.spark.read.schema(self._MANIFEST).parquet(f"{self.root}/manifest")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
+        rows = self.spark.read.schema(self._MANIFEST).parquet(f"{self.root}/manifest")
         last = rows.where(F.col("commit") == rows.select(F.max("commit")).scalar()).collect()
         if not last:
             return None

@@ -1,8 +1,9 @@
 """Structured Streaming forms of the incremental loads (ST1-ST3).
 
 ST1  prices arriving as files -> ``foreachBatch`` running the normaliser (S2) and the keyed
-     upsert (S7) into the price table.
-ST2  articles -> watermark + ``dropDuplicatesWithinWatermark(article_url)`` (N6 as a stream).
+     upsert (S7) by partition into the price table.
+ST2  articles -> watermark + ``dropDuplicatesWithinWatermark(article_url)`` (N6 as a stream), or
+     ``foreachBatch`` with an insert of unknown URLs.
 ST3  ticks -> daily OHLC bars per ticker with a tumbling 1-day window and a watermark.
 
 The same functions work on batch DataFrames (the batch form is checked against DuckDB; the
@@ -14,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import snapshot as snap
+from ..schemas import FACT_NEWS_SENTIMENT, KEYS
 from ..sources import ingest as ing
+from ..sources.storage import PartitionTable, plain
 
 
 def ticks(events: DataFrame, supplier: DataFrame | None = None, n_tickers: int | None = None) -> DataFrame:
@@ -45,18 +49,28 @@ def dedupe_articles(stream: DataFrame, watermark: str = "2 days") -> DataFrame:
     return stream.withWatermark("published_at", watermark).dropDuplicatesWithinWatermark(["article_url"])
 
 
-def upsert_prices_batch(target_path: str, key=("ticker", "date")):
-    """ST1: a ``foreachBatch`` function: normalise the micro-batch (S2), upsert it into the
-    stored table (S7) and write the result to a new version directory (never over the path
-    being read); returns the function for ``writeStream.foreachBatch``."""
+def upsert_prices_batch(table: PartitionTable):
+    """ST1: the function for ``writeStream.foreachBatch``: the micro-batch is normalised (S2) and merged by partition
+    into the table (S7).  The epoch goes into the table's commit, so a batch that is delivered again after a
+    failure changes nothing, and numbers may have gaps.  Within a batch the later ``_load_seq`` of a key wins."""
+    key = KEYS["fact_daily_prices"]
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        clean = ing.normalise_prices(batch)
-        cur = f"{target_path}/v{epoch_id}"
-        prev = f"{target_path}/v{epoch_id - 1}"
-        # only the first batch has nothing stored; an unreadable predecessor fails the batch
-        stored = spark.read.parquet(prev) if epoch_id > 0 else clean.limit(0)
-        ing.upsert(stored, clean, list(key)).write.mode("overwrite").parquet(cur)
+        seq = [c for c in ("_load_seq",) if c in batch.columns]
+        clean = ing.normalise_prices(batch, keep=seq)
+        if seq:
+            clean = snap.dedupe(clean, key, [F.col("_load_seq")]).drop("_load_seq")
+        table.merge(clean, lambda old, new: ing.upsert(old, new, key), batch=epoch_id)
+
+    return run
+
+
+def insert_articles_batch(table: PartitionTable):
+    """ST2 into a table: articles whose URL is stored already, or that the batch repeats, are left out."""
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        first = snap.dedupe(ing.normalise_articles(batch), KEYS["fact_news_sentiment"], [F.col("published_at"), F.col("title")], "first")
+        new = first.join(plain(table.read()).select("article_url"), "article_url", "left_anti")
+        blank = {f.name: F.lit(None).cast(f.dataType) for f in FACT_NEWS_SENTIMENT.fields if f.name not in new.columns}
+        table.merge(new.withColumns(blank), lambda old, fresh: fresh, batch=epoch_id, keep=True)
 
     return run

@@ -190,16 +190,3 @@ def test_normaliser_takes_nan_volume_and_upsert_demands_an_order(spark):
     clean = ing.normalise_prices(raw)
     with pytest.raises(Exception, match="a key occurs twice"):
         ing.upsert(clean.limit(0), clean.unionAll(clean), ["ticker", "date"]).collect()
-
-
-def test_streamed_upsert_never_forgets(spark, tmp_path):
-    from marketlens.streaming.streams import upsert_prices_batch
-
-    run = upsert_prices_batch(str(tmp_path / "t"))
-    day = lambda d: spark.createDataFrame([("A", d, "1")], "Ticker string, Date string, Close string")
-    run(day("2024-01-02"), 0)
-    run(day("2024-01-03"), 1)
-    assert spark.read.parquet(str(tmp_path / "t/v1")).count() == 2
-    with pytest.raises(Exception):
-        run(day("2024-01-05"), 3)
-    assert not (tmp_path / "t/v3").exists()
