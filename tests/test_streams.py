@@ -119,8 +119,9 @@ def test_bars_of_a_stream_drop_what_is_behind_the_watermark(spark, tmp_path, lat
     feed = tmp_path / "in"
     tick = lambda day, price, k: {"ticker": "A", "ts": f"2024-01-{day:02}T10:00:00Z", "event_id": k, "price": price}
     drop(feed, "1.json", [tick(1, 1.0, 1), tick(1, 2.0, 2), tick(10, 3.0, 3)])
-    drop(feed, "2.json", [tick(1 + late, 9.0, 4), tick(12, 4.0, 5)])
-    drop(feed, "3.json", [tick(30, 5.0, 6)])
+    drop(feed, "2.json", [tick(12, 4.0, 4)])
+    drop(feed, "3.json", [tick(1 + late, 9.0, 5), tick(13, 4.0, 6)])
+    drop(feed, "4.json", [tick(30, 5.0, 7)])
     s = spark.readStream.schema("ticker string, ts timestamp, event_id long, price double").option("maxFilesPerTrigger", 1).json(str(feed))
     q = (stx.ticks_to_bars(s, "5 days").writeStream.format("json").option("path", f"{tmp_path}/out")
          .option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start())
