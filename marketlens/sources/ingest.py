@@ -225,10 +225,11 @@ def two_tier_prices(primary: DataFrame, secondary: DataFrame, symbols: DataFrame
     recent = in_period(p, F.date_sub(today, max_age_days))
     fresh = recent.select("ticker").distinct()
     p, s = plain(in_period(p, start)), plain(in_period(s, start))
-    prim = p.join(fresh, "ticker", "left_semi").withColumn("source", F.lit("primary")).withColumn("_o", F.lit(0))
-    sec = s.join(fresh, "ticker", "left_anti").withColumn("source", F.lit("secondary")).withColumn("_o", F.lit(1))
-    both = prim.unionByName(sec)
-    return snap.dedupe(both, ["date", "ticker"], [F.col("_o")], keep="last").drop("_o")
+    prim = p.join(fresh, "ticker", "left_semi").withColumn("_o", F.lit(0))
+    sec = s.join(fresh, "ticker", "left_anti").withColumn("_o", F.lit(1))
+    # the source is told by a number until the rows are picked: a text would make the aggregate sort them
+    one = snap.dedupe(prim.unionByName(sec), ["date", "ticker"], [F.col("_o")], keep="last")
+    return one.withColumn("source", F.when(F.col("_o") == 0, "primary").otherwise("secondary")).drop("_o")
 
 
 def price_history(primary: DataFrame, secondary: DataFrame, tickers: Sequence[str] | None = None, period: str = "5y",
