@@ -30,19 +30,19 @@ STORED = os.environ.get("MARKETLENS_DERIVE", "0") != "1"
 
 def sig(c: Column, digits: int) -> Column:
     """Round to ``digits`` significant digits with IEEE operations only (bit-identical in
-    Spark and DuckDB): scale by an exactly representable power of ten, floor(v + 0.5),
-    scale back.  Magnitudes below 1e-9 (arithmetic noise) compare as 0."""
+    Spark and DuckDB): scale by a power of ten, floor(v + 0.5), scale back.  Small values are kept: nothing
+    but 0 becomes 0."""
     a = F.abs(c)
     e = F.lit(digits - 1) - F.floor(F.log10(a))
     up = F.floor(c * F.pow(F.lit(10.0), e) + 0.5) / F.pow(F.lit(10.0), e)
     down = F.floor(c / F.pow(F.lit(10.0), -e) + 0.5) * F.pow(F.lit(10.0), -e)
-    return (F.when(c.isNull(), F.lit(None).cast("double")).when(a < 1e-9, F.lit(0.0))
+    return (F.when(c.isNull(), F.lit(None).cast("double")).when(a == 0, F.lit(0.0))
             .when(e >= 0, up.cast("double")).otherwise(down.cast("double")))
 
 
 def sig_sql(expr: str, digits: int) -> str:
     e = f"({digits - 1} - floor(log10(abs({expr}))))"
-    return (f"(case when {expr} is null then null when abs({expr}) < 1e-9 then 0.0 "
+    return (f"(case when {expr} is null then null when {expr} = 0 then 0.0 "
             f"when {e} >= 0 then floor({expr} * pow(10.0, {e}) + 0.5) / pow(10.0, {e}) "
             f"else floor({expr} / pow(10.0, -{e}) + 0.5) * pow(10.0, -{e}) end)")
 

@@ -125,33 +125,42 @@ def _block_size(alphas: Sequence[float]) -> int:
     return max(b, 1)
 
 
-def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key="ticker", order="date") -> DataFrame:
+EWM_COLUMNS = ["_ewm_i", "_ewm_b", "_ewm_k"]
+
+
+def ewm_numbered(df: DataFrame, alphas: Sequence[float], key="ticker", order="date") -> DataFrame:
+    """Row number, block and place in the block of every row, for one or several calls of ``ewm`` with these alphas.
+
+    The blocks grow with the order, so (key, block, order) is the same order again; all windows of ``ewm`` ask for
+    it in these words, and however many calls there are, the rows are sorted once for it."""
+    bsz = _block_size(alphas)
+    d = df.withColumn("_ewm_i", F.row_number().over(series_window(_cols(key), _cols(order))) - 1)
+    return d.withColumns({"_ewm_b": F.floor(F.col("_ewm_i") / bsz), "_ewm_k": F.col("_ewm_i") % bsz})
+
+
+def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key="ticker", order="date", numbered_for: Sequence[float] | None = None) -> DataFrame:
     """Add EWM (adjust=False) columns.  ``specs``: output column -> (input column, alpha).
 
     Inputs must be non-null (pandas would skip nulls with shifted weights).  All outputs
     share one row numbering and one block size, so they cost one extra sort together.
-    """
+    ``numbered_for``: the rows were numbered by ``ewm_numbered`` with these alphas (all of them); the numbers stay."""
     keys, orders = _cols(key), _cols(order)
-    bsz = _block_size([a for _, a in specs.values()])
-    w = series_window(keys, orders)
-    d = df.withColumn("_ewm_i", F.row_number().over(w) - 1)
-    d = d.withColumn("_ewm_b", F.floor(F.col("_ewm_i") / bsz)).withColumn("_ewm_k", F.col("_ewm_i") % bsz)
-    wb = Window.partitionBy(*keys, "_ewm_b").orderBy("_ewm_i").rowsBetween(Window.unboundedPreceding, 0)
-    wprev = Window.partitionBy(*keys).orderBy("_ewm_i").rowsBetween(Window.unboundedPreceding, -1)
+    alphas = [a for _, a in specs.values()]
+    d = df if numbered_for is not None else ewm_numbered(df, alphas, keys, orders)
+    bsz = _block_size(numbered_for if numbered_for is not None else alphas)
+    wb = Window.partitionBy(*keys, "_ewm_b").orderBy(*orders).rowsBetween(Window.unboundedPreceding, 0)
+    wprev = Window.partitionBy(*keys).orderBy("_ewm_b", *orders).rowsBetween(Window.unboundedPreceding, -1)
     k = F.col("_ewm_k")
     last_in_block = k == bsz - 1
-    tmp = []
+    inner, outer = {}, {}
     for out, (src, a) in specs.items():
         beta = 1.0 - a
         wt = F.when(F.col("_ewm_i") == 0, F.lit(1.0)).otherwise(F.lit(a))
-        inb = F.pow(F.lit(beta), k) * F.sum(wt * F.col(src) * F.pow(F.lit(beta), -k)).over(wb)
-        d = d.withColumn(f"_in_{out}", inb)
-        tmp.append(f"_in_{out}")
-    for out in specs:
-        beta = 1.0 - specs[out][1]
+        inner[f"_in_{out}"] = F.pow(F.lit(beta), k) * F.sum(wt * F.col(src) * F.pow(F.lit(beta), -k)).over(wb)
         carry = F.last(F.when(last_in_block, F.col(f"_in_{out}")), ignorenulls=True).over(wprev)
-        d = d.withColumn(out, F.col(f"_in_{out}") + F.pow(F.lit(beta), k + 1) * F.coalesce(carry, F.lit(0.0)))
-    return d.drop("_ewm_i", "_ewm_b", "_ewm_k", *tmp)
+        outer[out] = F.col(f"_in_{out}") + F.pow(F.lit(beta), k + 1) * F.coalesce(carry, F.lit(0.0))
+    d = d.withColumns(inner).withColumns(outer).drop(*inner)
+    return d if numbered_for is not None else d.drop(*EWM_COLUMNS)
 
 
 def span_alpha(span: float) -> float:
@@ -182,19 +191,26 @@ def asof_backward(left: DataFrame, right: DataFrame, value_cols: Sequence[str],
     return m.select(*[F.col("_row")[c].alias(c) for c in lcols], *[F.col("_m")[v].alias(v) for v in vals])
 
 
+# Days since 1970 stay below this for any date, so distance * DAY_SPAN + day orders by distance, then date.
+DAY_SPAN = 10_000_000
+
+
 def nearest(df: DataFrame, targets: dict, value_cols: Sequence[str], key="ticker", on="date") -> DataFrame:
     """Per key and named target date, the row whose date is nearest the target; ties go to the
-    earlier date (J9).  ``targets``: label -> date Column.  Rows are fanned out over the (fixed,
-    small) list of targets with ``explode``, then one partial aggregate picks the nearest."""
+    earlier date (J9).  ``targets``: label -> date Column.
+
+    One pass: every target is a set of aggregates over the same rows (a hash aggregate where the values have a
+    fixed width), and the one row per key that is left becomes a row per target."""
     keys = _cols(key)
-    tg = F.explode(F.array(*[F.struct(F.lit(lbl).alias("period"), c.alias("target"))
-                             for lbl, c in targets.items()]))
-    x = df.select(*keys, on, *value_cols, tg.alias("_tg"))
-    x = x.select(*keys, on, *value_cols, F.col("_tg.period").alias("period"), F.col("_tg.target").alias("target"))
-    rank = F.struct(F.abs(F.datediff(F.col(on), F.col("target"))).alias("dist"), F.col(on).alias("d"))
-    picked = x.groupBy(*keys, "period", "target").agg(
-        F.min_by(F.struct(F.col(on).alias(on), *[F.col(v) for v in value_cols]), rank).alias("_p"))
-    return picked.select(*keys, "period", "target", *[F.col("_p")[c].alias(c) for c in [on, *value_cols]])
+    day = F.unix_date(F.col(on)).cast("long")
+    marked = df.where(F.col(on).isNotNull()).select(*keys, on, *value_cols, *[
+        (F.abs(F.datediff(F.col(on), c)).cast("long") * DAY_SPAN + day).alias(f"_rank{i}") for i, c in enumerate(targets.values())])
+    cols = [on, *value_cols]
+    picked = marked.groupBy(*keys).agg(*[F.min_by(F.col(c), F.col(f"_rank{i}")).alias(f"_{i}_{c}")
+                                         for i in range(len(targets)) for c in cols])
+    rows = F.array(*[F.struct(F.lit(label).alias("period"), target.alias("target"), *[F.col(f"_{i}_{c}").alias(c) for c in cols])
+                     for i, (label, target) in enumerate(targets.items())])
+    return picked.select(*keys, F.inline(rows)).select(*keys, "period", "target", *cols)
 
 
 def align_calendar(df: DataFrame, value_cols: Sequence[str], calendar: DataFrame, key="ticker",

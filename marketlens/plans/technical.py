@@ -30,11 +30,13 @@ def technical_indicators(prices: DataFrame, tickers=None, drop_warmup: bool = Tr
                  ts.rolling("close", 20, "std").alias("bb_std"),
                  F.coalesce(F.when(delta > 0, delta), F.lit(0.0)).alias("_gain"),
                  F.coalesce(F.when(delta < 0, -delta), F.lit(0.0)).alias("_loss"))
+    alphas = [*map(ts.span_alpha, (20, 12, 26, 9)), 1 / 14]
+    x = ts.ewm_numbered(x, alphas)
     x = ts.ewm(x, {"ema20": ("close", ts.span_alpha(20)), "ema12": ("close", ts.span_alpha(12)),
                    "ema26": ("close", ts.span_alpha(26)), "_avg_gain": ("_gain", 1 / 14),
-                   "_avg_loss": ("_loss", 1 / 14)})
+                   "_avg_loss": ("_loss", 1 / 14)}, numbered_for=alphas)
     x = x.withColumn("macd", F.col("ema12") - F.col("ema26"))
-    x = ts.ewm(x, {"macd_signal": ("macd", ts.span_alpha(9))})
+    x = ts.ewm(x, {"macd_signal": ("macd", ts.span_alpha(9))}, numbered_for=alphas)
     rs = F.col("_avg_gain") / F.nullif(F.col("_avg_loss"), F.lit(0.0))
     out = x.select(
         "ticker", "date", "open", "high", "low", "close", "volume", "sma50", "sma200", "ema20", "bb_mid",
@@ -79,8 +81,9 @@ def rsi(prices: DataFrame, n: int = 14) -> DataFrame:
 
 def macd(prices: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     p = prices.select("ticker", "date", "close")
-    x = ts.ewm(p, {"_f": ("close", ts.span_alpha(fast)), "_s": ("close", ts.span_alpha(slow))})
+    alphas = [ts.span_alpha(n) for n in (fast, slow, signal)]
+    x = ts.ewm(ts.ewm_numbered(p, alphas), {"_f": ("close", alphas[0]), "_s": ("close", alphas[1])}, numbered_for=alphas)
     x = x.withColumn("macd", F.col("_f") - F.col("_s"))
-    x = ts.ewm(x, {"macd_signal": ("macd", ts.span_alpha(signal))})
+    x = ts.ewm(x, {"macd_signal": ("macd", alphas[2])}, numbered_for=alphas)
     return x.select("ticker", "date", "close", "macd", "macd_signal",
                     (F.col("macd") - F.col("macd_signal")).alias("macd_hist"))

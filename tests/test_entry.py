@@ -1,6 +1,9 @@
 """Driver contract, plan shape and streaming-vs-batch checks on sf0.001."""
 
 import os
+import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,20 +22,43 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_an_oracle_or_is_listed(spark):
+def test_every_market_query_has_an_oracle(spark):
+    from marketlens import catalog
+
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
-    assert set(o) <= set(q)
-    assert len(q) >= 56
+    assert set(o) <= set(q) and set(catalog.QUERIES) <= set(o)
+    assert len(catalog.QUERIES) >= 96
+
+
+def test_entry_works_without_what_the_subpackage_needs():
+    """With a module missing that only the subpackage imports, the market queries are all there."""
+    code = ("import sys; sys.modules['xxhash'] = None;\n"
+            "import __spark_entry__ as e\n"
+            "from marketlens import catalog\n"
+            "assert not e.LLM and set(e.queries()) == set(catalog.QUERIES) == set(e.oracle_sql())")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(os.path.join(root, "marketlens", "llm")):
+        done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr
 
 
-def test_risk_features_single_exchange_on_ticker(spark):
+def test_risk_features_windows_share_one_exchange(spark):
     from marketlens.plans import risk
 
-    m = Market(spark, SF001)
+    m = Market(spark, SF001, stored=True)
     base = m.statements.select("ticker", "report_date", "metric_name", "metric_value").groupBy(
         "ticker", "report_date").pivot("metric_name", ["Total Revenue", "EBIT", "Net Income"]).agg(F.first("metric_value"))
     plan = risk.risk_features(base)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
+    by_ticker = re.findall(r"Exchange hashpartitioning\(ticker#\d+, \d+\)", plan)
+    assert len(by_ticker) == 1 and plan.count("Window [") >= 2
+
+
+def test_indicators_sort_twice(spark):
+    from marketlens.plans import technical as te
+
+    plan = te.technical_indicators(Market(spark, SF001, stored=True).prices)._jdf.queryExecution().executedPlan().toString()
+    assert sum(" Sort [" in x for x in plan.splitlines()) == 2 and plan.count("Exchange hashpartitioning") == 1
 
 
 ALL_PAIRS = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
