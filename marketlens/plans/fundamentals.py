@@ -273,10 +273,11 @@ def risk_base(statements: DataFrame, dim: DataFrame, summary: DataFrame, prices:
     if start_year is not None:
         st = st.where(F.col("report_date") >= F.lit(f"{start_year}-01-01").cast("date"))
     n = normalise(st.where(F.col("metric_name").isin([x for xs in METRIC_ALIASES.values() for x in xs])))
-    pref = F.when(F.col("statement_type").endswith("_q"), 0).otherwise(1)
-    one = snap.dedupe(n.withColumn("pref", pref), ["ticker", "report_date", "canonical"],
-                      [-F.col("pref"), -F.col("priority")], keep="last")
-    wide = one.groupBy("ticker", "report_date").pivot("canonical", RISK_BASE_METRICS).agg(F.avg("metric_value"))
+    # pick and pivot in one hash aggregate: per metric the value of least rank
+    rank = F.when(F.col("statement_type").endswith("_q"), 0).otherwise(1000) + F.col("priority")
+    n = n.select("ticker", "report_date", "canonical", "metric_value", rank.cast("int").alias("_rank"))
+    wide = n.groupBy("ticker", "report_date").agg(*[
+        F.min_by("metric_value", F.when(F.col("canonical") == c, F.col("_rank"))).alias(c) for c in RISK_BASE_METRICS])
     cr = F.coalesce(F.col("`Current Ratio`"), ts.safe_div(F.col("`Current Assets`"), F.col("`Current Liabilities`")))
     wide = wide.withColumn("Current Ratio", cr)
     rating = _only(dim, tickers).select("ticker", "credit_rating")

@@ -175,7 +175,7 @@ def yield_spread(m):
 select ticker, issuer, dirty_price - accrued as clean_price, accrued, dirty_price, intrinsic_value,
   (intrinsic_value / dirty_price - 1) * 100 as valuation_spread_pct,
   case when dirty_price > 105 then 'Premium' when dirty_price < 95 then 'Discount' else 'Par' end as par_status
-from {B}""", [B], ["clean_price", "accrued", "dirty_price", "intrinsic_value", "valuation_spread_pct"], 10)
+from {B}""", [B], ["clean_price", "accrued", "dirty_price", "intrinsic_value", "valuation_spread_pct"], 10, colplaces={"valuation_spread_pct": 8})
 def bond_status(m):
     """PAR status, clean price and valuation spread (pricing view)."""
     return rt.bond_detail(m.bonds, "pricing")

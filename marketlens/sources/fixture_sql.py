@@ -126,11 +126,15 @@ from lineitem group by 1, 2
 """
 
 FIXTURE_SQL["bond_detail"] = """
-with t as (
-  select p_partkey pk, p_brand, cast(90 + (p_partkey * 37 % 2100) / 100.0 as double) dirty_price from part)
-select concat('B', cast(pk as string)) ticker, p_brand issuer, dirty_price,
-  cast(0.1 + (pk % 15) / 10.0 as double) accrued, dirty_price * cast(0.98 + (pk % 8) / 100.0 as double) intrinsic_value,
-  cast(2 + (pk % 50) / 10.0 as double) coupon, cast(4 + (pk % 25) / 10.0 as double) ytm, cast(5 + (pk % 100) / 10.0 as double) duration
+with s as (
+  select l_partkey, cast(sum(cast(l_tax as decimal(18,4))) as double) / count(l_tax) tax,
+    cast(sum(cast(l_discount as decimal(18,4))) as double) / count(l_discount) disc,
+    cast(sum(cast(l_quantity as decimal(18,4))) as double) / count(l_quantity) qty
+  from lineitem group by l_partkey),
+t as (select p_partkey, p_brand, p_size, p_retailprice / 7 - 36 dirty_price, tax, disc, qty from part left join s on l_partkey = p_partkey)
+select concat('B', cast(p_partkey as string)) ticker, p_brand issuer, dirty_price, cast(p_size as double) / 25 accrued,
+  cast(dirty_price * (1.0 + disc - tax) as double) intrinsic_value, cast(p_size as double) / 10 + 1 coupon,
+  cast(100 * tax + 1 as double) ytm, qty / 4 duration
 from t
 """
 

@@ -235,18 +235,19 @@ def rates(lineitem: DataFrame) -> DataFrame:
     return g.select("date", "ticker", F.expr("round(1 + 100 * cast(s as double) / n, 6)").alias("close"))
 
 
-def bonds(part: DataFrame) -> DataFrame:
-    """bond_detail: one bond per part (decimal literals, as in the SQL statement)."""
-    t = part.select(F.col("p_partkey").alias("pk"), "p_brand",
-                    F.expr("cast(90 + (p_partkey * 37 % 2100) / 100.0 as double)").alias("dirty_price"))
+def bonds(part: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """bond_detail: one bond per part, its figures from the part's price, size and sales (null without sales)."""
+    def avg(c):
+        return F.sum(F.col(c).cast("decimal(18,4)")).cast("double") / F.count(c)
+
+    sold = lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        avg("l_tax").alias("tax"), avg("l_discount").alias("disc"), avg("l_quantity").alias("qty"))
+    t = part.select("p_partkey", "p_brand", (F.col("p_retailprice") / 7 - 36).alias("dirty_price"), "p_size").join(sold, "p_partkey", "left")
     return t.select(
-        F.concat(F.lit("B"), F.col("pk").cast("string")).alias("ticker"),
-        F.col("p_brand").alias("issuer"), "dirty_price",
-        F.expr("cast(0.1 + (pk % 15) / 10.0 as double)").alias("accrued"),
-        F.expr("dirty_price * cast(0.98 + (pk % 8) / 100.0 as double)").alias("intrinsic_value"),
-        F.expr("cast(2 + (pk % 50) / 10.0 as double)").alias("coupon"),
-        F.expr("cast(4 + (pk % 25) / 10.0 as double)").alias("ytm"),
-        F.expr("cast(5 + (pk % 100) / 10.0 as double)").alias("duration"))
+        F.concat(F.lit("B"), F.col("p_partkey").cast("string")).alias("ticker"), F.col("p_brand").alias("issuer"), "dirty_price",
+        F.expr("cast(p_size as double) / 25").alias("accrued"), F.expr("dirty_price * (1.0 + disc - tax)").cast("double").alias("intrinsic_value"),
+        F.expr("cast(p_size as double) / 10 + 1").alias("coupon"), F.expr("100 * tax + 1").cast("double").alias("ytm"),
+        F.expr("qty / 4").alias("duration"))
 
 
 # Tables written by this process: (application, input directory, table) -> path.
@@ -343,7 +344,7 @@ class Market:
 
     @cached_property
     def bonds(self) -> DataFrame:
-        return self._t("bond_detail", lambda: bonds(self.table("part")))
+        return self._t("bond_detail", lambda: bonds(self.table("part"), self.table("lineitem")))
 
 
 def market(spark: SparkSession, sf_dir: str, stored: bool = False) -> Market:
