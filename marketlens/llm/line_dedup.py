@@ -3,7 +3,8 @@
 Equal lines collapse first.  A distinct line's character shingles give a MinHash signature; bands of
 it name buckets, and lines that share a bucket are candidates.  Buckets of up to `LIST` lines are
 lists, and equal lists are verified once.  Exact Jaccard similarity of the shingle sets decides inside
-a list, which hands on spanning edges.
+a list: products of a 0/1 matrix count what lines share.  The lists that begin with the same line share a
+verifier with one union-find, which hands on one edge per line to the least line of its component.
 
 Larger buckets are settled in rounds that lose no pair.  Representatives of their components meet in
 lists of about `LIST` until that joins no more; a bucket that is one component is done.  The lines of the
@@ -34,7 +35,9 @@ BANDS = 12
 ROWS = 4
 SEED = 11
 # Most lines of a bucket that are verified as one list; parts of larger groups have this many on average.
-LIST = 256
+LIST = 1024
+# Shingles, and cells of a matrix, that a verifier holds at once.
+ENTRIES = 1 << 21
 # Characters whose signatures are computed at once.
 BLOCK = 1 << 17
 
@@ -133,60 +136,140 @@ def alike(a: set[str], b: set[str], similarity: float = SIMILARITY) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
+def _packed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, row) of every shingle, row after row: the hash, and the SHINGLE code points in three words."""
+    h, first = _shingle_hashes(lines)
+    n = np.diff(np.append(first, len(h)))
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    begin = np.cumsum(size) - size
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+    total = len(points)
+    points = np.append(points, np.zeros(SHINGLE, np.uint64))
+    words = [np.zeros(total, np.uint64) for _ in range(3)]
+    for k in range(SHINGLE):
+        words[k // 3] = words[k // 3] << np.uint64(21) | points[k:k + total]
+    for i in np.flatnonzero(size < SHINGLE):
+        # a line that is shorter than a shingle ends with zeros
+        mine = np.append(points[begin[i]:begin[i] + size[i]], np.zeros(SHINGLE - size[i], np.uint64))
+        for w in range(3):
+            x = np.uint64(0)
+            for c in mine[3 * w:3 * w + 3]:
+                x = x << np.uint64(21) | c
+            words[w][begin[i]] = x
+    at = np.arange(len(h)) + np.repeat(begin - first, n)
+    return h, np.stack([w[at] for w in words], 1), np.repeat(np.arange(len(lines)), n)
+
+
+def shared_shingles(lines: list[str], some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles of each line, shingles that each of the lines ``some`` shares with each line), exact.
+
+    Shingles are told apart by hash, and equal hashes are checked against the text.  Shingles of two and more
+    lines are columns of a 0/1 matrix, whose products count; hashes and columns are taken in parts of bounded size."""
+    n = len(lines)
+    parts = 1 + sum(map(len, lines)) // ENTRIES
+    size, both = np.zeros(n, np.int64), np.zeros((len(some), n), np.float32)
+    for part in range(parts):
+        found = []
+        for low, high in _slices(lines):
+            h, text, row = _packed(lines[low:high])
+            if parts > 1:
+                mine = (h >> np.uint64(17)) % np.uint64(parts) == part
+                h, text, row = h[mine], text[mine], row[mine]
+            found.append((h, text, row + low))
+        h, text, row = (np.concatenate(x) for x in zip(*found))
+        if not len(h):
+            continue
+        order = np.argsort(h, kind="stable")  # rows ascend within a hash
+        h, text, row = h[order], text[order], row[order]
+        same = h[1:] == h[:-1]
+        if (text[1:][same] != text[:-1][same]).any():
+            # two shingles of one hash: tell them apart by their text
+            order = np.lexsort((row, *text.T))
+            h, text, row = h[order], text[order], row[order]
+            same = (text[1:] == text[:-1]).all(1)
+        fresh = np.append(True, ~(same & (row[1:] == row[:-1])))
+        column = np.cumsum(np.append(True, ~same))[fresh] - 1
+        row = row[fresh]
+        size += np.bincount(row, minlength=n)
+        shared = np.bincount(column)[column] > 1
+        column = np.cumsum(np.append(True, np.diff(column[shared]) > 0)) - 1 if shared.any() else column[:0]
+        row = row[shared]
+        width = max(64, ENTRIES // n)
+        cut = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + 1 + width, width))
+        for low, high in zip(cut[:-1], cut[1:]):
+            if high > low:
+                dense = np.zeros((n, int(column[high - 1] - column[low]) + 1), np.float32)
+                dense[row[low:high], column[low:high] - column[low]] = 1
+                both += dense[some] @ dense.T
+    return size, both
+
+
+def _slices(lines: list[str]) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < len(lines):
+        end, chars = at, 0
+        while end < len(lines) and (end == at or chars + len(lines[end]) <= ENTRIES):
+            chars += len(lines[end])
+            end += 1
+        yield at, end
+        at = end
+
+
 class Verifier:
-    """Exact similarity of lines, each pair and each shingle set made once."""
+    """Exact similarity of the lines of lists that begin with the same line: one union-find over all of them, so
+    what an earlier list has joined is not compared again, and a line leaves with one edge at most."""
 
     def __init__(self, similarity: float = SIMILARITY):
         self.similarity = similarity
-        self.sets: dict[int, set[str]] = {}
-        self.known: dict[tuple[int, int], bool] = {}
-
-    def alike(self, i: int, j: int) -> bool:
-        found = self.known.get((i, j))
-        if found is None:
-            found = self.known[(i, j)] = alike(self.sets[i], self.sets[j], self.similarity)
-        return found
-
-    def edges(self, ids: list[int], lines: list[str], known: list[int]) -> list[tuple[int, int]]:
-        """Edges that connect the lines of a list as all similar pairs would, where lines of the same
-        ``known`` component are connected already."""
-        groups: list[list[int]] = []
-        home: dict[int, list[int]] = {}
-        out = []
-        for i, line, c in zip(ids, lines, known):
-            if i not in self.sets:
-                self.sets[i] = shingles(line)
-            near = []
-            for g in groups:
-                if g is home.get(c):
-                    near.append(g)
-                    continue
-                mate = next((j for j in g if self.alike(j, i)), None)
-                if mate is not None:
-                    out.append((mate, i))
-                    near.append(g)
-            if near:
-                near[0].append(i)
-                for g in near[1:]:
-                    near[0].extend(g)
-                    groups = [x for x in groups if x is not g]
-                    home.update([(k, near[0]) for k, x in home.items() if x is g])
-            else:
-                near = [[i]]
-                groups.append(near[0])
-            home.setdefault(c, near[0])
-        return out
+        self.up: dict[int, int] = {}
+
+    def top(self, i: int) -> int:
+        while (u := self.up.get(i, i)) != i:
+            self.up[i] = i = self.up.get(u, u)
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.top(i), self.top(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+
+    def add(self, ids: list[int], lines: list[str], known: list[int]) -> None:
+        """Join the lines of a list as all similar pairs would; lines of one ``known`` component are joined already."""
+        tops = [self.top(c) for c in known]
+        if len(set(tops)) == 1:
+            return
+        if len(ids) == 2:
+            if alike(shingles(lines[0]), shingles(lines[1]), self.similarity):
+                self.join(*known)
+            return
+        # only pairs of different components matter: the largest one's lines need no comparison with each other
+        kinds, label, count = np.unique(np.array(tops), return_inverse=True, return_counts=True)
+        some = np.flatnonzero(label != count.argmax())
+        for low in range(0, len(some), LIST):
+            rows = some[low:low + LIST]
+            size, both = shared_shingles(lines, rows)
+            both = both.astype(np.float64)
+            near = both >= self.similarity * (size[rows][:, None] + size[None, :] - both)
+            i, j = np.nonzero(near & (label[rows][:, None] != label[None, :]))
+            for x, y in set(zip(label[rows[i]].tolist(), label[j].tolist())):
+                self.join(int(kinds[x]), int(kinds[y]))
+
+    def edges(self) -> list[tuple[int, int]]:
+        """(least line of its component, line) of every line that was joined to another."""
+        return [(t, i) for i in sorted(self.up) if (t := self.top(i)) != i]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by verifier and list: edges of each list."""
+    """Rows ordered by verifier and list: edges of each verifier, between components."""
     now, first, ids, lines, known, verifier = None, None, [], [], [], Verifier()
     out: list[tuple[int, int]] = []
     for b in batches:
         for f, lid, i, line, c in zip(*(x.to_pylist() for x in b.columns)):
             if lid != now:
-                out += verifier.edges(ids, lines, known)
+                if ids:
+                    verifier.add(ids, lines, known)
                 if f != first:
+                    out += verifier.edges()
                     first, verifier = f, Verifier()
                 now, ids, lines, known = lid, [], [], []
             ids.append(i)
@@ -194,7 +277,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known.append(c)
         yield _edge_batch(out)
         out = []
-    yield _edge_batch(verifier.edges(ids, lines, known))
+    if ids:
+        verifier.add(ids, lines, known)
+    yield _edge_batch(verifier.edges())
 
 
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
