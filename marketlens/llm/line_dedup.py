@@ -37,7 +37,7 @@ SEED = 11
 # Most lines of a bucket that are verified as one list; parts of larger groups have this many on average.
 LIST = 1024
 # Shingles, and cells of a matrix, that a verifier holds at once.
-ENTRIES = 1 << 21
+ENTRIES = 1 << 19
 # Characters whose signatures are computed at once.
 BLOCK = 1 << 17
 
@@ -64,7 +64,8 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(x), np.uint64)
     base = np.uint64(0x9E3779B97F4A7C15)
     for k in range(SHINGLE):
-        h[:len(x) - k] = h[:len(x) - k] * base + x[k:]
+        m = max(0, len(x) - k)
+        h[:m] = h[:m] * base + x[k:]
     for i in np.flatnonzero(size < SHINGLE):
         v = np.uint64(0)
         for c in x[begin[i]:begin[i] + size[i]]:
