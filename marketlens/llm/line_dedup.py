@@ -454,13 +454,14 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The first occurrence stays: smallest id (null ids last), then text hash, then position."""
     every = _lines(docs, id_col, text_col)
+    # the name is written beside the line: what only needs the name never moves the text
     distinct = stored(every.groupBy("line").agg(F.count("*").alias("n"))
-                      .select(F.monotonically_increasing_id().alias("id"), "line", "n"), "line-distinct")
+                      .select(F.monotonically_increasing_id().alias("id"), "line", "n", _name(F.col("line")).alias("name"))
+                      .select("id", "line", "n", "name.*"), "line-distinct")
     comps = line_components(distinct)
-    doubles = stored(distinct.join(comps.withColumnRenamed("node", "id"), "id", "left")
+    doubles = stored(distinct.select("id", "n", "h1", "h2").join(comps.withColumnRenamed("node", "id"), "id", "left")
                      .filter("n > 1 or component is not null")
-                     .select(_name(F.col("line")).alias("name"), F.coalesce("component", "id").alias("component"))
-                     .select("name.*", "component"), "line-doubles")
+                     .select("h1", "h2", F.coalesce("component", "id").alias("component")), "line-doubles")
     found = stored(every.select("id", "th", "pos", _name(F.col("line")).alias("name")).select("id", "th", "pos", "name.*")
                    .join(doubles, ["h1", "h2"]).select("component", "id", "th", "pos"), "line-found")
     # the least (id, text hash, position) of a component, one aggregate after another
@@ -475,32 +476,43 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return drops
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with the text that stays, and n_lines, n_removed beside its columns.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """Every row of ``docs`` with the text that stays and, with ``counts``, n_lines and n_removed beside its columns
+    (columns of ``docs`` with these names give way to them; without ``counts`` they stay as they are).
 
     Lines are cut at newline characters.  Blank lines are kept and match nothing; a null text
     stays null; other texts keep their line order.  Of rows that repeat both id and text all but one
-    lose every line that is not blank."""
-    drops = line_drops(docs, id_col, text_col).toDF("__d_id", "__d_th", "__drop")
-    names = docs.columns
-    own = docs.withColumn("__th", F.xxhash64(text_of(text_col)))
-    joined = own.join(drops, own[f"`{id_col}`"].eqNullSafe(drops["__d_id"]) & (own["__th"] == drops["__d_th"]), "left")
-    again = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), "__th").orderBy("__th")) > 1
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    n = len(names)
+    lose every line that is not blank.  An empty table gives no rows."""
+    drops = line_drops(docs, id_col, text_col)
+    # one key for the join and for the count of repeated rows, so that the texts are shuffled once; null ids are equal in it
+    drops = drops.select(F.struct("id", "th").alias("__key"), F.col("drop").alias("__drop"))
+    kept = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").cast("string").alias("__text"),
+                      F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("th")).alias("__key"))
+    joined = own.join(drops, "__key", "left")
+    again = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))) > 1
+    schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
+    n, names = len(kept), kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, total, gone = [], [], []
             for t, drop, twice in zip(*(b.column(n + k).to_pylist() for k in range(3))):
+                if not drop and not twice:
+                    out.append(t)
+                    total.append((t or "").count("\n") + 1)
+                    gone.append(0)
+                    continue
                 lines = (t or "").split("\n")
-                lose = {i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")} if twice else set(drop or ())
-                out.append(t if not lose else "\n".join([x for i, x in enumerate(lines) if i not in lose]))
+                lose = {i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")} if twice else set(drop)
+                out.append("\n".join([x for i, x in enumerate(lines) if i not in lose]) if lose else t)
                 total.append(len(lines))
                 gone.append(len(lose))
             cols = [pa.array(out, pa.string()) if name == text_col else c for name, c in zip(names, b.columns)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
                                              [*(f"c{i}" for i in range(n)), "n_lines", "n_removed"])
 
-    return (joined.select(*(F.col(f"`{x}`") for x in names), F.col(f"`{text_col}`").cast("string").alias("__text"), "__drop", again.alias("__again"))
-            .mapInArrow(run, f"{schema}, n_lines long, n_removed long").toDF(*names, "n_lines", "n_removed"))
+    # the text goes to the workers once, as __text
+    sent = [F.lit(None).cast("string").alias(f"c{i}") if c == text_col else F.col(f"c{i}") for i, c in enumerate(kept)]
+    out = joined.select(*sent, "__text", "__drop", again.alias("__again")).mapInArrow(run, f"{schema}, n_lines long, n_removed long")
+    return out.toDF(*kept, "n_lines", "n_removed") if counts else out.select([F.col(f"c{i}").alias(c) for i, c in enumerate(kept)])

@@ -388,6 +388,38 @@ def test_line_dedup(docs, nothing, monkeypatch, most):
     assert line_dedup.deduplicated(nothing).count() == 0
 
 
+def test_line_dedup_with_columns_of_the_counts(spark):
+    """Tables that have n_lines or n_removed, very short lines, repeated rows and null ids."""
+    rows = [(1, "abc\nab\na", 7, "x"), (2, "a\nbb", 8, None), (None, "ab", 9, "y"), (None, "ab", 9, "y"), (3, None, 1, "z"), (4, "\n \n", 2, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_removed string")
+    got = line_dedup.deduplicated(df)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    assert bag(map(tuple, got.collect())) == bag([(1, "abc\nab\na", 3, 0), (2, "bb", 2, 1), (None, "", 1, 1), (None, "", 1, 1), (3, None, 1, 0), (4, "\n \n", 3, 0)])
+    bare = line_dedup.deduplicated(df, counts=False)
+    assert bare.columns == df.columns and {r["n_removed"] for r in bare.collect()} == {"x", None, "y", "z"}
+    one = spark.createDataFrame([(1, "short")], "doc_id long, text string")
+    assert line_dedup.deduplicated(one).collect()[0]["text"] == "short"
+
+
+def test_shared_shingles_are_exact(monkeypatch):
+    """Counts against sets of strings: parts, hashes that collide, lines shorter than a shingle."""
+    rng = random.Random(9)
+    hashes = line_dedup._shingle_hashes
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(line_dedup, "_shingle_hashes", lambda x: (lambda h, f: (h % np.uint64(7), f))(*hashes(x)))
+        for entries in (1 << 19, 64):
+            monkeypatch.setattr(line_dedup, "ENTRIES", entries)
+            for _ in range(12):
+                base = [rng.choice("abcdé🙂 ") for _ in range(rng.randrange(1, 60))]
+                lines = list({"".join(c if rng.random() > 0.05 else rng.choice("xyz") for c in base) for _ in range(20)}) + ["q", "qq"]
+                some = np.array(sorted(rng.sample(range(len(lines)), 2)))
+                size, both = line_dedup.shared_shingles(lines, some)
+                sh = [line_dedup.shingles(x) for x in lines]
+                assert size.tolist() == [len(x) for x in sh]
+                assert all(int(both[a, j]) == len(sh[i] & sh[j]) for a, i in enumerate(some) for j in range(len(lines)) if i != j)
+
+
 def test_line_dedup_bounds_hot_buckets(spark, monkeypatch):
     """A templated line that differs in a number: no verifier sees the whole bucket, and lists stay few."""
     monkeypatch.setattr(line_dedup, "LIST", 16)
