@@ -36,6 +36,8 @@ ROWS = 4
 SEED = 11
 # Most lines of a bucket that are verified as one list; parts of larger groups have this many on average.
 LIST = 1024
+# Lists of so few lines are compared pair by pair, as sets.
+FEW = 8
 # Shingles, and cells of a matrix, that a verifier holds at once.
 ENTRIES = 1 << 19
 # Characters whose signatures are computed at once.
@@ -239,9 +241,12 @@ class Verifier:
         tops = [self.top(c) for c in known]
         if len(set(tops)) == 1:
             return
-        if len(ids) == 2:
-            if alike(shingles(lines[0]), shingles(lines[1]), self.similarity):
-                self.join(*known)
+        if len(ids) <= FEW:
+            sets = [shingles(x) for x in lines]
+            for j in range(1, len(ids)):
+                for i in range(j):
+                    if self.top(known[i]) != self.top(known[j]) and alike(sets[i], sets[j], self.similarity):
+                        self.join(known[i], known[j])
             return
         # only pairs of different components matter: the largest one's lines need no comparison with each other
         kinds, label, count = np.unique(np.array(tops), return_inverse=True, return_counts=True)
@@ -293,7 +298,8 @@ def _verified(lists: DataFrame, lines: DataFrame, labels: DataFrame | None = Non
     lists = stored(lists.distinct().select(F.monotonically_increasing_id().alias("lid"), "ids"), "line-distinct-lists")
     first = F.col("ids")[0] if labels is None else F.col("lid")
     rows = stored(lists.select(first.alias("first"), "lid", F.explode("ids").alias("id")), "line-members")
-    texts = lines.select("id", "line").join(rows.select("id").distinct(), "id")
+    # the texts are not sorted for the few ids that are wanted
+    texts = lines.select("id", "line").join(rows.select("id").distinct().hint("shuffle_hash"), "id")
     texts = stored(texts.withColumn("component", F.col("id")) if labels is None else _in_components(texts, labels), "line-candidates")
     # few bytes, much work: a given number of tasks is not coalesced
     edges = stored(rows.join(texts, "id").select("first", "lid", "id", "line", "component")
@@ -419,16 +425,15 @@ def _settled(members: DataFrame, labels: DataFrame, lines: DataFrame) -> DataFra
 
 def line_components(lines: DataFrame) -> DataFrame:
     """(node, component) of the distinct lines (id, line) that are similar to another."""
-    bands = stored(lines.select("id", "line").mapInArrow(_signatures, "band long, id long"), "line-bands")
-    buckets = stored(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-                     .filter("n > 1"), "line-buckets")
-    pairs = buckets.filter("n = 2").select(F.array("low", "high").alias("ids"))
-    wide = buckets.filter("n > 2").filter(F.col("n") <= LIST).select("band")
-    cut = bands.join(wide, "band").groupBy("band").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
-    hot = stored(bands.join(buckets.filter("n > 2").filter(F.col("n") > LIST).select("band"), "band")
-                 .select(F.col("band").alias("key"), "id"), "line-hot")
-    edges = _verified(pairs.unionAll(cut), lines)
-    release(bands, buckets)
+    # ids meet by bucket in one exchange, read once for the sizes and once for the lines of buckets of two and more
+    met = (lines.select("id", "line").mapInArrow(_signatures, "band long, id long")
+           .repartition(shuffle_partitions(lines.sparkSession), "band"))
+    sizes = met.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(met.join(sizes.hint("shuffle_hash"), "band"), "line-buckets")
+    lists = shared.filter(F.col("n") <= max(LIST, 2)).groupBy("band").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
+    hot = stored(shared.filter(F.col("n") > max(LIST, 2)).select(F.col("band").alias("key"), "id"), "line-hot")
+    edges = _verified(lists, lines)
+    release(shared)
     labels = connected_components(edges)
     release(edges)
     if not hot.isEmpty():
@@ -459,11 +464,11 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                       .select(F.monotonically_increasing_id().alias("id"), "line", "n", _name(F.col("line")).alias("name"))
                       .select("id", "line", "n", "name.*"), "line-distinct")
     comps = line_components(distinct)
-    doubles = stored(distinct.select("id", "n", "h1", "h2").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    doubles = stored(distinct.select("id", "n", "h1", "h2").join(comps.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left")
                      .filter("n > 1 or component is not null")
                      .select("h1", "h2", F.coalesce("component", "id").alias("component")), "line-doubles")
     found = stored(every.select("id", "th", "pos", _name(F.col("line")).alias("name")).select("id", "th", "pos", "name.*")
-                   .join(doubles, ["h1", "h2"]).select("component", "id", "th", "pos"), "line-found")
+                   .join(doubles.hint("shuffle_hash"), ["h1", "h2"]).select("component", "id", "th", "pos"), "line-found")
     # the least (id, text hash, position) of a component, one aggregate after another
     order = F.struct(F.col("id").isNull().alias("z"), "id", "th", "pos")
     first = stored(found.groupBy("component").agg(F.min(order).alias("k")).select("component", "k.id", "k.th", "k.pos")
