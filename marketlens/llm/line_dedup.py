@@ -428,7 +428,8 @@ def line_components(lines: DataFrame) -> DataFrame:
     # ids meet by bucket in one exchange, read once for the sizes and once for the lines of buckets of two and more
     met = (lines.select("id", "line").mapInArrow(_signatures, "band long, id long")
            .repartition(shuffle_partitions(lines.sparkSession), "band"))
-    sizes = met.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    # counts the ids, so that both readers ask for the same columns and share the exchange
+    sizes = met.groupBy("band").agg(F.count("id").alias("n")).filter("n > 1")
     shared = stored(met.join(sizes.hint("shuffle_hash"), "band"), "line-buckets")
     lists = shared.filter(F.col("n") <= max(LIST, 2)).groupBy("band").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
     hot = stored(shared.filter(F.col("n") > max(LIST, 2)).select(F.col("band").alias("key"), "id"), "line-hot")
