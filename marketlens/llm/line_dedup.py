@@ -36,6 +36,8 @@ ROWS = 4
 SEED = 11
 # Most lines of a bucket that are verified as one list; parts of larger groups have this many on average.
 LIST = 1024
+# Lines of a list that are compared with all others first.
+PIVOTS = 32
 # Lists of so few lines are compared pair by pair, as sets.
 FEW = 8
 # Shingles, and cells of a matrix, that a verifier holds at once.
@@ -163,15 +165,13 @@ def _packed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.stack([w[at] for w in words], 1), np.repeat(np.arange(len(lines)), n)
 
 
-def shared_shingles(lines: list[str], some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingles of each line, shingles that each of the lines ``some`` shares with each line), exact.
+class Shingled:
+    """The shingles of some lines as the columns of a 0/1 matrix, exact: shingles are told apart by hash, and equal hashes are
+    checked against the text.  ``size``: distinct shingles of each line; only shingles of two and more lines
+    become columns.  ``part`` of ``parts`` takes the hashes of one residue, for lists that are too large at once."""
 
-    Shingles are told apart by hash, and equal hashes are checked against the text.  Shingles of two and more
-    lines are columns of a 0/1 matrix, whose products count; hashes and columns are taken in parts of bounded size."""
-    n = len(lines)
-    parts = 1 + sum(map(len, lines)) // ENTRIES
-    size, both = np.zeros(n, np.int64), np.zeros((len(some), n), np.float32)
-    for part in range(parts):
+    def __init__(self, lines: list[str], part: int = 0, parts: int = 1):
+        self.n = n = len(lines)
         found = []
         for low, high in _slices(lines):
             h, text, row = _packed(lines[low:high])
@@ -180,30 +180,48 @@ def shared_shingles(lines: list[str], some: np.ndarray) -> tuple[np.ndarray, np.
                 h, text, row = h[mine], text[mine], row[mine]
             found.append((h, text, row + low))
         h, text, row = (np.concatenate(x) for x in zip(*found))
-        if not len(h):
-            continue
         order = np.argsort(h, kind="stable")  # rows ascend within a hash
         h, text, row = h[order], text[order], row[order]
         same = h[1:] == h[:-1]
         if (text[1:][same] != text[:-1][same]).any():
             # two shingles of one hash: tell them apart by their text
             order = np.lexsort((row, *text.T))
-            h, text, row = h[order], text[order], row[order]
+            text, row = text[order], row[order]
             same = (text[1:] == text[:-1]).all(1)
-        fresh = np.append(True, ~(same & (row[1:] == row[:-1])))
-        column = np.cumsum(np.append(True, ~same))[fresh] - 1
+        start = np.append(True, ~same)[:len(row)]
+        fresh = np.append(True, ~(same & (row[1:] == row[:-1])))[:len(row)]
+        column = np.cumsum(start)[fresh] - 1
         row = row[fresh]
-        size += np.bincount(row, minlength=n)
-        shared = np.bincount(column)[column] > 1
-        column = np.cumsum(np.append(True, np.diff(column[shared]) > 0)) - 1 if shared.any() else column[:0]
-        row = row[shared]
-        width = max(64, ENTRIES // n)
-        cut = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + 1 + width, width))
+        self.size = np.bincount(row, minlength=n)
+        shared = np.bincount(column, minlength=1)[column] > 1
+        column = column[shared]
+        self.row = row[shared]
+        self.column = np.cumsum(np.append(True, np.diff(column) > 0)[:len(column)]) - 1
+
+    def shared(self, some: np.ndarray) -> np.ndarray:
+        """How many shingles each of the lines ``some`` shares with each other line; a block of columns at a time."""
+        both = np.zeros((len(some), self.n), np.float32)
+        last = int(self.column[-1]) if len(self.column) else -1
+        width = max(64, ENTRIES // self.n)
+        cut = np.searchsorted(self.column, np.arange(0, last + 1 + width, width))
         for low, high in zip(cut[:-1], cut[1:]):
             if high > low:
-                dense = np.zeros((n, int(column[high - 1] - column[low]) + 1), np.float32)
-                dense[row[low:high], column[low:high] - column[low]] = 1
+                first = self.column[low]
+                dense = np.zeros((self.n, int(self.column[high - 1] - first) + 1), np.float32)
+                dense[self.row[low:high], self.column[low:high] - first] = 1
                 both += dense[some] @ dense.T
+        return both
+
+
+def shared_shingles(lines: list[str], some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles of each line, shingles that each of the lines ``some`` shares with each other line), in parts of
+    bounded size."""
+    parts = 1 + sum(map(len, lines)) // ENTRIES
+    size, both = np.zeros(len(lines), np.int64), np.zeros((len(some), len(lines)), np.float32)
+    for part in range(parts):
+        found = Shingled(lines, part, parts)
+        size += found.size
+        both += found.shared(some)
     return size, both
 
 
@@ -238,8 +256,7 @@ class Verifier:
 
     def add(self, ids: list[int], lines: list[str], known: list[int]) -> None:
         """Join the lines of a list as all similar pairs would; lines of one ``known`` component are joined already."""
-        tops = [self.top(c) for c in known]
-        if len(set(tops)) == 1:
+        if len({self.top(c) for c in known}) == 1:
             return
         if len(ids) <= FEW:
             sets = [shingles(x) for x in lines]
@@ -248,17 +265,24 @@ class Verifier:
                     if self.top(known[i]) != self.top(known[j]) and alike(sets[i], sets[j], self.similarity):
                         self.join(known[i], known[j])
             return
-        # only pairs of different components matter: the largest one's lines need no comparison with each other
-        kinds, label, count = np.unique(np.array(tops), return_inverse=True, return_counts=True)
-        some = np.flatnonzero(label != count.argmax())
-        for low in range(0, len(some), LIST):
-            rows = some[low:low + LIST]
-            size, both = shared_shingles(lines, rows)
+        # Only pairs of different components matter.  A few lines are compared with all, which joins most lines where
+        # many are alike; then more of those outside the largest component, until each of them was.
+        small = sum(map(len, lines)) <= ENTRIES
+        found = Shingled(lines) if small else None
+        done, block = np.zeros(len(ids), bool), PIVOTS if small else LIST
+        while True:
+            kinds, label, count = np.unique(np.array([self.top(c) for c in known]), return_inverse=True, return_counts=True)
+            rows = np.flatnonzero((label != count.argmax()) & ~done)[:block]
+            if len(kinds) == 1 or not len(rows):
+                return
+            size, both = (found.size, found.shared(rows)) if small else shared_shingles(lines, rows)
             both = both.astype(np.float64)
             near = both >= self.similarity * (size[rows][:, None] + size[None, :] - both)
             i, j = np.nonzero(near & (label[rows][:, None] != label[None, :]))
             for x, y in set(zip(label[rows[i]].tolist(), label[j].tolist())):
                 self.join(int(kinds[x]), int(kinds[y]))
+            done[rows] = True
+            block = min(LIST, 2 * block)
 
     def edges(self) -> list[tuple[int, int]]:
         """(least line of its component, line) of every line that was joined to another."""
