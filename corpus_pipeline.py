@@ -31,7 +31,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line resembles."""
     tuned(spark)
-    return _recounted(line_dedup.deduplicated(docs), docs)
+    return _recounted(line_dedup.deduplicated(docs, counts=False), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
