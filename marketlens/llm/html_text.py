@@ -51,7 +51,9 @@ GENERIC = {"#root", "html", "body", "div", "p", "section", "table", "tbody", "tr
            "blockquote", "pre", "figure", "center", "details", "address"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
+# Start tag of an element that names the content.
+TELLS = r"(?i)<(?:article|main)[\s/>]"
 NAMES = re.compile(r"(?:\s|^)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORD = re.compile(r"[a-z]+")
 ENDS = re.compile(r"[.!?…]")
@@ -211,14 +213,15 @@ def edge(child: Node) -> str:
     return "leaf" if child.tag == "#" else child.kind or ("block" if child.tag in CLOSES_P else "other")
 
 
-def seed_labels(nodes: list[Node]) -> bool:
+def seed_labels(nodes: list[Node], named: bool = True) -> bool:
     """Label nodes by the page's own markup; False if it doesn't tell.  Content: inside article or
-    main and under no boilerplate; an element without either takes the side of most of its text."""
+    main and under no boilerplate; an element without either takes the side of most of its text.
+    Where content is not ``named`` so, all that is under no boilerplate is content."""
     side: dict[Node, int] = {}
     told = False
     for node in nodes:
-        up = side.get(node.parent, 0)
-        boiler = node.kind == "boiler" or node.tag == "header" and up == 0
+        up = side.get(node.parent, 0 if named else 1)
+        boiler = node.kind == "boiler" or node.tag == "header" and (up == 0 or not named)
         side[node] = 0 if boiler else 1 if node.tag in CONTENT_TAGS or up else 0
         told = told or node.tag in CONTENT_TAGS
     weight: dict[Node, int] = {}
@@ -227,7 +230,7 @@ def seed_labels(nodes: list[Node]) -> bool:
         weight[node] = own + sum(weight[k] for k in node.kids)
         explicit = node.tag == "#" or side[node] or node.kind == "boiler"
         node.label = side[node] if explicit else int(weight[node] > 0)
-    return told
+    return told or not named
 
 
 class Model:
@@ -293,10 +296,10 @@ def main_text(page: str, model: Model) -> str:
     return " ".join([n.text for n in nodes if n.tag == "#" and content[n] > 0.5])
 
 
-def page_counts(page: str) -> Counter:
+def page_counts(page: str, named: bool = True) -> Counter:
     nodes = in_order(parse(page))
     out: Counter = Counter()
-    if seed_labels(nodes):
+    if seed_labels(nodes, named):
         for node, keys in features(nodes).items():
             out[("all", node.label)] += 1
             for k in keys:
@@ -307,25 +310,28 @@ def page_counts(page: str) -> Counter:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = TRAIN_PAGES) -> Model:
-    """Potentials from at most ``rows`` pages, taken by a hash of the page.  What reaches the driver is
-    the table of counts, bounded by the feature names.  Without labelled pages every potential is
-    even, and nothing is content."""
+    """Potentials from at most ``rows`` pages that have an article or main element, taken by a hash of the
+    page.  Where no page has one, from as many of all pages: there all that no name or element
+    marks as boilerplate is labelled content.  What reaches the driver is the table of counts, bounded by the
+    feature names.  Without pages every potential is even, and nothing is content."""
+    whole = pages.select(F.col(f"`{id_col}`").alias("id"), text_of(html_col).alias("html"))
+
+    def counts(some: DataFrame, named: bool) -> dict[tuple[str, int], float]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: Counter = Counter()
+            for b in batches:
+                for page in b.column(0).to_pylist():
+                    out.update(page_counts(page, named))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32()),
+                 pa.array([float(v) for v in out.values()], pa.float64())], ["key", "label", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: Counter = Counter()
-        for b in batches:
-            for page in b.column(0).to_pylist():
-                out.update(page_counts(page))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32()),
-             pa.array([float(v) for v in out.values()], pa.float64())], ["key", "label", "n"])
-
-    ids = stored(pages.select(F.col(f"`{id_col}`").alias("id")).dropna().orderBy(F.xxhash64("id"), "id").limit(rows).distinct(),
-                 "html-sample")
-    sample = pages.select(F.col(f"`{id_col}`").alias("id"), text_of(html_col).alias("html")).join(F.broadcast(ids), "id")
-    counts = sample.orderBy(F.xxhash64("id", "html")).limit(rows).select("html").repartition(8).mapInArrow(
-        run, "key string, label int, n double").groupBy("key", "label").agg(F.sum("n").alias("n")).collect()
-    return Model({(r["key"], r["label"]): r["n"] for r in counts})
+        ids = stored(some.select("id").dropna().orderBy(F.xxhash64("id"), "id").limit(rows).distinct(), "html-sample")
+        sample = some.join(F.broadcast(ids), "id").orderBy(F.xxhash64("id", "html")).limit(rows).select("html")
+        got = sample.repartition(8).mapInArrow(run, "key string, label int, n double")
+        return {(r["key"], r["label"]): r["n"] for r in got.groupBy("key", "label").agg(F.sum("n").alias("n")).collect()}
+
+    return Model(counts(whole.filter(F.col("html").rlike(TELLS)), True) or counts(whole, False))
 
 
 def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
