@@ -244,23 +244,27 @@ def _doc_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _doc_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of the anchors of each text, at most BATCH of one text at a time: a long text whose every
+    byte recurs has about as many contexts as bytes."""
     for b in batches:
         parts, raws, rows = [], [], 0
-        for i, (t, spots) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-            raw = t.encode("utf-8", "replace")
+        for i in range(b.num_rows):
+            raw = b.column(2)[i].as_py().encode("utf-8", "replace")
             data = np.frombuffer(raw, np.uint8)
-            at = np.unique(np.array(spots, np.int64))
+            spots = np.unique(b.column(3)[i].values.to_numpy(zero_copy_only=False).astype(np.int64))
             prefix, second = prefix_hashes(data), prefix_hashes(data, _BASE2)
-            left, right = reach(at, len(data))
-            c1, c2 = _digest(prefix, second, at - left, left + right)
-            c1 ^= mixed(left.astype(np.uint64) + np.uint64(1)).view(np.int64)      # where the anchor stands is part of it
-            key = mixed(range_hashes(prefix, at, GRAM)).view(np.int64)
-            parts.append((np.full(len(at), i, np.int64), at, key, c1, c2, left))
-            raws += [raw[p:q] for p, q in zip((at - left).tolist(), (at + right).tolist())]
-            rows += len(at)
-            if rows >= BATCH:
-                yield _context_batch(b, parts, raws)
-                parts, raws, rows = [], [], 0
+            for from_ in range(0, len(spots), BATCH):
+                at = spots[from_:from_ + BATCH]
+                left, right = reach(at, len(data))
+                c1, c2 = _digest(prefix, second, at - left, left + right)
+                c1 ^= mixed(left.astype(np.uint64) + np.uint64(1)).view(np.int64)  # where the anchor stands is part of it
+                key = mixed(range_hashes(prefix, at, GRAM)).view(np.int64)
+                parts.append((np.full(len(at), i, np.int64), at, key, c1, c2, left))
+                raws += [raw[p:q] for p, q in zip((at - left).tolist(), (at + right).tolist())]
+                rows += len(at)
+                if rows >= BATCH:
+                    yield _context_batch(b, parts, raws)
+                    parts, raws, rows = [], [], 0
         if parts:
             yield _context_batch(b, parts, raws)
 
