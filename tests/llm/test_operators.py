@@ -8,8 +8,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from marketlens.llm import (bpe, components, exact_dedup, fingerprint, html_text, language, line_dedup, packing, quality,
                             simhash_dedup, suffix_dedup)
@@ -120,6 +122,23 @@ def test_suffix_dedup(docs, rows, monkeypatch, group):
     assert bag(tuple(r) for r in got) == bag((i, *e) for (i, _), e in zip(rows, expected))
 
 
+def test_suffix_contexts_come_in_bounded_batches(monkeypatch):
+    """A periodic text recurs at nearly every byte: its contexts leave in batches, all of them."""
+    text = "ab" * 20_000
+    at, _ = suffix_dedup.anchors(np.frombuffer(text.encode(), np.uint8))
+
+    def batches(most):
+        monkeypatch.setattr(suffix_dedup, "BATCH", most)
+        b = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([7, 8]), pa.array([text, text[:500]]),
+                                        pa.array([at.tolist(), [0, 100, 100]])], ["id", "th", "text", "spots"])
+        return list(suffix_dedup._doc_contexts(iter([b])))
+
+    few, whole = batches(1000), batches(10 ** 9)
+    assert max(b.num_rows for b in few) < 2000 and len(whole) == 1
+    assert pa.Table.from_batches(few).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+    assert whole[0].num_rows == len(at) + 2
+
+
 def test_suffix_sort_orders_and_verifies():
     rng = random.Random(3)
     data = np.frombuffer("".join(rng.choice("ab") for _ in range(900)).encode() * 2, np.uint8)
@@ -296,6 +315,26 @@ def test_html_keeps_what_follows_raw_elements(before):
     assert "One two three." in texts
 
 
+@pytest.mark.parametrize("start", ["<p title=it's>", "<p data-x=a'b class=\"c\">", "<p title='a > b'>", "<p title = \"x>y\" lang=en>"])
+def test_html_quotes_in_start_tags(start):
+    page = f"<article>{start}One two.</p><p>Don't stop.</p></article>"
+    assert [x.text for x in html_text.in_order(html_text.parse(page)) if x.tag == "#"] == ["One two.", "Don't stop."]
+
+
+def test_html_without_named_content(spark):
+    """Pages none of which has an article or main element still have a main text."""
+    page = ("<html><head><title>t</title></head><body><div class=nav><a href=/>Home</a> <a href=/b>More</a></div><h1>Head {0}</h1>"
+            "<div class=box><p>First words of page {0}, and more of them.</p><p>Second, longer sentence. It has two ends.</p></div>"
+            "<footer>All rights {0}.</footer></body></html>")
+    pages = spark.createDataFrame([(i, "u", page.format(i)) for i in range(40)], "page_id long, url string, html string")
+    for r in html_text.extract(pages, html_text.fit(pages)).collect():
+        i = r["page_id"]
+        assert r["text"] == f"Head {i} First words of page {i}, and more of them. Second, longer sentence. It has two ends."
+    # one page that tells among many that don't is found, however the sample falls
+    named = spark.createDataFrame([(99, "u", PAGE)], pages.schema)
+    assert html_text.fit(pages.unionByName(named), rows=1).own == html_text.fit(named).own
+
+
 # ---------------------------------------------------------------- 6 packing
 def test_patterns_hold_the_histogram():
     rng = random.Random(4)
@@ -458,6 +497,72 @@ def test_quality_keeps_clean_documents(spark):
     assert len(got) == df.count() and np.mean(clean) >= 0.95 and np.mean(junk) <= 0.4
 
 
+def test_quality_pool_is_whole(spark):
+    """What views teach each other, against plain loops over every row that isn't fitted; copies of the
+    pool count each time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    many = docs.unionByName(docs).unionByName(docs).withColumn("doc_id", F.monotonically_increasing_id())
+    rng = np.random.default_rng(3)
+    views = {v: np.concatenate([rng.normal(0, 0.3, 1 << bits), [0.2, 2.0, 0.1, 0.4]])
+             for v, bits in (("text", quality.TEXT_BITS), ("meta", quality.META_BITS))}
+    got = quality.hand_over(quality._rows(many, "doc_id", "text"), views)
+    taught = {v: {k: np.zeros((2, len(w) - 3)) for k in ("slope", "bend", "seen")} for v, w in views.items()}
+    for r in docs.collect():
+        text = r["text"] or ""
+        lines = text.split("\n")
+        found = {"text": quality.text_features(text),
+                 "meta": quality.meta_features(r["source"], r["lang"], r["n_chars"], len(lines), max(map(len, lines)))}
+        z = {v: sum(views[v][j] for j in f.tolist()) + views[v][-4] for v, f in found.items()}
+        for teacher, student in (("text", "meta"), ("meta", "text")):
+            odds = np.exp(z[teacher] * 2.0 + 0.1) / np.exp(0.4)
+            own = 1 / (1 + np.exp(-np.clip(z[student], -30, 30)))
+            for label, sure in ((0, odds <= 1 / quality.SURE), (1, odds >= quality.SURE)):
+                if sure:
+                    for j in [*found[student].tolist(), -1]:
+                        taught[student]["slope"][label, j] += 3 * (own - label)
+                        taught[student]["bend"][label, j] += 3 * (len(found[student]) + 1) / 4
+                        taught[student]["seen"][label, j] += 3
+    for view, sums in taught.items():
+        assert sums["seen"].any()
+        for k, x in sums.items():
+            assert np.allclose(getattr(got[view], k), x, atol=1e-3)
+
+
+def test_quality_learns_from_rows_without_a_label(spark, monkeypatch):
+    """Labelled rows beyond the bound and rows without a label teach; the order of rows and tasks doesn't matter."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    monkeypatch.setattr(quality, "FIT_ROWS", 150)
+    counts, real = [], quality.hand_over
+    monkeypatch.setattr(quality, "hand_over", lambda rows, views: counts.append((rows.count(), real(rows, views))) or counts[-1][1])
+    one = quality.fit(docs, labels)
+    n = docs.count()
+    assert [c for c, _ in counts] == [n - 150] * (quality.ROUNDS - 1)
+    assert any(x.count(c) > 0 for _, got in counts for x in got.values() for c in (0, 1))
+    two = quality.fit(docs.repartition(7, "text"), labels)
+    assert all(np.array_equal(a, b) for a, b in zip(one, two))
+
+
+def test_lessons_bound_the_loss():
+    """The quadratic that stands for the pool touches its log loss and lies above it."""
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 30, 6)) for _ in range(40)]
+    w = rng.normal(0, 1, 31)
+
+    def loss(u):
+        return sum(np.log1p(np.exp(-(u[r].sum() + u[-1]))) for r in rows)
+
+    slope, bend = np.zeros(31), np.zeros(31)
+    for r in rows:
+        at = np.append(r, 30)
+        slope[at] += 1 / (1 + np.exp(-(w[r].sum() + w[-1]))) - 1
+        bend[at] += len(at)
+    taught = quality.Lessons({"slope": slope * quality.UNIT, "bend": bend, "seen": bend}, w[:-1], w[-1])
+    for _ in range(200):
+        d = rng.normal(0, rng.choice([0.01, 0.3, 2]), 31)
+        assert loss(w + d) <= loss(w) + taught.slope @ d + (taught.bend * d * d).sum() / 2 + 1e-9
+
+
 def test_quality_without_labels_keeps_all(docs, nothing, spark):
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.fit(docs, labels) is None
