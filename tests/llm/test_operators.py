@@ -63,8 +63,20 @@ def test_fingerprints_and_edits(docs, rows):
         half = len(t) // 2
         expected.append((i, len(t), sha(t[:len(t) - half] + texts[(k + 1) % len(texts)][1][:half])))
     assert bag((g["doc_id"], g["n_chars"], g["edited_sha256"]) for g in got) == bag(expected)
-    assert all(0 <= g["near_edited"] <= 1 and 0 <= g["near_next"] <= 1 for g in got)
     plain = fingerprint.fingerprints(docs).collect()
+    # fingerprints of texts, edited texts and next texts made in Python
+    following = [texts[(k + 1) % len(texts)][1] for k in range(len(texts))]
+    edited = [t[:len(t) - len(t) // 2] + n[:len(t) // 2] for (_, t), n in zip(texts, following)]
+    fps = {r["id"]: r["fp"] & (2 ** 64 - 1) for r in fingerprint.fingerprints(docs.sparkSession.createDataFrame(
+        [(f"{kind}{k}", t) for kind, of in (("t", [t for _, t in texts]), ("e", edited), ("n", following)) for k, t in enumerate(of)],
+        "doc_id string, text string")).collect()}
+
+    def like(a, b):
+        return 1 - bin(a ^ b).count("1") / 64
+
+    assert bag((g["doc_id"], g["fingerprint"], g["edited_fingerprint"], g["near_edited"], g["near_next"]) for g in got) == bag(
+        (i, f"{fps[f't{k}']:016x}", f"{fps[f'e{k}']:016x}", like(fps[f"t{k}"], fps[f"e{k}"]), like(fps[f"t{k}"], fps[f"n{k}"]))
+        for k, (i, _) in enumerate(texts))
     assert bag((g["doc_id"], g["fingerprint"]) for g in got) == bag((p["id"], f"{p['fp'] & (2 ** 64 - 1):016x}") for p in plain)
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
@@ -189,6 +201,41 @@ def test_language_on_held_out_rows(spark):
     assert crc == {r["doc_id"] for r in df.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
 
 
+def test_language_against_one_gram_at_a_time(spark):
+    """Prototypes and cosines from a loop over every n-gram of every text."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in df.filter("length(text) < 1500").limit(60).collect()]
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def vector(text):
+        letters = [c.lower() if c.isalpha() else " " for c in text or ""]
+        codes = [0 if c == " " else ord(c) for c in " " + " ".join("".join(letters).split()) + " "]
+        out, n = np.zeros(language.DIM), len(codes) - language.NGRAM + 1
+        for k in range(max(0, n)):
+            bound = np.ones(language.DIM)
+            for place, c in enumerate(codes[k:k + language.NGRAM]):
+                bound = bound * language.letter_vector(c, place, language.DIM, language.SEED)
+            out += bound
+        return out, max(n, 1)
+
+    proto = {}
+    for _, text, lang in rows:
+        if text and lang and any(c.isalpha() for c in text):
+            v, n = vector(text)
+            proto[lang] = proto.get(lang, 0) + v / n
+    learned = language.prototypes(some)
+    assert set(learned) == set(proto) and all(np.allclose(learned[k], proto[k], atol=1e-3) for k in proto)
+    got = {r["doc_id"]: r for r in language.predict(some, learned).collect()}
+    for i, text, _ in rows:
+        v, _ = vector(text)
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        cos = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, p in proto.items()}
+        assert abs(got[i]["score"] - max(0, max(cos.values()))) < 1e-3
+        assert cos[got[i]["lang_pred"]] > max(cos.values()) - 1e-3
+
+
 def test_language_awkward_rows(docs, rows, nothing):
     learned = language.prototypes(docs)
     assert set(learned) <= {"en", "fr"}

@@ -66,3 +66,20 @@ def test_stages_against_brute_force(spark):
     assert max(fill.values()) <= 4096 and END_ID == 2
     assert np.sum([4096 - x for x in fill.values()]) < 0.05 * 4096 * len(fill) + 4096
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
+
+
+def test_stages_on_awkward_and_empty_tables(spark, docs, nothing):
+    """Nulls, blank and long texts, repeated ids and rows and clashing columns pass every stage; a document that
+    is kept keeps its other columns."""
+    for table in (docs, nothing):
+        current = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stored(stage(spark, current, SF), "test-awkward")
+            assert found.columns == table.columns
+            assert found.count() <= current.count()
+            assert found.filter("n_chars <> length(coalesce(text, ''))").count() == 0 or name in ("quality classifier", "SimHash near-dedup")
+            assert found.filter("id <> 'clash' or fp <> 'clash' or h <> 1 or line <> 'clash' or length <> 'clash'").count() == 0
+            current = found
+        packed = corpus_pipeline.STAGES[-1][1](spark, current, SF)
+        ids = Counter(r["doc_id"] for r in packed.select("doc_id").distinct().collect())
+        assert set(ids) == {r["doc_id"] for r in current.select("doc_id").collect()}
