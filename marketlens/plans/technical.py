@@ -23,9 +23,8 @@ def technical_indicators(prices: DataFrame, tickers=None, drop_warmup: bool = Tr
     p = prices if not tickers else prices.where(F.col("ticker").isin(list(tickers)))
     p = p.select("ticker", "date", "open", "high", "low", "close", "volume").where(F.col("close").isNotNull())
     delta = ts.diff("close", 1)
-    x = p.select("*",
-                 ts.rolling("close", 50, "mean").alias("sma50"),
-                 ts.rolling("close", 200, "mean").alias("sma200"),
+    x = ts.long_means(p, "close", {"sma50": 50, "sma200": 200})
+    x = x.select("*",
                  ts.rolling("close", 20, "mean").alias("bb_mid"),
                  ts.rolling("close", 20, "std").alias("bb_std"),
                  F.coalesce(F.when(delta > 0, delta), F.lit(0.0)).alias("_gain"),
@@ -55,7 +54,7 @@ def technical_indicators(prices: DataFrame, tickers=None, drop_warmup: bool = Tr
 
 def sma(prices: DataFrame) -> DataFrame:
     p = prices.select("ticker", "date", "close")
-    return p.select("*", ts.rolling("close", 50, "mean").alias("sma50"), ts.rolling("close", 200, "mean").alias("sma200"))
+    return ts.long_means(p, "close", {"sma50": 50, "sma200": 200})
 
 
 def bollinger(prices: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
