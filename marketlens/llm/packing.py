@@ -11,6 +11,8 @@ documents share is numbered by many tasks.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,53 +22,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import stored, text_of
 
 SIZE = 4096
-# Distinct chunks between white space whose ids a Python worker keeps (memory bound).
+# Distinct pieces whose ids a Python worker keeps (memory bound).
 CACHE = 400_000
 # Rank groups per length.
 SALTS = 64
 
-_MARKS = (b",", b".")
+# What a text is plain without: characters above U+017F and control characters other than white space, whose normal
+# form, lower case or kind may need the vocabulary's own tables, and special tokens.
+_ODD = re.compile("[^\t-\r -~\xa0-\xac\xae-\u012f\u0131-\u017f]|<[|]")
+_LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+# Fixed value: the pattern by which the vocabulary splits plain lower-case text.
+_SPLIT = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+_SHOWN = {b: c for c, b in byte_alphabet().items()}
 
 _WORKER: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
+    """The tokenizer, its model alone, which of its ids end a piece, and the ids of known pieces."""
     if path not in _WORKER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _WORKER[path] = (tok, {})
+        model = Tokenizer(tok.model)
+        model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocab = tok.get_vocab(with_added_tokens=False)
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for t, i in vocab.items() if t.endswith(tok.model.end_of_word_suffix)]] = True
+        _WORKER[path] = (tok, model, ends, {})
     return _WORKER[path]
 
 
+def _cut(text: str) -> tuple[list[str], set[str]]:
+    """``text`` in pieces that the vocabulary never merges across, and those of them that are not plain."""
+    if not _ODD.search(text):
+        return _SPLIT.findall(text.lower()), set()
+    out, other = [], set()
+    for chunk in text.encode("utf-8", "replace").split():       # ASCII white space
+        chunk = chunk.decode()
+        if not _ODD.search(chunk):
+            out += _SPLIT.findall(chunk.lower())
+        else:
+            out.append(chunk)
+            other.add(chunk)
+    return out, other
+
+
 def token_bytes(path: str, text: str) -> bytes:
     """Ids of ``text`` as little-endian unsigned 32-bit integers.
 
-    The vocabulary lowers letters, drops white space and splits letters from marks, and never
-    merges across either; so the ids of a text are those of its chunks between ASCII white
-    space, and a mark after an ASCII letter at a chunk's end is a piece of its own.  A worker
-    encodes each distinct chunk once."""
-    tok, known = _tokenizer(path)
+    The vocabulary lowers letters, drops white space and splits letters from numbers and marks, and never
+    merges across; so the ids of a text are those of its pieces.  A worker encodes each distinct piece
+    once.  The new pieces of a text go through the tokenizer's model together, without its normaliser and
+    splitter, which would leave them as they are; the last id of each tells where it ends.  Chunks between
+    white space that are not plain go through the whole tokenizer."""
+    tok, model, ends, known = _tokenizer(path)
     if len(known) > CACHE:
         known.clear()
-    raw = text.encode("utf-8", "replace")
-    chunks = (raw if b"<|" in raw else raw.lower()).split()    # special tokens are told apart by case
-    ids = list(map(known.get, chunks))
+    parts, other = _cut(text)
+    ids = list(map(known.get, parts))
     if None in ids:
-        new = {c for c, x in zip(chunks, ids) if x is None}
-        marked = [c for c in new if c[-1:] in _MARKS and c[-2:-1].isalpha()]
-        whole = list((new.difference(marked) | {c[:-1] for c in marked} | {c[-1:] for c in marked}).difference(known))
-        for chunk, enc in zip(whole, tok.encode_batch_fast([c.decode() for c in whole], add_special_tokens=False)):
-            known[chunk] = array("I", enc.ids).tobytes()
-        for c in marked:
-            known[c] = known[c[:-1]] + known[c[-1:]]
-        ids = [known[c] if x is None else x for c, x in zip(chunks, ids)]
+        new = {c for c, x in zip(parts, ids) if x is None}
+        if other:
+            whole = list(new & other)
+            for chunk, enc in zip(whole, tok.encode_batch_fast(whole, add_special_tokens=False)):
+                known[chunk] = array("I", enc.ids).tobytes()
+            new -= other
+        if new:
+            shown = " ".join([x if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN) for x in new])
+            found = np.array(model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+            cut = ((np.flatnonzero(ends[found]) + 1) * 4).tolist()
+            if len(cut) != len(new):
+                raise ValueError("the vocabulary does not end every piece")
+            code = found.tobytes()
+            known.update(zip(new, map(code.__getitem__, map(slice, [0, *cut], cut))))
+        ids = [known[c] if x is None else x for c, x in zip(parts, ids)]
     return b"".join(ids)
 
 

@@ -423,6 +423,26 @@ def test_packing(docs, rows, nothing):
     assert packing.pack(packing.pieces(nothing, WORD_BPE, END_ID)).count() == 0
 
 
+@needs_files
+def test_packing_encodes_a_word_once_whatever_marks_it_has(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD_BPE)
+
+    def ids(text):
+        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    monkeypatch.setattr(packing, "_WORKER", {})
+    for text in ("Zorble zorble, (zorble) zorble*** zorble.", "été été, Été;"):
+        assert packing.token_bytes(WORD_BPE, text) == ids(text)
+    assert set(packing._tokenizer(WORD_BPE)[-1]) == {"zorble", ",", "(", ")", "***", ".", "été", ";"}
+    rng = random.Random(6)
+    signs = [*map(chr, range(1, 0x190)), *"stremvdSLA.,<|>/'09 \t\n" * 5, "<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "'LL", "n\u0303", "Σ", "中", "\U0001f600"]
+    for _ in range(5000):
+        text = "".join(rng.choices(signs, k=rng.randrange(14)))
+        assert packing.token_bytes(WORD_BPE, text) == ids(text), repr(text)
+
+
 # ---------------------------------------------------------------- 7 exact dedup
 def test_exact_dedup(docs, rows, nothing):
     got = exact_dedup.exact_groups(docs).collect()
