@@ -41,7 +41,7 @@ FEW = 8
 # Shingles, and cells of a matrix, that a verifier holds at once.
 ENTRIES = 1 << 19
 # Characters whose signatures are computed at once.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 
 
 def shingles(line: str, size: int = SHINGLE) -> set[str]:
@@ -131,14 +131,44 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(np.concatenate(sets).view(np.int64))], ["id", "size", "token"])
 
 
-def alike(a: set[str], b: set[str], similarity: float = SIMILARITY) -> bool:
+def alike(a: set[str] | np.ndarray, b: set[str] | np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two shingle sets are similar: both as strings, or both as the integers of one `_codes`."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if len(small) < similarity * len(large):
         return False
-    both = len(small & large)
+    if isinstance(a, set):
+        both = len(small & large)
+    else:
+        every = np.concatenate((a, b))
+        every.sort()
+        both = int(np.count_nonzero(every[1:] == every[:-1]))
     return both >= similarity * (len(a) + len(b) - both)
 
 
+def _codes(lines: list[str]) -> list[np.ndarray] | None:
+    """Distinct shingles of each line in ascending order, exact: eight code points of at most 256 kinds are one 64-bit
+    integer.  None for lines of more kinds and for lines shorter than a shingle."""
+    if SHINGLE != 8 or min(map(len, lines)) < SHINGLE:
+        return None
+    text = "".join(lines)
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        kinds, at = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        if len(kinds) > 256:
+            return None
+        raw = at.astype(np.uint8).tobytes()
+    windows = np.ndarray((len(raw) - SHINGLE + 1,), "<u8", raw, 0, (1,))
+    out, at = [], 0
+    for line in lines:
+        x = np.sort(windows[at:at + len(line) - SHINGLE + 1])
+        fresh = np.ones(len(x), bool)
+        np.not_equal(x[1:], x[:-1], out=fresh[1:])
+        out.append(x[fresh])
+        at += len(line)
+    return out
+
+
 def _packed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, row) of every shingle, row after row: the hash, and the SHINGLE code points in three words."""
     h, first = _shingle_hashes(lines)
@@ -166,11 +196,19 @@ def _packed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def shared_shingles(lines: list[str], some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingles of each line, shingles that each of the lines ``some`` shares with each line), exact.
 
-    Shingles are told apart by hash, and equal hashes are checked against the text.  Shingles of two and more
-    lines are columns of a 0/1 matrix, whose products count; hashes and columns are taken in parts of bounded size."""
+    Shingles are told apart by their code points as integers where those hold them; elsewhere by hash, and equal
+    hashes are checked against the text.  Shingles of two and more lines are columns of a 0/1 matrix, whose products
+    count; hashes and columns are taken in parts of bounded size."""
     n = len(lines)
     parts = 1 + sum(map(len, lines)) // ENTRIES
     size, both = np.zeros(n, np.int64), np.zeros((len(some), n), np.float32)
+    if parts == 1 and (codes := _codes(lines)) is not None:
+        size += np.fromiter(map(len, codes), np.int64, n)
+        h = np.concatenate(codes)
+        order = np.argsort(h)
+        h = h[order]
+        _count(np.cumsum(np.append(True, h[1:] != h[:-1])) - 1, np.repeat(np.arange(n), size)[order], some, both)
+        return size, both
     for part in range(parts):
         found = []
         for low, high in _slices(lines):
@@ -194,19 +232,25 @@ def shared_shingles(lines: list[str], some: np.ndarray) -> tuple[np.ndarray, np.
         column = np.cumsum(np.append(True, ~same))[fresh] - 1
         row = row[fresh]
         size += np.bincount(row, minlength=n)
-        shared = np.bincount(column)[column] > 1
-        column = np.cumsum(np.append(True, np.diff(column[shared]) > 0)) - 1 if shared.any() else column[:0]
-        row = row[shared]
-        width = max(64, ENTRIES // n)
-        cut = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + 1 + width, width))
-        for low, high in zip(cut[:-1], cut[1:]):
-            if high > low:
-                dense = np.zeros((n, int(column[high - 1] - column[low]) + 1), np.float32)
-                dense[row[low:high], column[low:high] - column[low]] = 1
-                both += dense[some] @ dense.T
+        _count(column, row, some, both)
     return size, both
 
 
+def _count(column: np.ndarray, row: np.ndarray, some: np.ndarray, both: np.ndarray) -> None:
+    """Add to ``both`` how many of the ascending columns (shingles) each of the rows ``some`` shares with each row."""
+    n = both.shape[1]
+    shared = np.bincount(column)[column] > 1
+    column = np.cumsum(np.append(True, np.diff(column[shared]) > 0)) - 1 if shared.any() else column[:0]
+    row = row[shared]
+    width = max(64, ENTRIES // n)
+    cut = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + 1 + width, width))
+    for low, high in zip(cut[:-1], cut[1:]):
+        if high > low:
+            dense = np.zeros((n, int(column[high - 1] - column[low]) + 1), np.float32)
+            dense[row[low:high], column[low:high] - column[low]] = 1
+            both += dense[some] @ dense.T
+
+
 def _slices(lines: list[str]) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(lines):
@@ -242,7 +286,7 @@ class Verifier:
         if len(set(tops)) == 1:
             return
         if len(ids) <= FEW:
-            sets = [shingles(x) for x in lines]
+            sets = _codes(lines) or [shingles(x) for x in lines]
             for j in range(1, len(ids)):
                 for i in range(j):
                     if self.top(known[i]) != self.top(known[j]) and alike(sets[i], sets[j], self.similarity):

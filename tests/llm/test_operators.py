@@ -526,6 +526,29 @@ def test_shared_shingles_are_exact(monkeypatch):
                 assert all(int(both[a, j]) == len(sh[i] & sh[j]) for a, i in enumerate(some) for j in range(len(lines)) if i != j)
 
 
+def test_verifier_compares_integers(monkeypatch):
+    rng, brute = random.Random(8), line_dedup.shingles
+    kinds = ["ab", "abé\x00ß", "abœ中", "".join(map(chr, range(0x4e00, 0x4f40)))]
+
+    def edges(lines):
+        verifier, ids = line_dedup.Verifier(), list(range(len(lines)))
+        verifier.add(ids, lines, ids)
+        return verifier.edges()
+
+    for _ in range(300):
+        signs = rng.choice(kinds)
+        base = "".join(rng.choices(signs, k=rng.randrange(3, 60)))
+        places = [rng.randrange(len(base)) for _ in range(rng.randrange(2, 14))]
+        lines = list({base[:i] + rng.choice(signs) * rng.randrange(4) + base[i:] for i in places})
+        sets = [brute(x) for x in lines]
+        top = union(len(lines), [(i, j) for j in range(len(lines)) for i in range(j)
+                                 if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+        assert edges(lines) == [(t, i) for i, t in enumerate(top) if t != i]
+    # lines of few kinds of characters need no sets of strings
+    monkeypatch.setattr(line_dedup, "shingles", None)
+    assert edges(["œuvre: " + "abcdefgh" * 3 + x for x in ("", "x", "yyyyyyyyyyyyyyyyyyyyyy")]) == [(0, 1)]
+
+
 def test_line_dedup_bounds_hot_buckets(spark, monkeypatch):
     """A templated line that differs in a number: no verifier sees the whole bucket, and lists stay few."""
     monkeypatch.setattr(line_dedup, "LIST", 16)
